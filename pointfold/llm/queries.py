@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pointfold.llm.chat import OP2_SQL, op2_chat_format
+from pointfold.llm.line_dedup import OP3_SQL, op3_line_dedup
+from pointfold.llm.lz_dedup import op4_lz_dedup
 from pointfold.llm.suffix_dedup import op1_suffix_dedup
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_chat_format, op3_line_dedup, op4_lz_dedup)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_line_dedup": OP3_SQL}
