@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pointfold.llm.bpe import op7_bpe
 from pointfold.llm.chat import OP2_SQL, op2_chat_format
+from pointfold.llm.imatch import op9_imatch
 from pointfold.llm.line_dedup import OP3_SQL, op3_line_dedup
 from pointfold.llm.lz_dedup import op4_lz_dedup
+from pointfold.llm.mixing import op8_mix_sources
 from pointfold.llm.suffix_dedup import op1_suffix_dedup
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_chat_format, op3_line_dedup, op4_lz_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_chat_format, op3_line_dedup, op4_lz_dedup, op7_bpe, op8_mix_sources, op9_imatch)}
 
 SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_line_dedup": OP3_SQL}
