@@ -37,17 +37,10 @@ def byte_letters() -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def newer_letters() -> str:
+def newer_letters() -> frozenset[str]:
     """Letters and digits that the regex library knows but Python's own tables, and the tokenizer's, don't have yet."""
     free = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")
-    return "".join(f"\\U{ord(c):08x}" for c in regex.findall(r"[\p{L}\p{N}]", free))
-
-
-def as_of_unicode(pattern: str) -> str:
-    """The file's pattern with white space spelled out and without the newer letters."""
-    new = newer_letters()
-    pattern = pattern.replace("[^\\s\\p{L}\\p{N}]", f"[[^{WHITE}\\p{{L}}\\p{{N}}]||[{new}]]" if new else f"[^{WHITE}\\p{{L}}\\p{{N}}]")
-    return pattern.replace("[\\p{L}]", f"[\\p{{L}}--[{new}]]").replace("|[\\p{N}]|", f"|[\\p{{N}}--[{new}]]|") if new else pattern
+    return frozenset(regex.findall(r"[\p{L}\p{N}]", free))
 
 
 class Vocabulary:
@@ -63,7 +56,12 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         self.names = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
         split = next(p for p in d["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(as_of_unicode(split["pattern"]["Regex"]), regex.V1)
+        pattern = split["pattern"]["Regex"].replace("[^\\s", f"[^{WHITE}")
+        self.words = regex.compile(pattern)
+        self.newer = newer_letters()
+        new = "".join(f"\\U{ord(c):08x}" for c in self.newer)
+        # sets this large are slow, so only texts that hold such letters go by them
+        self.words_without_newer = regex.compile(pattern.replace(f"[^{WHITE}\\p{{L}}\\p{{N}}]", f"[[^{WHITE}\\p{{L}}\\p{{N}}]||[{new}]]").replace("[\\p{L}]", f"[\\p{{L}}--[{new}]]").replace("|[\\p{N}]|", f"|[\\p{{N}}--[{new}]]|"), regex.V1) if new else self.words
         self.letters = byte_letters()
         self.white = regex.compile(f"[{WHITE}]+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -121,7 +119,8 @@ class Vocabulary:
             piece = self.white.sub(" ", unicodedata.normalize("NFC", piece))
             # letter by letter where a capital's neighbours would matter
             piece = "".join(map(str.lower, piece)) if "Σ" in piece else piece.lower()
-            for w in self.words.findall(piece):
+            pattern = self.words if piece.isascii() or self.newer.isdisjoint(piece) else self.words_without_newer
+            for w in pattern.findall(piece):
                 i, b, n = get(w) or word(w)
                 if n:
                     ids.append(i)
