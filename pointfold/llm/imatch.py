@@ -13,6 +13,8 @@ columns of `docs` are ignored; an empty table gives an empty result. A single do
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,16 +51,18 @@ def with_fingerprint(df: DataFrame, text: str, name: str, lex: Column) -> DataFr
     df = df.withColumn("__lex", lex).select(*keep, F.array_sort(inside).alias("__terms"))
     df = df.withColumn("__scale", F.floor(F.log2(F.greatest(F.size("__terms"), F.lit(PARTS // 2)) / (PARTS / 2))).cast("int"))
 
-    def hashes(scale: Column) -> Column:
-        mask = F.lit(1).cast("long") * F.pow(F.lit(2.0), scale).cast("long") - 1
+    def hashes(thinned: int) -> Column:
+        mask = F.expr(f"shiftleft({thinned}L, __scale)") - 1
         some = F.filter("__terms", lambda h: F.shiftrightunsigned(h, BITS).bitwiseAND(mask) == 0)
-        return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.filter(some, lambda h: F.shiftrightunsigned(h, 58).bitwiseAND(PARTS - 1) == k))
+        # one pass over the terms, in order, each into the running hash of its part
+        part = lambda h: F.shiftrightunsigned(h, 58).bitwiseAND(PARTS - 1)
+        return F.aggregate(some, F.array_repeat(F.lit(0).cast("long"), PARTS), lambda acc, h: F.transform(acc, lambda v, i: F.when(part(h) == i, F.xxhash64(v, h)).otherwise(v)))
 
-    def hexed(parts: Column) -> Column:
-        return F.transform(parts, lambda p: F.when(F.size(p) == 0, "-").otherwise(F.substring(F.lpad(F.lower(F.hex(F.xxhash64(p))), 16, "0"), 1, 8)))
+    def hexed(parts: str) -> Column:
+        return F.transform(parts, lambda p: F.when(p == 0, "-").otherwise(F.substring(F.lpad(F.lower(F.hex(p)), 16, "0"), 1, 8)))
 
-    df = df.withColumn("__low", hashes(F.col("__scale"))).withColumn("__high", hashes(F.col("__scale") + 1))
-    return df.select(*keep, F.struct(F.col("__scale").alias("scale"), hexed(F.col("__low")).alias("low"), hexed(F.col("__high")).alias("high")).alias(name))
+    df = df.withColumn("__low", hashes(1)).withColumn("__high", hashes(2))
+    return df.select(*keep, F.struct(F.col("__scale").alias("scale"), hexed("__low").alias("low"), hexed("__high").alias("high")).alias(name))
 
 
 def as_text(f: Column) -> Column:
@@ -75,8 +79,8 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(F.abs(a["scale"] - b["scale"]) <= 1, some).otherwise(0.0)
 
 
-def with_next(docs: DataFrame, *carried: str) -> DataFrame:
-    """Adds next_<c> for each carried column: its value in the document that follows in descending doc_id, after the last the first.
+def with_next(docs: DataFrame, *carried: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Adds next_<c> for each carried column: its value in the document that follows in descending doc_id, after the last the first. prepare: adds columns to carry, once to each row.
 
     Documents are dealt by ranges of doc_id of about equal counts, taken from a histogram of CELLS cells; each range also
     gets a copy of the first document of the next one, so no range has to look at another.
@@ -101,6 +105,7 @@ def with_next(docs: DataFrame, *carried: str) -> DataFrame:
     edges = first.select(F.col("part").alias("own"), "id", to.alias("to"))
     copies = placed.join(F.broadcast(edges), (F.col("part") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("id"))).drop("part", "own", "id").withColumnRenamed("to", "part").withColumn("__copy", F.lit(True))
     both = placed.withColumn("__copy", F.lit(False)).unionByName(copies)
+    both = prepare(both)
     w = Window.partitionBy("part").orderBy("__copy", F.col("doc_id").desc_nulls_last(), "__tie")
     for c in carried:
         both = both.withColumn(f"next_{c}", F.lead(c).over(w))
@@ -116,7 +121,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lex = lexicon(docs).scalar()
-    both = with_next(with_fingerprint(docs, "text", "fp", lex), "text", "fp")
+    both = with_next(docs, "text", "fp", prepare=lambda df: with_fingerprint(df, "text", "fp", lex))
     both = both.withColumn("n", F.length("text")).withColumn("half", F.floor(F.col("n") / 2).cast("int"))
     both = both.select("doc_id", "n", "fp", "next_fp", F.concat(F.expr("substring(text, 1, n - half)"), F.expr("substring(next_text, 1, half)")).alias("edited"))
     both = with_fingerprint(both, "edited", "edited_fp", lex)
