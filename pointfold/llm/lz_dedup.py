@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointfold.llm.common import partitions, table, word_bounds, word_hashes, written
-from pointfold.llm.repeats import contexts, fetched, in_groups, keyed, merged, places, signed, spans_by_document, window_span
+from pointfold.llm.repeats import contexts, fetched, in_groups, keyed, merged, places, signed, spans_by_document
 
 #: Contexts that one reference block indexes; a group's contexts are parsed against each of its blocks.
 BLOCK = 512
@@ -136,13 +136,11 @@ def parsed(rows: list[dict], length: int, block: int = BLOCK, width: int = 8) ->
                 waiting.append(text)
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 8, group_most: int = GROUP_MOST, block: int = BLOCK) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 4, group_most: int = GROUP_MOST, block: int = BLOCK) -> DataFrame:
     """docs: as keyed() gives them. Rows doc, key, a, b: word spans whose windows of `length` words also start in a smaller doc."""
     at = written(places(docs, length, gram, word_symbols), "places")
-    one, mixed = contexts(at)
-    low = one.select("h", "c", F.col("doc").alias("low"))
-    exact = at.join(low.join(one.where("n > 1").select("h", "c"), ["h", "c"]), ["h", "c"]).where("doc > low").select("doc", "key", *window_span(length))
-    mixed = written(one.join(mixed, "h"), "mixed")
+    one = contexts(at)
+    mixed = one.where("k > 1")
     found = fetched(mixed, docs)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,9 +152,11 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 8, group_most:
     factors = found.where(F.col("k") <= group_most).repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(compare, "h long, c long, doc long, lo int, hi int")
     if mixed.where(F.col("k") > group_most).limit(1).count():
         factors = factors.union(_counted(found.where(F.col("k") > group_most), length))
-    # all places of the context in its smallest document have the same windows
-    near = at.join(factors, ["h", "c", "doc"]).select("doc", "key", (F.col("pos") - F.col("hi")).alias("a"), (F.col("pos") - F.col("lo") + length).alias("b"))
-    return exact.union(near)
+    # in one join with the places: a repeated context's windows all recur in its later documents; in its smallest, those that the parse found do
+    whole = one.where("n > 1").select("h", "c", F.col("doc").alias("low"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
+    ranges = whole.union(factors.select("h", "c", F.col("doc").alias("low"), "lo", "hi"))
+    hit = at.join(ranges, ["h", "c"]).where("(lo IS NULL AND doc > low) OR (lo IS NOT NULL AND doc = low)")
+    return hit.select("doc", "key", (F.col("pos") - F.coalesce("hi", "d1")).alias("a"), (F.col("pos") - F.coalesce("lo", "d0") + length).alias("b"))
 
 
 def _counted(found: DataFrame, length: int) -> DataFrame:

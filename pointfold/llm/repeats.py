@@ -77,11 +77,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return df.repartition(partitions(docs.sparkSession), "doc", "key")
 
 
-def contexts(all_places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the written places: the distinct contexts (h, c, n: rows, low: the smallest doc, rep: a place of it), and of mixed anchors h and k, their number of distinct contexts. Counts are combined before rows move, so a frequent context costs a row for each task."""
+def contexts(all_places: DataFrame) -> DataFrame:
+    """Of the written places: the contexts that settle or need anything (h, c, n: rows, k: distinct contexts of the anchor, doc: the smallest, and a place of it), those with n > 1 or k > 1. Counts are combined before rows move, so a frequent context costs a row for each task."""
     one = all_places.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "key", "pos", "d0", "d1", "first", "size")).alias("rep"))
-    one = written(one.select("h", "c", "n", "rep.*"), "contexts")
-    return one, one.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    one = one.select("h", "c", "n", "rep.*")
+    of_anchor = one.groupBy("h").agg(F.count("*").alias("k"), F.sum("n").alias("all")).where("`all` > 1").drop("all")
+    return written(one.join(of_anchor, "h"), "contexts")
 
 
 def fetched(mixed: DataFrame, docs: DataFrame) -> DataFrame:

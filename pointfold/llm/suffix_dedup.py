@@ -163,9 +163,9 @@ def repeated_windows(pieces: list[Pieces], length: int, shard_bytes: int) -> Ite
 def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 32, shard_bytes: int = SHARD_BYTES, group_most: int = GROUP_MOST) -> DataFrame:
     """docs: as keyed() gives them. Rows doc, key, a, b: byte spans whose windows of `length` bytes also start elsewhere."""
     at = written(places(docs, length, gram, byte_symbols), "places")
-    one, mixed = contexts(at)
+    one = contexts(at)
     exact = at.join(one.where("n > 1").select("h", "c"), ["h", "c"]).select("doc", "key", *window_span(length))
-    mixed = written(one.join(mixed, "h"), "mixed")
+    mixed = one.where("k > 1")
     found = fetched(mixed, docs)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
