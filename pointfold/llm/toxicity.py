@@ -1,7 +1,7 @@
 """Operator 10: toxicity by a convolutional text classifier, trained here in numpy.
 
 A text is its words, lower-cased and without punctuation at their ends, each embedded as the sum of hashed rows for
-the word and for its first letters. Filters of several widths run over the words, the largest value of each filter
+the word and for its first four and five bytes. Filters of several widths run over the words, the largest value of each filter
 over the whole text goes to a logistic layer. As filters are linear, their values for every hash row are tabled once
 and a text costs look-ups and sums only.
 
@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointfold.llm.common import table, word_hashes
+from pointfold.llm.common import SPACE, table, word_hashes
 
 #: Bounds of what the driver fits on: rows, and bytes of their texts (longer texts wait for the next fit).
 SAMPLE, SAMPLE_TEXT = 6_000, 20_000
-ROWS, DIM, WIDTHS, FILTERS, EPOCHS = 1 << 15, 12, (1, 2, 3), 12, 6
+ROWS, DIM, WIDTHS, FILTERS, SEEN = 1 << 15, 12, (1, 2, 3), 10, 20_000
 THRESHOLD = 0.7
 
 _EDGE = np.zeros(256, bool)
@@ -38,20 +38,19 @@ _FOLD[np.flatnonzero(_EDGE)] = 32
 
 
 def hashed(text: str | None) -> np.ndarray:
-    """Rows of the embedding for each word: (words, 2), for the word and for its first five bytes. Punctuation counts as white space, letters A-Z as small ones."""
+    """Rows of the embedding for each word: (words, 3), for the word and for its first four and five bytes. Punctuation counts as white space, letters A-Z as small ones."""
     buf = _FOLD[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
-    h = word_hashes(buf)
-    if not len(h):
-        return np.zeros((0, 2), np.int32)
-    word = (h % np.uint64(ROWS // 2)).astype(np.int32)
-    inside = buf > 32
-    start = inside & ~np.concatenate([[False], inside[:-1]])
-    at = np.arange(len(buf))
-    begun = np.maximum.accumulate(np.where(start, at, 0))
-    head = np.where(inside & (at - begun < 5), buf, 32).astype(np.uint8)
-    # the first letters alone, as words of their own: same number and order
-    first = word_hashes(head)
-    return np.stack([word, (first % np.uint64(ROWS // 2)).astype(np.int32) + ROWS // 2], 1)
+    part = np.uint64(ROWS // 4)
+    rows = [(word_hashes(buf) % part).astype(np.int32) + ROWS // 2]
+    inside = ~SPACE[buf]
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    from_start = np.arange(len(buf)) - np.maximum.accumulate(np.where(start, np.arange(len(buf)), 0)) if len(buf) else buf
+    for k, most in enumerate((4, 5)):
+        # the first letters alone, as words of their own: same number and order
+        head = np.where(inside & (from_start < most), buf, 32).astype(np.uint8)
+        rows.append((word_hashes(head) % part).astype(np.int32) + np.int32(k * (ROWS // 4)))
+    return np.stack(rows, 1)
 
 
 class Classifier:
@@ -63,46 +62,53 @@ class Classifier:
         self.out = r.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32)
         self.out_bias = np.float32(-2)
         self.shift = 0.0
-        self.tables: list[np.ndarray] | None = None
 
     def tabled(self) -> None:
-        """Every filter position's value for every hash row."""
-        self.tables = [np.einsum("rd,kdf->krf", self.emb, f) for f in self.filters]
+        """The value at every filter position for every hash row, side by side."""
+        self.table = np.concatenate([self.emb @ f[k] for f, w in zip(self.filters, WIDTHS, strict=True) for k in range(w)], 1)
 
-    def pooled(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pooled(self, words: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Largest value of each filter, at least 0, and where it was (-1: nowhere)."""
-        best, where = [], []
-        for t, w in zip(self.tables, WIDTHS, strict=True):
+        v = self.table[words[:, 0]]
+        for j in range(1, words.shape[1]):
+            v += self.table[words[:, j]]
+        best, where, at = [], [], 0
+        for w in WIDTHS:
             n = len(words) - w + 1
             if n <= 0:
                 best.append(np.full(FILTERS, -np.inf, np.float32))
                 where.append(np.full(FILTERS, -1))
-                continue
-            v = sum(t[k][words[k : k + n, 0]] + t[k][words[k : k + n, 1]] for k in range(w))
-            i = v.argmax(0)
-            best.append(v[i, np.arange(FILTERS)])
-            where.append(i)
+            else:
+                x = v[:n, at : at + FILTERS]
+                for k in range(1, w):
+                    x = x + v[k : k + n, at + k * FILTERS : at + (k + 1) * FILTERS]
+                best.append(x.max(0))
+                if places:
+                    where.append(x.argmax(0))
+            at += w * FILTERS
         z = np.concatenate(best) + self.bias
-        at = np.concatenate(where)
-        at[z <= 0] = -1
-        return np.maximum(z, 0), at
+        if not places:
+            return np.maximum(z, 0), None
+        spot = np.concatenate(where)
+        spot[z <= 0] = -1
+        return np.maximum(z, 0), spot
 
     def logit(self, words: np.ndarray) -> float:
         return float(self.pooled(words)[0] @ self.out + self.out_bias) + self.shift
 
-    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.02, seed: int = 1) -> None:
+    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int | None = None, batch: int = 64, rate: float = 0.05, seed: int = 1) -> None:
         r = np.random.default_rng(seed)
         params = [self.emb, *self.filters, self.bias, self.out]
         power = [np.full_like(p, 1e-6) for p in params]
         weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))
-        for _ in range(epochs):
+        for _ in range(epochs or min(max(-(-SEEN // len(texts)), 4), 12)):
             order = r.permutation(len(texts))
             for lo in range(0, len(order), batch):
                 part = order[lo : lo + batch]
                 self.tabled()
                 g = [np.zeros_like(p) for p in params]
                 for i in part:
-                    z, at = self.pooled(texts[i])
+                    z, at = self.pooled(texts[i], places=True)
                     d = np.float32((1 / (1 + np.exp(-(z @ self.out + self.out_bias))) - labels[i]) * weight[i] / len(part))
                     g[-1] += d * z
                     self.out_bias -= np.float32(rate) * d
@@ -112,11 +118,9 @@ class Classifier:
                         size, f = divmod(j, FILTERS)
                         dz = d * self.out[j]
                         for k in range(WIDTHS[size]):
-                            a, b = texts[i][at[j] + k]
-                            g[1 + size][k, :, f] += dz * (self.emb[a] + self.emb[b])
-                            v = dz * self.filters[size][k, :, f]
-                            g[0][a] += v
-                            g[0][b] += v
+                            rows = texts[i][at[j] + k]
+                            g[1 + size][k, :, f] += dz * self.emb[rows].sum(0)
+                            np.add.at(g[0], rows, dz * self.filters[size][k, :, f])
                 for p, q, x in zip(params, power, g, strict=True):
                     q += x * x
                     p -= np.float32(rate) * x / np.sqrt(q) * (x != 0)
@@ -177,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[Class
 
 def scored(docs: DataFrame, model: Classifier | None) -> DataFrame:
     """The columns of docs with __score, from the text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: ROWS x DIM and its tables
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: ROWS x DIM, and its table
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
