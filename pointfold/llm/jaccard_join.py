@@ -1,10 +1,10 @@
 """Operator 5: documents whose sets of word n-grams are alike, by R-trees over count vectors.
 
 Equal sets are one class from the start. Two different sets as alike as asked differ in at most k n-grams, k by their
-sizes; so if each set's n-grams fall into more than k groups by hash, at least one group is equal in both. Classes that
-have an equal group are candidates, and candidates' connected blocks are compared each in one place: an R-tree over
-vectors of counts by hash group bounds two sets' overlap by the summed minima of their counts, and pairs that pass are
-verified on the sets. Sets already linked through others need no comparison.
+sizes; so if each set's n-grams fall into more than k groups by hash, at least one group is equal in both. Among classes
+that have an equal group, an R-tree over vectors of counts by hash bounds two sets' overlap by the summed minima of their
+counts; pairs that pass connect. Each connected block is then compared in one place, by such a tree again, and pairs that
+pass are verified on the sets. Sets already linked through others need no comparison.
 
 Result for odd input: null, empty and blank texts have no n-grams and link with nothing, nor with each other; rows that
 repeat are one class; component_id is the smallest doc_id that links reach, and null only where all are null; other
@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointfold.llm.common import LOWER, ODD, mixed, partitions, table, word_hashes, written
-from pointfold.llm.repeats import keyed, signed
+from pointfold.llm.repeats import signed
 
-#: Hash groups of the count vectors; entries of an R-tree node; classes of a block that go to one task (larger blocks go in pairs of parts).
+#: Least number of hash groups of the count vectors; entries of an R-tree node; classes of a block that go to one task (larger blocks go in pairs of parts).
 DIMS, NODE, BLOCK_MOST = 32, 16, 4096
 
 
@@ -40,6 +40,12 @@ def shingles(text_bytes: np.ndarray, n: int) -> np.ndarray:
     return np.unique(mixed(h))
 
 
+def counted(h: np.ndarray) -> np.ndarray:
+    """How many of the set fall in each hash group: four to eight on average, as more would say nothing of which they are, but at least DIMS groups and at most 32 times as many. The largest number stands for all above."""
+    dims = DIMS << min(max(int(len(h) / 4 / DIMS).bit_length() - 1, 0), 5)
+    return np.minimum(np.bincount((h & np.uint64(dims - 1)).astype(np.int64), minlength=dims), 255).astype(np.uint8)
+
+
 class Sizes:
     """Ranges of set sizes, each so narrow that alike sets are in the same or in neighbouring ranges; for each the number of groups."""
 
@@ -92,8 +98,7 @@ def classes(docs: DataFrame, n: int, parts: int, percent: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, known = Sizes(percent), set()
-        names = ["doc", "key", "n", "c", "part", "sig", "of"]
-        kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.binary()]
+        names = ["doc", "key", "n", "c", "counts", "part", "sig", "of"]
         sig: list[np.ndarray] = []
         of: list[np.ndarray] = []
         held = 0
@@ -106,35 +111,37 @@ def classes(docs: DataFrame, n: int, parts: int, percent: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             ends = np.append(first[1:], len(part))
             m = len(first)
-            cols = [pa.nulls(m, pa.int64())] * 4 + [pa.array(part[first].astype(np.int32)), pa.array([s[a:b].tobytes() for a, b in zip(first, ends, strict=True)]), pa.array([c[a:b].tobytes() for a, b in zip(first, ends, strict=True)])]
+            cols = [pa.nulls(m, pa.int64())] * 4 + [pa.nulls(m, pa.binary()), pa.array(part[first].astype(np.int32)), pa.array([s[a:b].tobytes() for a, b in zip(first, ends, strict=True)]), pa.array([c[a:b].tobytes() for a, b in zip(first, ends, strict=True)])]
             return pa.RecordBatch.from_arrays(cols, names=names)
 
         for b in batches:
-            rows: list[list] = [[], []]
+            rows: list[list] = [[], [], []]
             for text in b["text"]:
                 h = shingles(np.frombuffer(text.as_buffer() or b"", np.uint8) if text.is_valid else np.zeros(0, np.uint8), n)
                 c = xxhash.xxh3_64_intdigest(h.tobytes(), len(h))
                 rows[0].append(len(h))
                 rows[1].append(signed(c))
-                if len(h) and c not in known:  # a class's signatures go out once from each task
+                new = len(h) and c not in known
+                rows[2].append(counted(h).tobytes() if new else None)
+                if new:  # a class's signatures go out once from each task
                     known.add(c)
                     s = signatures(h, sizes)
                     sig.append(s)
                     of.append(np.full(len(s), c, np.uint64))
                     held += len(s)
             m = b.num_rows
-            yield pa.RecordBatch.from_arrays([b["doc"], b["key"], pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.nulls(m, kinds[4]), pa.nulls(m, kinds[5]), pa.nulls(m, kinds[6])], names=names)
+            yield pa.RecordBatch.from_arrays([b["doc"], b["key"], pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
             if held >= 2_000_000:
                 yield packed()
                 sig, of, held = [], [], 0
         if held:
             yield packed()
 
-    return docs.select("doc", "key", "text").mapInArrow(scan, "doc long, key long, n long, c long, part int, sig binary, of binary")
+    return docs.select("doc", "key", "text").mapInArrow(scan, "doc long, key long, n long, c long, counts binary, part int, sig binary, of binary")
 
 
-def candidate_links(packed: DataFrame, parts: int) -> DataFrame:
-    """a, b: each class of an equal group with the group's least class; a row for each class, not for each pair."""
+def equal_groups(packed: DataFrame, parts: int) -> DataFrame:
+    """g, c: the classes of each group that several have."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: dict[int, list[tuple[bytes, bytes]]] = {}
@@ -142,18 +149,63 @@ def candidate_links(packed: DataFrame, parts: int) -> DataFrame:
             for p, s, c in zip(b["part"].to_pylist(), b["sig"].to_pylist(), b["of"].to_pylist(), strict=True):
                 blobs.setdefault(p, []).append((s, c))
         while blobs:
-            _, these = blobs.popitem()
+            p, these = blobs.popitem()
             s = np.frombuffer(b"".join(x[0] for x in these), np.uint32)
             c = np.frombuffer(b"".join(x[1] for x in these), np.uint64).view(np.int64)
             order = np.lexsort((c, s))
             s, c = s[order], c[order]
-            new = np.concatenate([[True], s[1:] != s[:-1]])
-            first = np.flatnonzero(new)
-            least = np.repeat(c[first], np.diff(np.append(first, len(s))))
-            pairs = np.unique(np.stack([least, c], 1)[least != c], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            keep = np.concatenate([[True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
+            s, c = s[keep], c[keep]
+            same = s[1:] == s[:-1]
+            several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            for lo in range(0, len(s), 1 << 20):
+                k = several[lo : lo + (1 << 20)]
+                g = (np.int64(p) << 32) | s[lo : lo + (1 << 20)][k].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c[lo : lo + (1 << 20)][k])], names=["g", "c"])
+
+    return packed.repartition(parts, "part").mapInArrow(match, "g long, c long")
+
+
+#: Classes that an equal group's tree holds; a larger group is tied together without one, which only makes blocks larger.
+GROUP_MOST = 20_000
+
 
-    return packed.repartition(parts, "part").mapInArrow(match, "a long, b long").distinct()
+def candidate_links(groups: DataFrame, counts: DataFrame, parts: int, percent: int) -> DataFrame:
+    """a, b: links that connect all classes of a group whose pairs pass the bound; as many as classes, not as pairs."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes]] = []
+        current, first, large, out = None, 0, False, []
+
+        def done() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            p = widened([np.frombuffer(x[2], np.uint8) for x in held])
+            if len(held) == 2:
+                o = int(np.minimum(p[0], p[1]).sum())
+                return [(held[0][0], held[1][0])] if (100 + percent) * o >= percent * (held[0][1] + held[1][1]) else []
+            root = linked(p, np.array([x[1] for x in held]), percent)
+            return [(held[r][0], held[i][0]) for i, r in enumerate(root.tolist()) if r != i]
+
+        for b in batches:
+            for g, c, n, v in zip(b["g"].to_pylist(), b["c"].to_pylist(), b["n"].to_pylist(), b["counts"].to_pylist(), strict=True):
+                if g != current:
+                    out += done()
+                    held, current, first, large = [], g, c, False
+                if large:
+                    out.append((first, c))
+                elif len(held) < GROUP_MOST:
+                    held.append((c, n, v))
+                else:
+                    out += [(first, x[0]) for x in held[1:]] + [(first, c)]
+                    held, large = [], True
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+            out = []
+        out = done()
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+    rows = groups.join(counts, "c").select("g", "c", "n", "counts")
+    return rows.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(bound, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -199,9 +251,20 @@ class RTree:
         return self.order[at]
 
 
-def linked(sets: list[np.ndarray], percent: int, only_across: np.ndarray | None = None) -> np.ndarray:
-    """For each set the least index that links connect it with. only_across: compare sets with different marks only."""
-    n = len(sets)
+def widened(counts: list[np.ndarray]) -> np.ndarray:
+    """Counts to compare, with as many groups as the shortest has; one at its limit may stand for any number."""
+    dims = min(len(c) for c in counts)
+    out = np.zeros((len(counts), dims), np.int64)
+    for i, c in enumerate(counts):
+        w = c.astype(np.int64)
+        w[c == 255] = 1 << 40
+        out[i] = w.reshape(-1, dims).sum(0)
+    return out
+
+
+def linked(points: np.ndarray, sizes: np.ndarray, percent: int, sets: list[np.ndarray] | None = None, only_across: np.ndarray | None = None) -> np.ndarray:
+    """For each point the least index that links connect it with: pairs that pass the bound and, given sets, are alike. only_across: pairs with different marks only."""
+    n = len(points)
     root = list(range(n))
 
     def find(i: int) -> int:
@@ -210,37 +273,38 @@ def linked(sets: list[np.ndarray], percent: int, only_across: np.ndarray | None
             i = root[i]
         return i
 
-    sizes = np.array([len(s) for s in sets])
-    points = np.stack([np.bincount((s & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS) for s in sets])
     tree = RTree(points, sizes)
     for i in range(n):
-        a = sets[i]
         for j in tree.near(points[i], int(sizes[i]), percent).tolist():
             if j >= i or (only_across is not None and only_across[i] == only_across[j]):
                 continue
             x, y = find(i), find(j)
             if x == y:
                 continue
-            b = sets[j]
-            at = np.searchsorted(b, a)
-            same = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-            if 100 * same >= percent * (len(a) + len(b) - same):
-                root[max(x, y)] = min(x, y)
+            if sets is not None:
+                a, b = sets[i], sets[j]
+                at = np.searchsorted(b, a)
+                same = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+                if 100 * same < percent * (len(a) + len(b) - same):
+                    continue
+            root[max(x, y)] = min(x, y)
     return np.array([find(i) for i in range(n)])
 
 
 def alike(docs: DataFrame, n: int = 4, percent: int = 85, block_most: int = BLOCK_MOST) -> DataFrame:
-    """docs: as keyed() gives them. doc, key, n, component: the smallest doc that links of at least `percent` connect with, for every document."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    both = written(classes(docs, n, parts, percent), "classes")
+    """docs: doc_id and text. doc (see keyed), key, n, component: the smallest doc that links of at least `percent` connect with, for every document."""
+    parts = partitions(docs.sparkSession)
+    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    both = written(classes(plain, n, parts, percent), "classes")
     every = both.where("part IS NULL").select("doc", "key", "n", "c")
-    block = components(candidate_links(both.where("part IS NOT NULL").select("part", "sig", "of"), parts))
+    groups = equal_groups(both.where("part IS NOT NULL").select("part", "sig", "of"), parts)
+    counts = both.where("counts IS NOT NULL").groupBy("c").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
+    block = components(candidate_links(groups, counts, parts, percent))
     block = written(block.union(block.select(F.col("root").alias("c"), "root")).distinct(), "blocks")
     low = every.where("n > 0").groupBy("c").agg(F.min("doc").alias("low"), F.min(F.struct("doc", "key")).alias("rep"), F.count("*").alias("rows"))
     size = block.groupBy("root").agg(F.count("*").alias("members")).where("members > 1")
     wanted = low.join(block.join(size, "root"), "c").select("c", "root", "members", "rep.doc", "rep.key")
-    texts = wanted.join(docs.select("doc", "key", "text"), ["doc", "key"]).select("c", "root", "members", "text")
+    texts = wanted.join(plain, ["doc", "key"]).select("c", "root", "members", "text")
     parts_of = F.ceil(F.col("members") / block_most).cast("int")
     mine = F.pmod(F.xxhash64("c"), parts_of).cast("int")
     placed = texts.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), parts_of - 1)))
@@ -253,7 +317,9 @@ def alike(docs: DataFrame, n: int = 4, percent: int = 85, block_most: int = BLOC
         def done() -> pa.RecordBatch:
             ids = sorted(held)
             marks = np.array([held[c][1] for c in ids])
-            root = linked([held[c][0] for c in ids], percent, marks if len(set(marks.tolist())) > 1 else None)
+            sets = [held[c][0] for c in ids]
+            points = widened([counted(x) for x in sets])
+            root = linked(points, np.array([len(x) for x in sets]), percent, sets, marks if len(set(marks.tolist())) > 1 else None)
             a = [(ids[r], ids[i]) for i, r in enumerate(root.tolist()) if r != i]
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in a], pa.int64()), pa.array([x[1] for x in a], pa.int64())], names=["a", "b"])
 
@@ -282,13 +348,13 @@ def alike(docs: DataFrame, n: int = 4, percent: int = 85, block_most: int = BLOC
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     null = 2**63 - 1
-    out = alike(keyed(table(spark, sf_dir, "documents")))
+    out = alike(table(spark, sf_dir, "documents"))
     return out.select(F.when(F.col("doc") != null, F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("component") != null, F.col("component")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs with the smallest doc_id of their component (of rows with the same doc_id and text, one); documents without n-grams all stay."""
-    stay = alike(keyed(docs), n, percent).where("doc = component").select(F.col("doc").alias("__doc"), F.col("key").alias("__key"))
+    stay = alike(docs, n, percent).where("doc = component").select(F.col("doc").alias("__doc"), F.col("key").alias("__key"))
     ids = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("__key", F.xxhash64("doc_id", "text"))
     kept = ids.join(stay, ["__doc", "__key"], "left_semi")
     first = F.row_number().over(Window.partitionBy("__doc", "__key").orderBy(F.lit(0)))

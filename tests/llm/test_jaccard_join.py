@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointfold.llm.jaccard_join import RTree, alike, brute_force, components, one_of_each, op5_jaccard_join
-from pointfold.llm.repeats import keyed
 
 
 def corpus(seed: int):
@@ -31,7 +30,7 @@ def test_against_brute_force(spark, seed, percent, most):
     rows = corpus(seed)
     df = spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id long, text string, n int, c int").repartition(3)
     null = 2**63 - 1
-    got = alike(keyed(df), 4, percent, most).select(*[F.when(F.col(c) != null, F.col(c)) for c in ("doc", "n", "component")]).collect()
+    got = alike(df, 4, percent, most).select(*[F.when(F.col(c) != null, F.col(c)) for c in ("doc", "n", "component")]).collect()
     order = lambda x: str(x)
     assert sorted(map(tuple, got), key=order) == sorted(brute_force(rows, 4, percent), key=order)
 
