@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointfold.llm.common import table
+from pointfold.llm.common import in_batches, table
 
 #: Words kept in a task's memory, so that a word is merged once; beyond, the memory starts anew.
 MEMORY = 200_000
@@ -141,14 +141,16 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """The columns of docs with __ids (decimal, one space between), __decoded and __tokens. path: of the tokenizer's file, the same on every executor."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
+        v.memory = {}
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                got = [v.encode(t or "") for t in part["text"].to_pylist()]
+                got = [v.encode(t or "") for t in part["row"].field("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part["row"], *[pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))]], names=["row", "__ids", "__decoded", "__tokens"])
+        v.memory = {}
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return rows.mapInArrow(scan, f"row {rows.schema['row'].dataType.simpleString()}, __ids string, __decoded string, __tokens long").select("row.*", "__ids", "__decoded", "__tokens")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return in_batches(rows, scan, f"row {rows.schema['row'].dataType.simpleString()}, __ids string, __decoded string, __tokens long").select("row.*", "__ids", "__decoded", "__tokens")
 
 
 def word_bpe_path() -> str:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointfold.llm.common import LOWER, ODD, mixed, partitions, table, word_hashes, written
+from pointfold.llm.common import LOWER, ODD, in_batches, mixed, partitions, table, word_hashes, written
 from pointfold.llm.repeats import signed
 
 #: Least number of hash groups of the count vectors; entries of an R-tree node; classes of a block that go to one task (larger blocks go in pairs of parts).
@@ -131,13 +131,13 @@ def classes(docs: DataFrame, n: int, parts: int, percent: int) -> DataFrame:
                     held += len(s)
             m = b.num_rows
             yield pa.RecordBatch.from_arrays([b["doc"], b["key"], pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
-            if held >= 2_000_000:
+            if held >= 1_000_000:
                 yield packed()
                 sig, of, held = [], [], 0
         if held:
             yield packed()
 
-    return docs.select("doc", "key", "text").mapInArrow(scan, "doc long, key long, n long, c long, counts binary, part int, sig binary, of binary")
+    return in_batches(docs.select("doc", "key", "text"), scan, "doc long, key long, n long, c long, counts binary, part int, sig binary, of binary")
 
 
 def equal_groups(packed: DataFrame, parts: int) -> DataFrame:
@@ -163,7 +163,7 @@ def equal_groups(packed: DataFrame, parts: int) -> DataFrame:
                 g = (np.int64(p) << 32) | s[lo : lo + (1 << 20)][k].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c[lo : lo + (1 << 20)][k])], names=["g", "c"])
 
-    return packed.repartition(parts, "part").mapInArrow(match, "g long, c long")
+    return in_batches(packed.repartition(parts, "part"), match, "g long, c long")
 
 
 #: Classes that an equal group's tree holds; a larger group is tied together without one, which only makes blocks larger.
@@ -205,7 +205,7 @@ def candidate_links(groups: DataFrame, counts: DataFrame, parts: int, percent: i
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
     rows = groups.join(counts, "c").select("g", "c", "n", "counts")
-    return rows.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(bound, "a long, b long").distinct()
+    return in_batches(rows.repartition(parts, "g").sortWithinPartitions("g"), bound, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -334,7 +334,8 @@ def alike(docs: DataFrame, n: int = 4, percent: int = 85, block_most: int = BLOC
         if len(held) > 1:
             yield done()
 
-    pairs = placed.repartition(parts, "root", "task").sortWithinPartitions("root", "task").select("root", "task", "mine", "c", "text").mapInArrow(compare, "a long, b long")
+    sorted_ = placed.repartition(parts, "root", "task").sortWithinPartitions("root", "task").select("root", "task", "mine", "c", "text")
+    pairs = in_batches(sorted_, compare, "a long, b long")
     found = written(pairs, "found")
     # within one task the links are stars already; across tasks of one block they may not be
     root = components(found) if size.where(F.col("members") > block_most).limit(1).count() else found.select(F.col("b").alias("c"), F.col("a").alias("root"))

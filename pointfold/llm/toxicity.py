@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointfold.llm.common import SPACE, table, word_hashes
+from pointfold.llm.common import SPACE, in_batches, table, word_hashes
 
 #: Bounds of what the driver fits on: rows, and bytes of their texts (longer texts wait for the next fit).
 SAMPLE, SAMPLE_TEXT = 6_000, 20_000
@@ -186,11 +186,11 @@ def scored(docs: DataFrame, model: Classifier | None) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            s = [m.score(hashed(t.as_py())) if m else 0.0 for t in b["text"]]
+            s = [m.score(hashed(t.as_py())) if m else 0.0 for t in b["row"].field("text")]
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(s, pa.float64())], names=["row", "__score"])
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return rows.mapInArrow(scan, f"row {rows.schema['row'].dataType.simpleString()}, __score double").select("row.*", "__score")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return in_batches(rows, scan, f"row {rows.schema['row'].dataType.simpleString()}, __score double").select("row.*", "__score")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
