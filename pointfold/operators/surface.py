@@ -41,7 +41,7 @@ def _cross(a: list[Column], b: list[Column]) -> list[Column]:
 def nearest(a: DataFrame, b: DataFrame, k: int, radius: int, widest: int, others: bool = False) -> DataFrame:
     """frame, pid, o_pid, d2, rank: the k nearest of b (frame, pid, x, y, z) to each row of a, ties to the smaller o_pid; with `others`, never the row itself.
 
-    Rows that have fewer than k within the radius look twice as far, until `widest`, so a sparse row does not widen the join of all.
+    Rows that have fewer than k within the radius look four times as far, until `widest`, so a sparse row does not widen the join of all.
     """
     parts, todo = [], a.select("frame", "pid", "x", "y", "z")
     mine = Window.partitionBy("frame", "pid")
@@ -55,7 +55,7 @@ def nearest(a: DataFrame, b: DataFrame, k: int, radius: int, widest: int, others
             break
         parts.append(top.withColumn("__n", F.count("*").over(mine)).where(F.col("__n") == k).drop("__n"))
         todo = todo.join(parts[-1].where("rank = 1").select("frame", "pid"), ["frame", "pid"], "left_anti")
-        radius *= 2
+        radius *= 4
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
