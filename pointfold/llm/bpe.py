@@ -52,7 +52,11 @@ class Vocabulary:
         model = d["model"]
         self.ids: dict[str, int] = dict(model["vocab"])
         self.end: str = model["end_of_word_suffix"] or ""
-        self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): r for r, m in enumerate(model["merges"])}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        #: A pair of ids, as one number, to the rank of its merge; and what each rank makes.
+        self.wide = max(self.ids.values()) + 1
+        self.ranks = {self.ids[a] * self.wide + self.ids[b]: r for r, (a, b) in enumerate(merges)}
+        self.made = [self.ids[a + b] for a, b in merges]
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         self.names = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
         split = next(p for p in d["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -62,42 +66,48 @@ class Vocabulary:
         new = "".join(f"\\U{ord(c):08x}" for c in self.newer)
         # sets this large are slow, so only texts that hold such letters go by them
         self.words_without_newer = regex.compile(pattern.replace(f"[^{WHITE}\\p{{L}}\\p{{N}}]", f"[[^{WHITE}\\p{{L}}\\p{{N}}]||[{new}]]").replace("[\\p{L}]", f"[\\p{{L}}--[{new}]]").replace("|[\\p{N}]|", f"|[\\p{{N}}--[{new}]]|"), regex.V1) if new else self.words
-        self.letters = byte_letters()
-        self.white = regex.compile(f"[{WHITE}]+")
+        #: The ids of a byte inside a word and at its end; None where the vocabulary lacks it.
+        self.inner, self.final = ([self.ids.get(c + e) for c in byte_letters()] for e in ("", self.end))
+        self.digits = {i: str(i) for i in self.names}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.memory: dict[str, tuple[str, str, int]] = {}
 
-    def symbols(self, word: str) -> list[str]:
-        out = [self.letters[b] for b in word.encode("utf-8")]
-        out[-1] += self.end
-        return [x for x in out if x in self.ids]
-
-    def merged(self, symbols: list[str]) -> list[str]:
-        n, ranks = len(symbols), self.ranks
-        sym: list[str | None] = list(symbols)
+    def symbols(self, word: str) -> list[int]:
+        data = word.encode("utf-8")
+        out = [self.inner[b] for b in data[:-1]]
+        out.append(self.final[data[-1]])
+        return [x for x in out if x is not None]
+
+    def merged(self, sym: list[int]) -> list[int]:
+        """Ids left when no pair merges. The queue holds rank * n + place; an entry whose place no longer starts a pair of that rank is stale."""
+        n, ranks, made, wide = len(sym), self.ranks, self.made, self.wide
+        heap = [r * n + i for i in range(n - 1) if (r := ranks.get(sym[i] * wide + sym[i + 1])) is not None]
+        if not heap:
+            return sym
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(ranks[p], i, *p) for i in range(n - 1) if (p := (symbols[i], symbols[i + 1])) in ranks]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            rank, i = divmod(pop(heap), n)
             j = right[i]
-            if sym[i] != a or j < 0 or sym[j] != b:
+            if j < 0 or sym[i] < 0 or ranks.get(sym[i] * wide + sym[j]) != rank:
                 continue  # stale
-            sym[i], sym[j] = a + b, None
+            s = sym[i] = made[rank]
+            sym[j] = -1
             k = right[i] = right[j]
             if k >= 0:
                 left[k] = i
-                if (p := (a + b, sym[k])) in ranks:
-                    heapq.heappush(heap, (ranks[p], i, *p))
+                if (r := ranks.get(s * wide + sym[k])) is not None:
+                    push(heap, r * n + i)
             h = left[i]
-            if h >= 0 and (p := (sym[h], a + b)) in ranks:
-                heapq.heappush(heap, (ranks[p], h, *p))
-        return [s for s in sym if s is not None]
+            if h >= 0 and (r := ranks.get(sym[h] * wide + s)) is not None:
+                push(heap, r * n + h)
+        return [s for s in sym if s >= 0]
 
     def word(self, word: str) -> tuple[str, str, int]:
         """Ids and decoded strings, each joined by a space, and their number."""
-        names = self.merged(self.symbols(word))
-        found = (" ".join(str(self.ids[s]) for s in names), " ".join(names), len(names))
+        ids = self.merged(self.symbols(word))
+        found = (" ".join([self.digits[i] for i in ids]), " ".join([self.names[i] for i in ids]), len(ids))
         if len(word) < 64:
             if len(self.memory) >= MEMORY:
                 self.memory.clear()
@@ -116,7 +126,8 @@ class Vocabulary:
                 back.append(piece)
                 total += 1
                 continue
-            piece = self.white.sub(" ", unicodedata.normalize("NFC", piece))
+            # white space needs no cleaning: no pattern of a word matches it
+            piece = unicodedata.normalize("NFC", piece)
             # letter by letter where a capital's neighbours would matter
             piece = "".join(map(str.lower, piece)) if "Σ" in piece else piece.lower()
             pattern = self.words if piece.isascii() or self.newer.isdisjoint(piece) else self.words_without_newer
