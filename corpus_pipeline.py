@@ -17,11 +17,11 @@ from pointfold.llm.common import table, written
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model, cuts = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    rows, _, cuts = toxicity.judged(docs, table(spark, sf_dir, "labels"), docs.columns)
     cut = F.lit(toxicity.THRESHOLD)
     for lang, at in sorted(cuts.items()):
         cut = F.when(F.col("lang") == lang, at).otherwise(cut)
-    return toxicity.scored(docs, model).where(F.col("__score") < cut).drop("__score")
+    return rows.where(F.col("__score") < cut).drop("__score")
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ over the whole text goes to a logistic layer. As filters are linear, their value
 and a text costs look-ups and sums only.
 
 Fitting uses at most SAMPLE labelled rows, those with the least hashes of their ids, evenly from both labels, on the
-driver (a bounded size, whatever the corpus). The score is shifted so that the best threshold on the fitted rows is
-0.7 overall; `thresholds` gives one for each language.
+driver (a bounded size, whatever the corpus). Thresholds come from all labelled rows that aren't held out, whole texts
+included, counted by bins of their values: the score is shifted so that the best threshold is 0.7 overall, and
+`thresholds` gives one for each language.
 
 Result for odd input: null and empty texts have no words and a constant low score; labels that are null or whose doc_id
 is null or unknown aren't used; if a label is missing altogether, all scores are 0; repeated rows score alike; other
@@ -20,15 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointfold.llm.common import SPACE, in_batches, table, word_hashes
+from pointfold.llm.common import SPACE, in_batches, table, word_hashes, written
 
 #: Bounds of what the driver fits on: rows, and bytes of their texts (longer texts wait for the next fit).
 SAMPLE, SAMPLE_TEXT = 6_000, 20_000
 ROWS, DIM, WIDTHS, FILTERS, SEEN = 1 << 15, 12, (1, 2, 3), 10, 20_000
 THRESHOLD = 0.7
+#: Bins of values before the logistic function, for each unit; values beyond LIMIT count as LIMIT.
+BINS, LIMIT = 64, 30.0
 
 _EDGE = np.zeros(256, bool)
 _EDGE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -126,15 +129,6 @@ class Classifier:
                     p -= np.float32(rate) * x / np.sqrt(q) * (x != 0)
         self.tabled()
 
-    def calibrate(self, texts: list[np.ndarray], labels: np.ndarray) -> None:
-        """Shifts scores so that the threshold with the best F1 on these rows is at THRESHOLD."""
-        self.shift = 0.0
-        s = np.array([self.logit(t) for t in texts])
-        self.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(s, labels))
-
-    def score(self, words: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.logit(words), -30, 30))))
-
 
 def best_cut(scores: np.ndarray, labels: np.ndarray) -> float:
     """Halfway between the two scores between which the F1 of 'at least this score' is best."""
@@ -149,52 +143,92 @@ def held_out(doc_id: object) -> object:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
+def labelled(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of the labelled rows to learn from, one for each doc_id; never a held-out row."""
+    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return known.where(~F.coalesce(held_out("doc_id"), F.lit(True)))
+
+
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list:
-    """Labelled rows to learn from: (text, lang, toxic), at most `most`, half of each label if there are as many; never a held-out row. Ordered by a hash of doc_id, so reruns agree. Only a bounded number of ids is taken before texts are looked up."""
-    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~F.coalesce(held_out("doc_id"), F.lit(True)))
-    ids = known.withColumn("by", F.xxhash64("doc_id"))
+    """Labelled rows to fit on: (text, toxic), at most `most`, half of each label if there are as many. Ordered by a hash of doc_id, so reruns agree. Only a bounded number of ids is taken before texts are looked up."""
+    ids = labelled(labels).withColumn("by", F.xxhash64("doc_id"))
     picked = ids.where("toxic = 1").orderBy("by").limit(most // 2).union(ids.where("toxic = 0").orderBy("by").limit(most // 2))
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.where(F.length("text") <= SAMPLE_TEXT).select("doc_id", "text", lang.alias("lang"))
-    rows = texts.join(F.broadcast(picked), "doc_id").select("text", "lang", "toxic", "by").collect()
+    texts = docs.where(F.length("text") <= SAMPLE_TEXT).select("doc_id", "text")
+    rows = texts.join(F.broadcast(picked), "doc_id").select("text", "toxic", "by").collect()
     return sorted(rows, key=lambda r: (r.by, r.text))[: 2 * most]
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[Classifier | None, dict[str, float]]:
-    """The classifier, and for each language with enough rows the score from which a text counts as toxic."""
+def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Classifier | None:
     rows = sample(docs, labels, most)
     y = np.array([r.toxic for r in rows], float)
     if not len(y) or y.min() == y.max():
-        return None, {}
-    texts = [hashed(r.text) for r in rows]
+        return None
     model = Classifier()
-    model.fit(texts, y)
-    model.calibrate(texts, y)
-    scores = np.array([model.score(t) for t in texts])
-    cuts = {}
-    for lang in {r.lang for r in rows}:
-        own = np.array([r.lang == lang for r in rows])
-        if lang is not None and y[own].sum() >= 20 and (1 - y[own]).sum() >= 20:
-            cuts[lang] = min(max(best_cut(scores[own], y[own]), 0.3), 0.9)
-    return model, cuts
+    model.fit([hashed(r.text) for r in rows], y)
+    return model
+
+
+def thresholds(rows: DataFrame, labels: DataFrame) -> tuple[float, dict[str, float]]:
+    """The cut over all labelled rows, and that of each language with at least 20 of either label. rows: doc_id, lang, __logit.
+
+    As best_cut, from counts of bins: only bins and labels of each language come together, one row of each to the driver.
+    """
+    own = rows.join(labelled(labels), "doc_id").select(F.explode(F.array(F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("lang")), F.struct(F.lit(False).alias("all"), "lang"))).alias("of"), "__logit", "toxic").select("of.*", "__logit", "toxic")
+    own = own.where("all OR lang IS NOT NULL").withColumn("bin", F.floor(F.greatest(F.least("__logit", F.lit(LIMIT)), F.lit(-LIMIT)) * BINS).cast("int"))
+    bins = own.groupBy("all", "lang", "bin").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n"), F.min("__logit").alias("lo"), F.max("__logit").alias("hi"))
+    w = Window.partitionBy("all", "lang")
+    down = w.orderBy(F.col("bin").desc())
+    f1 = 2 * F.sum("pos").over(down) / (F.sum("n").over(down) + F.greatest(F.sum("pos").over(w), F.lit(1)))
+    cut = F.coalesce((F.col("lo") + F.lead("hi").over(down)) / 2, F.col("lo") - 1e-3)
+    best = bins.select("all", "lang", "bin", "pos", "n", f1.alias("f1"), cut.alias("cut")).groupBy("all", "lang")
+    found = best.agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.max(F.struct("f1", "bin", "cut")).alias("best")).where("all OR (pos >= 20 AND n - pos >= 20)")
+    cuts = {(r["all"], r["lang"]): r["best"]["cut"] for r in found.collect()}
+    return cuts.pop((True, None), 0.0), {lang: at for (_, lang), at in cuts.items()}
+
+
+def judged(docs: DataFrame, labels: DataFrame, keep: list[str], most: int = SAMPLE) -> tuple[DataFrame, Classifier | None, dict[str, float]]:
+    """The columns `keep` of docs with __score, the classifier, and for each language with enough labels the score from which a text counts as toxic. Texts are read once; their values are written out and give the cuts and the scores."""
+    model = fitted(docs, labels, most)
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = logits(docs.withColumn("__lang", lang.cast("string")), model).select(*keep, F.col("doc_id").alias("__id"), "__lang", "__logit")
+    if model is None:
+        return rows.select(*keep, F.lit(0.0).alias("__score")), None, {}
+    rows = written(rows, "logits")
+    cut, by_lang = thresholds(rows.select(F.col("__id").alias("doc_id"), F.col("__lang").alias("lang"), "__logit"), labels)
+    model.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut)
+    cuts = {k: min(max(float(1 / (1 + np.exp(-np.clip(at + model.shift, -LIMIT, LIMIT)))), 0.3), 0.9) for k, at in by_lang.items()}
+    return rows.select(*keep, as_score(F.col("__logit") + model.shift).alias("__score")), model, cuts
 
 
-def scored(docs: DataFrame, model: Classifier | None) -> DataFrame:
-    """The columns of docs with __score, from the text alone."""
+def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[Classifier | None, dict[str, float]]:
+    """The classifier, and for each language with enough rows the score from which a text counts as toxic."""
+    return judged(docs, labels, [], most)[1:]
+
+
+def as_score(logit: Column) -> Column:
+    return F.when(logit.isNull(), 0.0).otherwise(1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(LIMIT)), F.lit(-LIMIT)))))
+
+
+def logits(docs: DataFrame, model: Classifier | None) -> DataFrame:
+    """The columns of docs with __logit, from the text alone; null without a model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: ROWS x DIM, and its table
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            s = [m.score(hashed(t.as_py())) if m else 0.0 for t in b["row"].field("text")]
-            yield pa.RecordBatch.from_arrays([b["row"], pa.array(s, pa.float64())], names=["row", "__score"])
+            s = [m.logit(hashed(t.as_py())) if m else None for t in b["row"].field("text")]
+            yield pa.RecordBatch.from_arrays([b["row"], pa.array(s, pa.float64())], names=["row", "__logit"])
 
     rows = docs.select(F.struct(*docs.columns).alias("row"))
-    return in_batches(rows, scan, f"row {rows.schema['row'].dataType.simpleString()}, __score double").select("row.*", "__score")
+    return in_batches(rows, scan, f"row {rows.schema['row'].dataType.simpleString()}, __logit double").select("row.*", "__logit")
+
+
+def scored(docs: DataFrame, model: Classifier | None) -> DataFrame:
+    """The columns of docs with __score, from the text alone."""
+    return logits(docs, model).select(*docs.columns, as_score(F.col("__logit")).alias("__score"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model, _ = train(docs, table(spark, sf_dir, "labels"))
-    out = scored(docs.select("doc_id", "text"), model)
+    out, _, _ = judged(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), ["doc_id"])
     return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))

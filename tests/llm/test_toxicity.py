@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 
-from pointfold.llm.toxicity import Classifier, best_cut, hashed, op10_toxicity, scored, train
+from pointfold.llm.toxicity import Classifier, best_cut, hashed, held_out, judged, op10_toxicity, scored, thresholds, train
 
 
 def test_held_out_rows_rank_well(spark):
@@ -49,3 +49,26 @@ def test_labels_that_teach_nothing(spark):
 
 def test_best_cut():
     assert best_cut(np.array([0.1, 0.9, 0.8, 0.2]), np.array([0.0, 1.0, 1.0, 0.0])) == 0.5
+
+
+def test_thresholds_come_from_all_labelled_rows(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, "ab"[i % 2], float(r.normal(2 * (i % 7 == 0), 1)), int(i % 7 == 0)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, __logit double, toxic int")
+    rows = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 3 != 1]
+    cut, by_lang = thresholds(df.drop("toxic"), df.select("doc_id", "toxic"))
+    f1 = lambda own, at: (lambda p, y: 2 * (p & y).sum() / (p.sum() + y.sum()))(np.array([x[2] >= at for x in own]), np.array([x[3] == 1 for x in own]))
+    for at, own in [(cut, rows), *[(by_lang[k], [x for x in rows if x[1] == k]) for k in "ab"]]:
+        best = best_cut(np.array([x[2] for x in own]), np.array([float(x[3]) for x in own]))
+        assert f1(own, at) > f1(own, best) - 0.01
+
+
+def test_cut_is_the_same_whatever_the_sample(spark):
+    """The sample has as many rows of either label and no long text; the cut still is the best one on all rows."""
+    docs = spark.createDataFrame([(i, ("bad " if i % 10 == 0 else "good ") + f"w{i % 5} " * (8000 if i % 4 == 0 else 3) + ("bad" if i % 20 == 1 else "")) for i in range(400)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 10 = 0 AS INT) AS toxic")
+    got, model, _ = judged(docs, labels, ["doc_id"], 40)
+    rows = [(x["__score"], float(x.toxic)) for x in got.join(labels, "doc_id").where(~held_out("doc_id")).collect()]
+    s, y = map(np.array, zip(*rows, strict=True))
+    f1 = lambda at: 2 * ((s >= at) & (y == 1)).sum() / ((s >= at).sum() + y.sum())
+    assert f1(0.7) > f1(best_cut(s, y)) - 0.01
