@@ -1,7 +1,7 @@
 """Operator 9: I-Match fingerprints over randomised parts of a lexicon.
 
 Terms are the lower-cased words of a text. The lexicon holds the terms whose inverse document frequency is in a band;
-frequencies are counted over all documents by 2**BITS hash classes, so the lexicon is a bitmap of fixed size.
+frequencies are counted over all distinct texts by 2**BITS hash classes, so the lexicon is a bitmap of fixed size.
 A fingerprint hashes the sorted distinct lexicon terms of the text that fall in each of PARTS random parts of the
 lexicon. So that a part holds about one term of any text, long or short, the parts are thinned by a power of two
 that follows from the number of terms, and the next power's hashes are kept too, to compare with a neighbouring size.
@@ -31,10 +31,14 @@ def term_hashes(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, min_docs: int = 2, max_share: float = 0.05) -> DataFrame:
-    """One row, `lex`: a bit for each hash class that at least min_docs documents hold, and at most max_share of them, as 2**BITS / 64 longs."""
-    classes = docs.select(F.explode(F.array_distinct(F.transform(term_hashes(F.col("text")), lambda h: h.bitwiseAND(2**BITS - 1).cast("int")))).alias("b"))
-    seen = classes.groupBy("b").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
+    """One row, `lex`: a bit for each hash class that at least min_docs distinct texts hold, and at most max_share of them, as 2**BITS / 64 longs. Exact copies count once, by a 128-bit hash."""
+    text = F.coalesce("text", F.lit(""))
+    key = [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+    held_by = F.array_distinct(F.transform(term_hashes(text), lambda h: h.bitwiseAND(2**BITS - 1).cast("int")))
+    # one row of each text: copies of it are dropped within a task before any move
+    once = docs.select(*key, held_by.alias("of")).dropDuplicates(["k1", "k2"])
+    seen = once.select(F.explode("of").alias("b")).groupBy("b").agg(F.count("*").alias("df"))
+    n = docs.select(*key).distinct().agg(F.count("*").alias("n"))
     # a small corpus has no use for a share: terms of up to 10 documents stay
     most = F.greatest(F.lit(10.0), n.scalar() * max_share)
     held = seen.where((F.col("df") >= min_docs) & (F.col("df") <= most))

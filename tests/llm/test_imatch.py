@@ -44,3 +44,12 @@ def test_repeated_rows_and_no_rows(spark):
     assert len({tuple(r.f) for r in got if r.doc_id > 1}) == 1
     assert fingerprints(df.limit(0)).count() == 0
     assert with_next(df.limit(0), "text").count() == 0
+
+
+def test_terms_of_a_large_group_of_copies_stay(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    texts = [a] * 100 + [f"{a} more"] + [b] * 100 + [f"{b} other"] + [f"w{i} v{i // 2}" for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.text: (r.fingerprint.low, r.fingerprint.high) for r in fingerprints(df).where(F.col("text").isin(a, b)).collect()}
+    assert all(any(p != "-" for p in low) for low, _ in got.values())
+    assert got[a] != got[b]
