@@ -12,8 +12,10 @@ from pointfold.operators.surface import nearest
 FEATURES = ["x", "y", "z", "r", "g", "b", "nx", "ny", "nz"]
 
 
-def pruned(seeds: DataFrame, v: DataFrame, radius: int, least: int) -> DataFrame:
-    """Seeds (key, x, y, z) with more than `least` voxels within radius, themselves included."""
+def pruned(seeds: DataFrame, v: DataFrame, radius: int, least: int, existing: DataFrame | None = None) -> DataFrame:
+    """Seeds (key, x, y, z) with more than `least` voxels within radius, themselves included, and none of them an existing seed (frame, x, y, z of its voxel)."""
+    if existing is not None:
+        seeds = seeds.join(radius_pairs(seeds, existing.select("frame", "x", "y", "z"), radius).select(*KEY).distinct(), KEY, "left_anti")
     near = radius_pairs(seeds, v.select("frame", "x", "y", "z"), radius).groupBy(*KEY).agg(F.count("*").alias("near"))
     return seeds.join(near.where(F.col("near") > least), KEY)
 

@@ -89,6 +89,15 @@ def test_pruned_seeds_need_enough_voxels(spark):
     assert {(r.kx, r.ky) for r in got} == {(i, j) for i in range(3) for j in range(3)}
 
 
+def test_seeds_near_an_existing_one_go(spark):
+    rows = [(f, i, 0, 0, 40 * i, 0, 0) for f in (0, 1) for i in range(8)]
+    v = spark.createDataFrame(rows, "frame int, kx long, ky long, kz long, x long, y long, z long")
+    had = v.where("frame = 0 AND kx = 2").select("frame", "x", "y", "z")
+    got = {(r.frame, r.kx) for r in growth.pruned(v, v, 102, 2, had).collect()}
+    # within 102 of x = 80 in frame 0 are kx 0 to 4
+    assert got == {(0, 5), (0, 6), (0, 7)} | {(1, i) for i in range(8)}
+
+
 def test_greedy_ranks_by_brute_force(spark):
     rng = np.random.default_rng(5)
     d = spark.createDataFrame([(i % 2, i, [int(x) for x in rng.integers(0, 4, 4)]) for i in range(60)], "label long, kp_id long, desc array<long>")
