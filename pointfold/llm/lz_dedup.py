@@ -1,5 +1,11 @@
 """Operator 4: repeats of word sequences, by relative Lempel-Ziv parsing against reference blocks of earlier documents.
 
+Stretches around winnowed anchors that occur more than once (repeats.py) are parsed anchor by anchor, one of each
+distinct stretch: that of its smallest document, indexed in reference blocks, and once more for all its later documents.
+Every stretch is factored greedily against each block of smaller documents. As factors are the longest possible, a
+window that a block holds lies in one factor or crosses one boundary, so long factors and the boundaries between factors
+that are long enough together find them all. Nothing is removed that no parse found.
+
 Result for odd input: null or blank text has no words; texts shorter than the window keep all words; rows that
 share a doc_id are neither's predecessor, so they keep what only they share; a null doc_id counts as the largest;
 other columns of `docs` are ignored; an empty table gives an empty result.
@@ -8,22 +14,21 @@ other columns of `docs` are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointfold.llm.common import partitions, table, word_bounds, word_hashes, written
-from pointfold.llm.repeats import contexts, fetched, in_groups, keyed, merged, places, signed, spans_by_document
+from pointfold.llm.common import in_batches, table, word_bounds, word_hashes, written
+from pointfold.llm.repeats import at_places, contexts, decided, fetched, keyed, merged, places, spans_by_document
 
-#: Contexts that one reference block indexes; a group's contexts are parsed against each of its blocks.
+#: Stretches that one reference block indexes; a group's stretches are parsed against each of its blocks.
 BLOCK = 512
-#: Contexts of one anchor that go to one task; beyond, their windows are counted by 128-bit fingerprints, which spread over all tasks.
+#: Stretches of one anchor that go to one task; more are grouped anew by what fewer windows share.
 GROUP_MOST = 8_192
+WIDTHS = (8, 1)
 
 
 def word_symbols(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,113 +78,90 @@ class ReferenceBlock:
             p = link[p]
         return new
 
-    def parse(self, words: list[int], least: int) -> list[tuple[int, int]]:
-        """Greedy factors (start, end) of at least `least` words. At a factor's end the parse doesn't start over: it keeps the longest end of the factor that goes on, so that a sequence across the boundary is found too."""
+    def factors(self, words: list[int]) -> list[tuple[int, int, int]]:
+        """Greedy parse: (start, end, state) of the longest factor from each start on; a word that the block lacks is none."""
+        to = self.to
+        out, i, n = [], 0, len(words)
+        while i < n:
+            state, j = 0, i
+            while j < n and (nxt := to[state].get(words[j])) is not None:
+                state, j = nxt, j + 1
+            if j > i:
+                out.append((i, j, state))
+            i = max(j, i + 1)
+        return out
+
+    def across(self, words: list[int], state: int, at: int, least: int) -> list[tuple[int, int]]:
+        """Matches of at least `least` words that begin before the boundary `at` and end after it. state: of the factor that ends there. Its ends are tried from the longest on, each as far as it goes."""
         to, link, length = self.to, self.link, self.length
-        state = size = 0
-        out: list[tuple[int, int]] = []
-        for i, w in enumerate(words):
-            nxt = to[state].get(w)
-            if nxt is None:
-                if size >= least:
-                    out.append((i - size, i))
-                while state != -1 and w not in to[state]:
-                    state = link[state]
-                if state == -1:
-                    state = size = 0
-                    continue
+        out, j, size = [], at, length[state]
+        while j < len(words):
+            w = words[j]
+            while state > 0 and w not in to[state]:
+                if size >= least and j > at:
+                    out.append((j - size, j))
+                state = link[state]
                 size = length[state]
-                nxt = to[state][w]
-            state, size = nxt, size + 1
-        if size >= least:
-            out.append((len(words) - size, len(words)))
+                if j - size >= at:
+                    return out
+            if state <= 0:
+                return out
+            state, size, j = to[state][w], size + 1, j + 1
+        if size >= least and j > at:
+            out.append((j - size, j))
+        return out
+
+    def parse(self, words: list[int], least: int) -> list[tuple[int, int]]:
+        """(start, end) of all stretches of at least `least` words that the block holds: long factors, and matches across boundaries."""
+        out = []
+        before = (0, 0, 0)
+        for i, j, state in self.factors(words):
+            if j - i >= least:
+                out.append((i, j))
+            a, z, s = before
+            if z == i and z > a and (z - a) + (j - i) >= least:
+                out += self.across(words, s, i, least)
+            before = (i, j, state)
         return out
 
 
-def narrowed(rows: list[dict], words: list[np.ndarray], length: int, width: int) -> list[list[tuple[int, int, int]]]:
-    """Groups of (row, d low, d high) whose windows may recur: what all windows of a range of offsets share must."""
-    by_core: dict[tuple, list] = defaultdict(list)
-    for i, r in enumerate(rows):
-        top, ws = r["d1"], words[i]
-        for q in range(r["d0"] // width, r["d1"] // width + 1):
-            core = ws[top - q * width : max(top - q * width - width + 1 + length, top - q * width)]
-            by_core[(r["h"], q, xxhash.xxh3_64_intdigest(core.tobytes()))].append((i, max(r["d0"], q * width), min(r["d1"], q * width + width - 1)))
-    return [items for items in by_core.values() if len(items) > 1]
-
-
-def parsed(rows: list[dict], length: int, block: int = BLOCK, width: int = 8) -> Iterator[tuple[int, int, int]]:
-    """(row, d low, d high) of windows that also start in a smaller doc among the rows' own documents (each context's smallest)."""
-    words = [word_hashes(np.frombuffer(r["bytes"], np.uint8)) for r in rows]
-    for items in narrowed(rows, words, length, width):
-        items.sort(key=lambda x: rows[x[0]]["doc"])
-        blocks: list[ReferenceBlock] = []
-        waiting: list[list[int]] = []
-        seen: set[bytes] = set()
-        held, doc = block, None
-        for i, lo, hi in items:
-            r = rows[i]
-            if r["doc"] != doc:
-                for text in waiting:
-                    if held >= block:
-                        blocks.append(ReferenceBlock())
-                        held = 0
-                    blocks[-1].add(text)
-                    held += 1
-                waiting, doc = [], r["doc"]
-            piece = words[i][r["d1"] - hi : r["d1"] - lo + length]
-            text = piece.tolist()
-            for b in blocks:
-                for a, z in b.parse(text, length):
-                    yield i, hi - (z - length), hi - a
-            if (raw := piece.tobytes()) not in seen:
-                seen.add(raw)
-                waiting.append(text)
-
-
-def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 4, group_most: int = GROUP_MOST, block: int = BLOCK) -> DataFrame:
+def parsed(rows: list[dict], length: int, block: int = BLOCK) -> Iterator[tuple[int, bool, int, int]]:
+    """(row, later, d low, d high) of windows that also start in a smaller doc. Rows are the stretches of one anchor: as their smallest doc has them, and (later) as all larger docs do."""
+    words = [word_hashes(np.frombuffer(r["bytes"], np.uint8)).tolist() for r in rows]
+    asked = sorted([(r["low"], False, i) for i, r in enumerate(rows)] + [(r["high"], True, i) for i, r in enumerate(rows) if r["high"] > r["low"]])
+    held = [x for x in asked if not x[1]]
+    for first in range(0, len(held), block):
+        some = held[first : first + block]
+        reference, added = ReferenceBlock(), 0
+        for doc, later, i in asked:
+            while added < len(some) and some[added][0] < doc:
+                reference.add(words[some[added][2]])
+                added += 1
+            if added:
+                for a, z in reference.parse(words[i], length):
+                    yield i, later, rows[i]["d1"] - (z - length), rows[i]["d1"] - a
+
+
+def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 4, group_most: int = GROUP_MOST, block: int = BLOCK, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """docs: as keyed() gives them. Rows doc, key, a, b: word spans whose windows of `length` words also start in a smaller doc."""
     at = written(places(docs, length, gram, word_symbols), "places")
     one = contexts(at)
-    mixed = one.where("k > 1")
-    found = fetched(mixed, docs)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in in_groups(batches, "h", 8_000_000, "bytes"):
-            out = [(rows[i]["h"], rows[i]["c"], rows[i]["doc"], lo, hi) for i, lo, hi in parsed(rows, length, block)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["h", "c", "doc", "lo", "hi"])
+    def compare(rows: list[dict]) -> Iterator[tuple]:
+        group: list[dict] = []
+        for r in [*rows, None]:
+            if group and (r is None or r["h"] != group[0]["h"]):
+                for i, later, lo, hi in parsed(group, length, block):
+                    yield group[i]["h"], group[i]["c"], group[i]["low"], later, lo, hi
+                group = []
+            group.append(r)
 
-    n = partitions(docs.sparkSession)
-    factors = found.where(F.col("k") <= group_most).repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(compare, "h long, c long, doc long, lo int, hi int")
-    if mixed.where(F.col("k") > group_most).limit(1).count():
-        factors = factors.union(_counted(found.where(F.col("k") > group_most), length))
-    # in one join with the places: a repeated context's windows all recur in its later documents; in its smallest, those that the parse found do
-    whole = one.where("n > 1").select("h", "c", F.col("doc").alias("low"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
-    ranges = whole.union(factors.select("h", "c", F.col("doc").alias("low"), "lo", "hi"))
-    hit = at.join(ranges, ["h", "c"]).where("(lo IS NULL AND doc > low) OR (lo IS NOT NULL AND doc = low)")
-    return hit.select("doc", "key", (F.col("pos") - F.coalesce("hi", "d1")).alias("a"), (F.col("pos") - F.coalesce("lo", "d0") + length).alias("b"))
+    ranges = decided(fetched(one, docs), compare, "h long, c long, low long, later boolean, lo int, hi int", length, word_symbols, widths, group_most)
+    hit = at_places(at, one, ranges).where("later AND doc > low OR NOT later AND doc = low")
+    return hit.select("doc", "key", (F.col("pos") - F.col("hi")).alias("a"), (F.col("pos") - F.col("lo") + length).alias("b"))
 
 
-def _counted(found: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts: the smallest doc of every window's fingerprint, found everywhere."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for r in batch.to_pylist():
-                words = word_hashes(np.frombuffer(r["bytes"], np.uint8))
-                for d in range(r["d0"], r["d1"] + 1):
-                    x = xxhash.xxh3_128_intdigest(words[r["d1"] - d : r["d1"] - d + length].tobytes())
-                    for to, v in zip(out, (signed(x >> 64), signed(x & (2**64 - 1)), r["h"], r["c"], r["doc"], d), strict=True):
-                        to.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["f1", "f2", "h", "c", "doc", "d"])
-
-    w = written(found.mapInArrow(windows, "f1 long, f2 long, h long, c long, doc long, d long"), "windows")
-    low = w.groupBy("f1", "f2", "h").agg(F.min("doc").alias("low"))
-    d = F.col("d").cast("int")
-    return w.join(low, ["f1", "f2", "h"]).where("doc > low").select("h", "c", "doc", d.alias("lo"), d.alias("hi"))
-
-
-def remove_repeats(docs: DataFrame, length: int = 50, **kwargs: int) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, **kwargs: object) -> DataFrame:
     """doc_id, n_words, n_removed, spans (word offsets of the maximal removed runs), kept (the words that remain, one space between)."""
     docs = keyed(docs)
     spans = spans_by_document(repeated_spans(docs, length, **kwargs))
@@ -198,7 +180,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, **kwargs: int) -> DataFram
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("kept", pa.binary())]))
 
     whole = docs.join(spans, ["doc", "key"], "left").select("doc_id", "text", "spans")
-    out = whole.mapInArrow(cut, "doc_id long, n_words long, n_removed long, spans array<struct<a:int,b:int>>, kept binary")
+    out = in_batches(whole, cut, "doc_id long, n_words long, n_removed long, spans array<struct<a:int,b:int>>, kept binary")
     return out.withColumn("kept", F.col("kept").cast("string"))
 
 

@@ -1,5 +1,10 @@
 """Operator 1: exact repeats of byte strings, by suffix arrays of shards of candidate text.
 
+Candidates are the stretches around winnowed anchors that occur more than once (repeats.py), one of each distinct
+stretch, with the number of its places as its weight. Suffix arrays of shards of them, by Larsson-Sadakane
+refinement, with Kasai's common prefixes, give the classes of equal windows; a group of stretches that needs several
+shards has their classes merged by binary search. A window is repeated where its class weighs more than one.
+
 Result for odd input: null text counts as empty; texts shorter than the window keep everything; rows that
 repeat (same doc_id and text) are documents of their own, so their texts repeat each other; rows that share only
 a doc_id are separate documents; other columns of `docs` are ignored; an empty table gives an empty result.
@@ -13,18 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointfold.llm import suffix
-from pointfold.llm.common import TABLE, partitions, table, written
-from pointfold.llm.repeats import contexts, fetched, in_groups, keyed, merged, places, signed, spans_by_document, window_span
+from pointfold.llm.common import TABLE, in_batches, table, written
+from pointfold.llm.repeats import at_places, contexts, decided, fetched, keyed, merged, places, spans_by_document
 
 #: Bytes of one suffix array's text; a larger group has several and is merged by binary search.
 SHARD_BYTES = 2_000_000
-#: Contexts of one anchor that go to one task; beyond, their windows are counted by 128-bit fingerprints, which spread over all tasks.
+#: Contexts of one anchor that go to one task; more are grouped anew by what fewer windows share.
 GROUP_MOST = 16_384
+WIDTHS = (32, 1)
 
 
 def byte_symbols(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -33,53 +38,22 @@ def byte_symbols(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Pieces:
-    """Distinct stretches of windows still to compare: text, number of windows, weight (rows that hold it) and the (row, first d) that it stands for."""
+    """Distinct stretches of one anchor: text, weight (places that hold it) and the (row, largest d) of its first window."""
 
     def __init__(self) -> None:
-        self.rows: list[list[tuple[int, int]]] = []
+        self.rows: list[tuple[int, int]] = []
         self.text: list[bytes] = []
         self.weight: list[int] = []
 
 
-def narrowed(rows: list[dict], length: int, widths: tuple[int, ...]) -> tuple[list[tuple[int, int, int]], list[list[Pieces]]]:
-    """Halve the ranges of offsets: what all windows of a range share (its core) must recur, else none of them does; where the whole range recurs, all do. Gives settled (row, d low, d high), and groups of pieces left over, by anchor."""
-    settled: list[tuple[int, int, int]] = []
-    todo = [(i, r["d0"], r["d1"]) for i, r in enumerate(rows)]
-    for step, width in enumerate(widths):
-        by_core: dict[tuple, list] = defaultdict(list)
-        for i, d0, d1 in todo:
-            r = rows[i]
-            text, top = r["bytes"], r["d1"]
-            for q in range(d0 // width, d1 // width + 1):
-                lo, hi = max(d0, q * width), min(d1, q * width + width - 1)
-                core = text[top - q * width : max(top - q * width - width + 1 + length, top - q * width)]
-                by_core[(r["h"], q, xxhash.xxh3_64_intdigest(core))].append((i, lo, hi))
-        todo, groups = [], []
-        for (h, _, _), items in by_core.items():
-            if len(items) < 2:
-                continue
-            same: dict[tuple, list] = defaultdict(list)
-            for i, lo, hi in items:
-                text, top = rows[i]["bytes"], rows[i]["d1"]
-                same[(hi, xxhash.xxh3_128_intdigest(text[top - hi : top - lo + length]))].append((i, lo, hi))
-            for these in same.values():
-                if len(these) > 1:
-                    settled += these
-            if len(same) > 1:
-                groups.append((h, list(same.values())))
-        if step + 1 < len(widths):
-            todo = [x for _, same in groups for these in same for x in these[:1]]
-            # the others of an equal stretch are settled already
-    left: dict[int, Pieces] = {}
-    for h, same in groups:
-        p = left.setdefault(h, Pieces())
-        for these in same:
-            i, lo, hi = these[0]
-            top = rows[i]["d1"]
-            p.rows.append((i, hi))
-            p.text.append(rows[i]["bytes"][top - hi : top - lo + length])
-            p.weight.append(sum(rows[j]["n"] for j, _, _ in these))
-    return settled, list(left.values())
+def by_anchor(rows: list[dict]) -> list[Pieces]:
+    out: dict[int, Pieces] = {}
+    for i, r in enumerate(rows):
+        p = out.setdefault(r["h"], Pieces())
+        p.rows.append((i, r["d1"]))
+        p.text.append(r["bytes"])
+        p.weight.append(r["n"])
+    return list(out.values())
 
 
 class Shard:
@@ -160,51 +134,21 @@ def repeated_windows(pieces: list[Pieces], length: int, shard_bytes: int) -> Ite
                 yield i, hi - (b - base), hi - (a - base)
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 32, shard_bytes: int = SHARD_BYTES, group_most: int = GROUP_MOST) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 32, shard_bytes: int = SHARD_BYTES, group_most: int = GROUP_MOST, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """docs: as keyed() gives them. Rows doc, key, a, b: byte spans whose windows of `length` bytes also start elsewhere."""
     at = written(places(docs, length, gram, byte_symbols), "places")
     one = contexts(at)
-    exact = at.join(one.where("n > 1").select("h", "c"), ["h", "c"]).select("doc", "key", *window_span(length))
-    mixed = one.where("k > 1")
-    found = fetched(mixed, docs)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in in_groups(batches, "h", 8_000_000, "bytes"):
-            settled, pieces = narrowed(rows, length, (512, 128, 32))
-            out = []
-            for i, lo, hi in [*settled, *repeated_windows(pieces, length, shard_bytes)]:
-                r = rows[i]
-                if r["n"] == 1:  # others are exact repeats already
-                    out.append((r["doc"], r["key"], r["pos"] - hi, r["pos"] - lo + length))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc", "key", "a", "b"])
-
-    n = partitions(docs.sparkSession)
-    near = found.where(F.col("k") <= group_most).repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(compare, "doc long, key long, a int, b int")
-    spans = exact.union(near)
-    if mixed.where(F.col("k") > group_most).limit(1).count():
-        spans = spans.union(_counted(found.where(F.col("k") > group_most), length))
-    return spans
-
-
-def _counted(found: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts: a fingerprint of every window, counted everywhere."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for r in batch.to_pylist():
-                for d in range(r["d0"], r["d1"] + 1):
-                    x = xxhash.xxh3_128_intdigest(r["bytes"][r["d1"] - d : r["d1"] - d + length])
-                    for to, v in zip(out, (signed(x >> 64), signed(x & (2**64 - 1)), r["h"], r["n"], r["doc"], r["key"], r["pos"] - d), strict=True):
-                        to.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["f1", "f2", "h", "n", "doc", "key", "a"])
 
-    w = written(found.mapInArrow(windows, "f1 long, f2 long, h long, n long, doc long, key long, a long"), "windows")
-    twice = w.groupBy("f1", "f2", "h").agg(F.sum("n").alias("all")).where("all > 1").drop("all")
-    return w.join(twice, ["f1", "f2", "h"]).select("doc", "key", F.col("a").cast("int").alias("a"), (F.col("a") + length).cast("int").alias("b"))
+    def compare(rows: list[dict]) -> Iterator[tuple]:
+        for i, lo, hi in repeated_windows(by_anchor(rows), length, shard_bytes):
+            yield rows[i]["h"], rows[i]["c"], lo, hi
+
+    ranges = decided(fetched(one, docs), compare, "h long, c long, lo int, hi int", length, byte_symbols, widths, group_most)
+    hit = at_places(at, one, ranges)
+    return hit.select("doc", "key", (F.col("pos") - F.col("hi")).alias("a"), (F.col("pos") - F.col("lo") + length).alias("b"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, **kwargs: int) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, **kwargs: object) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (byte offsets of the maximal removed runs), kept (binary: the bytes that remain)."""
     docs = keyed(docs)
     spans = spans_by_document(repeated_spans(docs, length, **kwargs))
@@ -224,7 +168,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, **kwargs: int) -> DataFra
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("kept", pa.binary())]))
 
     whole = docs.join(spans, ["doc", "key"], "left").select("doc_id", "text", "spans")
-    return whole.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<a:int,b:int>>, kept binary")
+    return in_batches(whole, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<a:int,b:int>>, kept binary")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import pyarrow.parquet as pq
 import pytest
 
+from pointfold.llm import lz_dedup
 from pointfold.llm.lz_dedup import ReferenceBlock, brute_force, op4_lz_dedup, remove_repeats
 
 
@@ -25,7 +26,7 @@ def corpus(seed: int) -> list[tuple[int | None, str | None]]:
     return list(zip(ids, out, strict=True))
 
 
-@pytest.mark.parametrize(("seed", "more"), [(1, {}), (2, {"block": 2}), (3, {"group_most": 3})])
+@pytest.mark.parametrize(("seed", "more"), [(1, {}), (2, {"block": 2}), (3, {"group_most": 3}), (4, {"group_most": 2, "block": 3, "widths": (4, 1)})])
 def test_against_brute_force(spark, seed, more):
     rows = corpus(seed)
     df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, doc int").repartition(3)
@@ -42,6 +43,20 @@ def test_query_against_brute_force(spark):
     assert sum(w[1] for w in want.values()) > 100
 
 
+def test_nothing_is_removed_without_the_parse(spark, monkeypatch):
+    docs = lz_dedup.keyed(spark.createDataFrame(corpus(1), "doc_id long, text string"))
+    assert lz_dedup.repeated_spans(docs, 20).count() > 0
+    monkeypatch.setattr(lz_dedup, "parsed", lambda rows, length, block: [])
+    assert lz_dedup.repeated_spans(docs, 20).count() == 0
+
+
+def test_a_row_repeated_often(spark):
+    t = " ".join(f"w{i * i % 89}" for i in range(70))
+    rows = [(5, t)] * 500 + [(7, "q " + t), (None, "r " + t), (5, None)]
+    got = sorted((r.n_words, r.n_removed) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == [(0, 0)] + [(70, 0)] * 500 + [(71, 70)] * 2
+
+
 def test_no_rows(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

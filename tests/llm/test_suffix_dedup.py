@@ -25,7 +25,7 @@ def corpus(seed: int) -> list[str | None]:
     return out
 
 
-@pytest.mark.parametrize(("seed", "more"), [(1, {}), (2, {"shard_bytes": 1500}), (3, {"group_most": 3})])
+@pytest.mark.parametrize(("seed", "more"), [(1, {}), (2, {"shard_bytes": 1500}), (3, {"group_most": 3}), (4, {"group_most": 3, "widths": (8, 1)}), (5, {"group_most": 2, "shard_bytes": 900})])
 def test_against_brute_force(spark, seed, more):
     texts = corpus(seed)
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, key string").repartition(3)
@@ -46,6 +46,30 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     assert remove_repeats(df.limit(0), length=100).count() == 0
 
 
+def test_passages_about_as_long_as_the_window(spark):
+    """Only what a 400-byte string covers goes, wherever it stands; a row repeated often is compared once."""
+    r = random.Random(8)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for size in (330, 399, 400, 500):
+        p = noise(size)
+        texts += [noise(r.randint(1, 700)) + p + noise(r.randint(1, 700)) for _ in range(3)] + [p, p]
+    rows = list(enumerate(texts)) + [(1000, noise(900))] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans) for x in remove_repeats(df).collect())
+    assert got == sorted((i, *w[:3]) for (i, _), w in zip(rows, brute_force([t for _, t in rows], 400), strict=True))
+    assert sum(x[2] > 0 for x in got if x[0] < 5) == 0 and sum(x[2] > 0 for x in got if x[0] >= 10) == 10 + 300
+
+
+def test_nothing_is_removed_without_the_arrays(spark, monkeypatch):
+    from pointfold.llm import suffix_dedup
+
+    docs = suffix_dedup.keyed(spark.createDataFrame(list(enumerate(corpus(1))), "doc_id long, text string"))
+    assert suffix_dedup.repeated_spans(docs, 100).count() > 0
+    monkeypatch.setattr(suffix_dedup, "by_anchor", lambda rows: [])
+    assert suffix_dedup.repeated_spans(docs, 100).count() == 0
+
+
 def test_query_against_brute_force(spark, tmp_path):
     import pyarrow.parquet as pq
 
