@@ -25,7 +25,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of text (uint8) by their first `depth` bytes (at least 8), and which slots are tied with the one before. Starts from 8 bytes and doubles; only groups that are still tied are sorted again."""
     n = len(text)
     v = words8(text)
-    sa = np.argsort(v, kind="stable")
+    sa = np.argsort(v)
     head = np.ones(n, bool)
     head[1:] = np.diff(v[sa]) != 0
     at = np.arange(n)
@@ -39,7 +39,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         step = min(h, depth - h)
         pos = sa[slots]
         key = rank[pos] * (n + 1) + np.where(pos + step < n, rank[np.minimum(pos + step, n - 1)] + 1, 0)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         pos, key = pos[order], key[order]
         sa[slots] = pos
         head[slots[1:]] |= key[1:] != key[:-1]
@@ -65,7 +65,7 @@ def common_prefix(text8: np.ndarray, other8: np.ndarray, a: np.ndarray, b: np.nd
     return np.minimum(got, most)
 
 
-def kasai(text: np.ndarray, sa: np.ndarray, tied: np.ndarray, most: int, lane: int = 256) -> np.ndarray:
+def kasai(text: np.ndarray, sa: np.ndarray, tied: np.ndarray, most: int, lane: int = 32) -> np.ndarray:
     """Common prefix, up to `most`, of each suffix with the one before it in sa. In text order the value falls by one at most, so each comparison starts where the last one ended; `lane` long stretches of the text go side by side. Tied suffixes share `most` bytes, and nothing follows from their order."""
     n = len(text)
     if not n:
