@@ -2,12 +2,14 @@
 
 Vectors are dealt into shards by a hash of their ids. A shard's graph starts with random edges; twice, each vector's
 greedy search from the centre proposes neighbours, and of these the nearest stay that aren't much closer to one
-already kept than to the vector (relaxed by `alpha`), and edges back are pruned alike. Queries go in blocks to every
-shard, each by beam search, and the best of all shards are kept. Equal vectors are one node with all their ids.
+already kept than to the vector (relaxed by `alpha`), and edges back are pruned alike. Queries stream through every
+shard, which is sent once, each by beam search, and the best of all shards are kept. Equal vectors are one node with all
+their ids. Shards grow with the table up to MOST vectors, so that up to SHARDS * MOST vectors a query meets a bounded
+number of shards; beyond, that number grows.
 
 Result for odd input: vectors that are null, empty, zero or hold null or non-finite numbers take no part; vectors are only
-compared with those of equal length; a vec_id that repeats is found for each of its vectors, and null ids take no
-part; other columns are ignored; an empty table gives an empty result.
+compared with those of equal length; a vec_id that repeats is found for each of its different vectors, none of which is
+a candidate for the others, and null ids take no part; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointfold.llm.common import partitions, table, written
+from pointfold.llm.common import in_batches, partitions, table, written
 
-#: Vectors in a shard, on average, and queries in a block.
-SHARD, BLOCK = 4096, 512
+#: Vectors in a shard, on average: at least SHARD, at most MOST, and between them as many as give SHARDS shards.
+SHARD, MOST, SHARDS = 4096, 131_072, 64
+#: Queries that step together.
+BLOCK = 512
 EDGES, BEAM, SEARCH_BEAM, ALPHA = 24, 40, 64, 1.2
 
 
@@ -132,8 +136,8 @@ def index(vectors: DataFrame, shards: dict[int, int]) -> DataFrame:
         unit = unit_rows(nodes)
         graph, start = build(unit)
         ids = pdf["vec_id"].to_numpy(np.int64)
-        order = np.lexsort((ids, owner.ravel()))
-        return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "vectors": [nodes.tobytes()], "ids": [ids[order].tobytes()], "owners": [owner.ravel()[order].astype(np.int64).tobytes()], "graph": [graph.astype(np.int32).tobytes()], "start": [start]})
+        pairs = np.unique(np.stack([owner.ravel(), ids], 1), axis=0)
+        return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "vectors": [nodes.tobytes()], "ids": [pairs[:, 1].tobytes()], "owners": [pairs[:, 0].astype(np.int64).tobytes()], "graph": [graph.astype(np.int32).tobytes()], "start": [start]})
 
     return dealt.groupBy("dim", "shard").applyInPandas(make, "dim int, shard int, vectors binary, ids binary, owners binary, graph binary, start int")
 
@@ -151,7 +155,7 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def searched(nodes: np.ndarray, ids: np.ndarray, owners: np.ndarray, graph: np.ndarray, start: int, qid: np.ndarray, q: np.ndarray, k: int) -> tuple[list, list, list]:
-    """query_id, vec_id and score of the k best of this shard for each query, its own id left out."""
+    """Number of the query, vec_id and score of the k best of this shard for each query, its own id left out."""
     met, _ = beam_search(unit_rows(nodes), graph, start, unit_rows(q), min(SEARCH_BEAM, len(nodes)))
     met = met[:, : 3 * k]
     score = np.where(met >= 0, cosine(nodes[met], q[:, None]), -np.inf)
@@ -163,40 +167,63 @@ def searched(nodes: np.ndarray, ids: np.ndarray, owners: np.ndarray, graph: np.n
             if node >= 0:
                 found += [(-s, v) for v in ids[begin[node] : min(end[node], begin[node] + k + 1)].tolist() if v != own]
         for s, v in sorted(found)[:k]:
-            a.append(own)
+            a.append(i)
             b.append(v)
             c.append(-s)
     return a, b, c
 
 
+def shard_count(n: int, least: int = SHARD, most: int = MOST) -> int:
+    """Shards of n vectors."""
+    return -(-n // min(max(least, n // SHARDS), most))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each of queries (vec_id, embedding)."""
-    spark = vectors.sparkSession
-    v, q = usable(vectors), usable(queries)
+    parts = partitions(vectors.sparkSession)
+    v = usable(vectors)
+    q = usable(queries).withColumn("qkey", F.xxhash64("v")).dropDuplicates(["vec_id", "qkey"])
     # one number for each vector length
-    shards = {r.dim: -(-r.n // shard) for r in v.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    shards = {r.dim: shard_count(r.n, shard) for r in v.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     graphs = written(index(v, shards), "graphs")
     number = F.create_map(*[F.lit(x) for kv in shards.items() for x in kv]) if shards else F.create_map(F.lit(0), F.lit(1))
-    blocks = q.count() // block + 1
-    q = q.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int"))
-    q = q.groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
-    q = q.where(number[F.col("dim")].isNotNull()).withColumn("shard", F.explode(F.sequence(F.lit(0), number[F.col("dim")] - 1)))
-    work = graphs.join(q, ["dim", "shard"]).repartition(partitions(spark), "dim", "shard", "block")
+    # where shards are fewer than tasks, each is sent to several, for a part of the queries
+    splits = max(2 * parts // max(sum(shards.values()), 1), 1)
+    every = F.sequence(F.lit(0), number[F.col("dim")] - 1)
+    asked = q.where(number[F.col("dim")].isNotNull()).withColumn("split", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(splits)).cast("int")).withColumn("shard", F.explode(every))
+    held = graphs.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    rows = held.withColumn("is_query", F.lit(False)).unionByName(asked.withColumn("is_query", F.lit(True)), allowMissingColumns=True)
+    rows = rows.repartition(parts, "dim", "shard", "split").sortWithinPartitions("dim", "shard", "split", "is_query")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, of = (), None
         for b in batches:
-            for i in range(b.num_rows):
-                r = b.slice(i, 1)
-                dim, start = r["dim"][0].as_py(), r["start"][0].as_py()
-                as_array = lambda c, t: np.frombuffer(r[c][0].as_buffer(), t)  # noqa: B023, E731
-                nodes, ids, owners = as_array("vectors", np.float64).reshape(-1, dim), as_array("ids", np.int64), as_array("owners", np.int64)
-                graph = as_array("graph", np.int32).reshape(len(nodes), -1)
-                items = r["q"][0].as_py()
-                got = searched(nodes, ids, owners, graph, start, np.array([x["vec_id"] for x in items]), np.array([x["v"] for x in items]), k)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(got, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
-
-    found = work.mapInArrow(search, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+            asks = np.array(b["is_query"].to_pylist(), bool)
+            place = list(zip(b["dim"].to_pylist(), b["shard"].to_pylist(), b["split"].to_pylist(), asks.tolist(), strict=True))
+            lo = 0
+            while lo < b.num_rows:
+                if not asks[lo]:
+                    as_array = lambda c, t: np.frombuffer(b[c][lo].as_buffer(), t)  # noqa: B023, E731
+                    nodes = as_array("vectors", np.float64).reshape(-1, place[lo][0])
+                    here = (nodes, as_array("ids", np.int64), as_array("owners", np.int64), as_array("graph", np.int32).reshape(len(nodes), -1), b["start"][lo].as_py())
+                    of = place[lo][:3]
+                    lo += 1
+                    continue
+                if of != place[lo][:3]:  # a shard without vectors
+                    lo += 1
+                    continue
+                hi = lo
+                while hi < min(b.num_rows, lo + block) and place[hi] == place[lo]:
+                    hi += 1
+                some = b.slice(lo, hi - lo)
+                qid, key = (np.array(some[c].to_pylist(), np.int64) for c in ("vec_id", "qkey"))
+                asking = some["v"].flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
+                at, found, score = searched(*here, qid, asking, k)
+                yield pa.RecordBatch.from_arrays([pa.array(qid[at]), pa.array(key[at]), pa.array(found, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "qkey", "vec_id", "score"])
+                lo = hi
+
+    found = in_batches(rows, search, "query_id long, qkey long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "qkey").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from pointfold.llm.vector_graph import build, cosine, nearest, op6_vector_graph
+from pointfold.llm.vector_graph import MOST, SHARDS, build, cosine, nearest, op6_vector_graph, shard_count
 
 
 def brute(ids, x, queries, k):
@@ -27,6 +27,30 @@ def test_recall_of_the_query(spark):
     assert hits / sum(map(len, want.values())) >= 0.95
 
 
+def test_recall_over_several_shards(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.collect()
+    ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], float)
+    want = brute(ids, x, [(i, v) for i, v in zip(ids, x, strict=True) if i % 50 == 0], 5)
+    got: dict = {}
+    for r in nearest(df, df.where("vec_id % 50 = 0"), shard=200).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert shard_count(len(ids), 200) == 10
+    assert sum(len(got[i] & {j for _, j in w}) for i, w in want.items()) / sum(map(len, want.values())) >= 0.9
+
+
+def test_shards_grow_with_the_table():
+    assert shard_count(1) == 1
+    assert shard_count(SHARDS * MOST) == shard_count(10**6) == SHARDS
+    assert shard_count(10 * SHARDS * MOST) == 10 * SHARDS
+
+
+def test_an_id_with_two_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (2, [0.1, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.rank, r.vec_id) for r in nearest(df, df.where("vec_id = 0"), k=3).collect())
+    assert got == [(1, 1), (1, 2), (2, 3), (2, 3), (3, 1), (3, 2)]
+
+
 def test_several_shards_copies_and_odd_vectors(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(600, 8)).astype(np.float32)
