@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointfold.llm.common import partitions, table, written
+from pointfold.llm.common import in_batches, partitions, table, written
 
 BLANKS = "\x20\t\n\x0b\f\r"
 #: Rows of one run that a task holds back before it passes them on, to be settled by the count over all tasks.
@@ -81,7 +81,7 @@ def common_runs(lines: DataFrame, min_docs: int) -> DataFrame:
 
     n = partitions(lines.sparkSession)
     dealt = lines.repartitionByRange(n, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "key", "pos")
-    return dealt.mapInArrow(stream, RUNS)
+    return in_batches(dealt, stream, RUNS)
 
 
 def dropped_lines(docs: DataFrame, min_docs: int) -> DataFrame:
@@ -120,11 +120,11 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["row"], b["n_lines"], gone, pa.array(keep, pa.binary())], names=["row", "n_lines", "n_dropped", "keep"])
 
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(pack, f"row {kind}, n_lines long, n_dropped long, keep binary")
+    return in_batches(joined, pack, f"row {kind}, n_lines long, n_dropped long, keep binary")
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
-    """The columns of docs with text as it is after the drop (n_chars, if there, too), and __lines, __dropped."""
+def drop_common_lines(docs: DataFrame, min_docs: int = 10, counts: bool = True) -> DataFrame:
+    """The columns of docs with text as it is after the drop (n_chars, if there, too), and with counts: __lines, __dropped."""
     maps = keep_bitmaps(docs, min_docs)
 
     @F.pandas_udf("string")
@@ -134,7 +134,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     maps = maps.withColumn("kept", cut(F.col("row.text"), F.col("keep"), F.col("n_dropped")))
     text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("row.text"))
     new = {"text": text, "n_chars": F.when(F.col("n_dropped") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
-    return maps.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns], F.col("n_lines").alias("__lines"), F.col("n_dropped").alias("__dropped"))
+    return maps.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns], *([F.col("n_lines").alias("__lines"), F.col("n_dropped").alias("__dropped")] if counts else []))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
