@@ -1,10 +1,13 @@
 """Operator 5: documents whose sets of word n-grams are alike, by R-trees over count vectors.
 
-Equal sets are one class from the start. Two different sets as alike as asked differ in at most k n-grams, k by their
-sizes; so if each set's n-grams fall into more than k groups by hash, at least one group is equal in both. Among classes
-that have an equal group, an R-tree over vectors of counts by hash bounds two sets' overlap by the summed minima of their
-counts; pairs that pass connect. Each connected block is then compared in one place, by such a tree again, and pairs that
-pass are verified on the sets. Sets already linked through others need no comparison.
+Equal sets are one class from the start. Candidates come from R-trees over vectors of the sets' counts by hash group: a
+tree bounds two sets' overlap by the summed minima of their counts. One tree over all sets would not partition, so sets
+are dealt to trees first: two different sets as alike as asked differ in at most k n-grams, k by their sizes; if each
+set's n-grams fall into more than k groups by hash, at least one group is equal in both, and sets with an equal group
+meet in a tree. Pairs that pass a tree's bound connect. Each connected block is then compared in one place, by such a
+tree again, and pairs that pass are verified on the sets. A group or block too large for one task goes in pairs of parts.
+
+Components need no comparison of sets already linked through others; `class_links` compares them all.
 
 Result for odd input: null, empty and blank texts have no n-grams and link with nothing, nor with each other; rows that
 repeat are one class; component_id is the smallest doc_id that links reach, and null only where all are null; other
@@ -14,6 +17,7 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +28,10 @@ from pyspark.sql import functions as F
 from pointfold.llm.common import LOWER, ODD, in_batches, mixed, partitions, table, word_hashes, written
 from pointfold.llm.repeats import signed
 
-#: Least number of hash groups of the count vectors; entries of an R-tree node; classes of a block that go to one task (larger blocks go in pairs of parts).
-DIMS, NODE, BLOCK_MOST = 32, 16, 4096
+#: Least number of hash groups of the count vectors; entries of an R-tree node; classes of a block, and of an equal group, that go to one task (larger ones go in pairs of parts).
+DIMS, NODE, BLOCK_MOST, GROUP_MOST = 32, 16, 4096, 16_384
+#: Bytes of texts whose signatures are compared at a time (signatures take about two thirds of that).
+BUCKET_BYTES = 32 << 20
 
 
 def shingles(text_bytes: np.ndarray, n: int) -> np.ndarray:
@@ -81,14 +87,15 @@ def signatures(h: np.ndarray, sizes: Sizes) -> np.ndarray:
         if not k:
             continue
         groups = k + SPARE
+        at_range = np.array([at, at], np.uint64) * np.stack([ODD[32], ODD[34]])
         g = ((h >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         sums = np.add.reduceat(mixed(h ^ ODD[30]), first)
-        sig = sums + g[first] * ODD[31] + np.uint64(at) * ODD[32]
+        sig = sums + g[first] * ODD[31] + at_range[0]
         empty = groups - len(first)
         if empty >= groups - k:
             none = np.setdiff1d(np.arange(groups, dtype=np.uint64), g[first])
-            sig = np.concatenate([sig, none * ODD[33] + np.uint64(at) * ODD[34]])
+            sig = np.concatenate([sig, none * ODD[33] + at_range[1]])
         out.append(mixed(sig))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -141,41 +148,51 @@ def classes(docs: DataFrame, n: int, parts: int, percent: int) -> DataFrame:
 
 
 def equal_groups(packed: DataFrame, parts: int) -> DataFrame:
-    """g, c: the classes of each group that several have."""
+    """g, c, m: the classes of each group that several have, and how many they are. One bucket of signatures is in memory at a time: twelve bytes for each class of each group in it."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: dict[int, list[tuple[bytes, bytes]]] = {}
-        for b in batches:
-            for p, s, c in zip(b["part"].to_pylist(), b["sig"].to_pylist(), b["of"].to_pylist(), strict=True):
-                blobs.setdefault(p, []).append((s, c))
-        while blobs:
-            p, these = blobs.popitem()
-            s = np.frombuffer(b"".join(x[0] for x in these), np.uint32)
-            c = np.frombuffer(b"".join(x[1] for x in these), np.uint64).view(np.int64)
+        part, blobs = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            s = np.frombuffer(b"".join(x[0] for x in blobs), np.uint32)
+            c = np.frombuffer(b"".join(x[1] for x in blobs), np.uint64).view(np.int64)
             order = np.lexsort((c, s))
             s, c = s[order], c[order]
             keep = np.concatenate([[True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
             s, c = s[keep], c[keep]
-            same = s[1:] == s[:-1]
-            several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            for lo in range(0, len(s), 1 << 20):
-                k = several[lo : lo + (1 << 20)]
-                g = (np.int64(p) << 32) | s[lo : lo + (1 << 20)][k].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c[lo : lo + (1 << 20)][k])], names=["g", "c"])
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            m = np.repeat(np.diff(np.append(first, len(s))), np.diff(np.append(first, len(s))))
+            at = np.flatnonzero(m > 1)
+            for lo in range(0, len(at), 1 << 18):
+                k = at[lo : lo + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array((np.int64(part) << 32) | s[k].astype(np.int64)), pa.array(c[k]), pa.array(m[k])], names=["g", "c", "m"])
+
+        for b in batches:
+            for p, s, c in zip(b["part"].to_pylist(), b["sig"].to_pylist(), b["of"].to_pylist(), strict=True):
+                if p != part and blobs:
+                    yield from done()
+                    blobs = []
+                part = p
+                blobs.append((s, c))
+        if blobs:
+            yield from done()
 
-    return in_batches(packed.repartition(parts, "part"), match, "g long, c long")
+    return in_batches(packed.repartition(parts, "part").sortWithinPartitions("part"), match, "g long, c long, m long")
 
 
-#: Classes that an equal group's tree holds; a larger group is tied together without one, which only makes blocks larger.
-GROUP_MOST = 20_000
+def in_pairs_of_parts(df: DataFrame, members: str, most: int) -> DataFrame:
+    """Adds mine and task: rows of a group of up to `most` members are in one task; of a larger group, each row is in one of its parts (mine), and a task is a pair of parts."""
+    parts = F.ceil(F.col(members) / most).cast("int")
+    df = df.withColumn("mine", F.pmod(F.xxhash64("c"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return df.withColumn("task", F.concat_ws("-", F.least("mine", "other"), F.greatest("mine", "other"))).drop("other")
 
 
-def candidate_links(groups: DataFrame, counts: DataFrame, parts: int, percent: int) -> DataFrame:
+def candidate_links(groups: DataFrame, counts: DataFrame, parts: int, percent: int, group_most: int = GROUP_MOST) -> DataFrame:
     """a, b: links that connect all classes of a group whose pairs pass the bound; as many as classes, not as pairs."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
-        current, first, large, out = None, 0, False, []
+        held: list[tuple[int, int, bytes, int]] = []
+        current, out = None, []
 
         def done() -> list[tuple[int, int]]:
             if len(held) < 2:
@@ -188,24 +205,18 @@ def candidate_links(groups: DataFrame, counts: DataFrame, parts: int, percent: i
             return [(held[r][0], held[i][0]) for i, r in enumerate(root.tolist()) if r != i]
 
         for b in batches:
-            for g, c, n, v in zip(b["g"].to_pylist(), b["c"].to_pylist(), b["n"].to_pylist(), b["counts"].to_pylist(), strict=True):
-                if g != current:
+            for g, task, c, n, v in zip(b["g"].to_pylist(), b["task"].to_pylist(), b["c"].to_pylist(), b["n"].to_pylist(), b["counts"].to_pylist(), strict=True):
+                if (g, task) != current:
                     out += done()
-                    held, current, first, large = [], g, c, False
-                if large:
-                    out.append((first, c))
-                elif len(held) < GROUP_MOST:
-                    held.append((c, n, v))
-                else:
-                    out += [(first, x[0]) for x in held[1:]] + [(first, c)]
-                    held, large = [], True
+                    held, current = [], (g, task)
+                held.append((c, n, v))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
             out = []
         out = done()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
-    rows = groups.join(counts, "c").select("g", "c", "n", "counts")
-    return in_batches(rows.repartition(parts, "g").sortWithinPartitions("g"), bound, "a long, b long").distinct()
+    rows = in_pairs_of_parts(groups.join(counts, "c"), "m", group_most).select("g", "task", "c", "n", "counts")
+    return in_batches(rows.repartition(parts, "g", "task").sortWithinPartitions("g", "task"), bound, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -262,83 +273,114 @@ def widened(counts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked(points: np.ndarray, sizes: np.ndarray, percent: int, sets: list[np.ndarray] | None = None, only_across: np.ndarray | None = None) -> np.ndarray:
-    """For each point the least index that links connect it with: pairs that pass the bound and, given sets, are alike. only_across: pairs with different marks only."""
-    n = len(points)
-    root = list(range(n))
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Common members of two sorted sets."""
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
 
+def linked(points: np.ndarray, sizes: np.ndarray, percent: int, sets: list[np.ndarray] | None = None, only_across: np.ndarray | None = None) -> np.ndarray:
+    """For each point the least index that links connect it with: pairs that pass the bound and, given sets, are alike. only_across: pairs with different marks only. Ends as soon as all are connected."""
+    n = len(points)
+    root = np.arange(n)
+    left = n
     tree = RTree(points, sizes)
     for i in range(n):
-        for j in tree.near(points[i], int(sizes[i]), percent).tolist():
-            if j >= i or (only_across is not None and only_across[i] == only_across[j]):
-                continue
-            x, y = find(i), find(j)
-            if x == y:
+        if left == 1:
+            break
+        near = tree.near(points[i], int(sizes[i]), percent)
+        near = near[root[near] != root[i]]
+        if only_across is not None:
+            near = near[only_across[near] != only_across[i]]
+        if sets is None and len(near):
+            joined = np.unique(np.append(root[near], root[i]))
+            root[np.isin(root, joined)] = joined[0]
+            left -= len(joined) - 1
+            continue
+        for j in near.tolist():
+            if root[i] == root[j]:
                 continue
-            if sets is not None:
-                a, b = sets[i], sets[j]
-                at = np.searchsorted(b, a)
-                same = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-                if 100 * same < percent * (len(a) + len(b) - same):
-                    continue
-            root[max(x, y)] = min(x, y)
-    return np.array([find(i) for i in range(n)])
+            same = overlap(sets[i], sets[j])
+            if 100 * same >= percent * (len(sets[i]) + len(sets[j]) - same):
+                low, high = min(root[i], root[j]), max(root[i], root[j])
+                root[root == high] = low
+                left -= 1
+    return root
 
 
-def alike(docs: DataFrame, n: int = 4, percent: int = 85, block_most: int = BLOCK_MOST) -> DataFrame:
-    """docs: doc_id and text. doc (see keyed), key, n, component: the smallest doc that links of at least `percent` connect with, for every document."""
+def all_links(points: np.ndarray, sizes: np.ndarray, percent: int, sets: list[np.ndarray], only_across: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
+    """Every pair of points that are alike, with their common members."""
+    tree = RTree(points, sizes)
+    for i in range(len(points)):
+        near = tree.near(points[i], int(sizes[i]), percent)
+        near = near[near > i]
+        if only_across is not None:
+            near = near[only_across[near] != only_across[i]]
+        for j in near.tolist():
+            same = overlap(sets[i], sets[j])
+            if 100 * same >= percent * (len(sets[i]) + len(sets[j]) - same):
+                yield i, j, same
+
+
+def blocks(docs: DataFrame, n: int, percent: int, group_most: int = GROUP_MOST) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Every document's doc, key, set size and class; each class's c, low, rep and rows; root and members of the blocks (classes that candidate pairs connect) of several classes; and their c, root, members and text."""
     parts = partitions(docs.sparkSession)
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64("doc_id", "text").alias("key"), "text")
-    both = written(classes(plain, n, parts, percent), "classes")
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    both = written(classes(plain, n, max(parts, size // BUCKET_BYTES), percent), "classes")
     every = both.where("part IS NULL").select("doc", "key", "n", "c")
     groups = equal_groups(both.where("part IS NOT NULL").select("part", "sig", "of"), parts)
     counts = both.where("counts IS NOT NULL").groupBy("c").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
-    block = components(candidate_links(groups, counts, parts, percent))
+    block = components(candidate_links(groups, counts, parts, percent, group_most))
     block = written(block.union(block.select(F.col("root").alias("c"), "root")).distinct(), "blocks")
+    members = block.groupBy("root").agg(F.count("*").alias("members")).where("members > 1")
     low = every.where("n > 0").groupBy("c").agg(F.min("doc").alias("low"), F.min(F.struct("doc", "key")).alias("rep"), F.count("*").alias("rows"))
-    size = block.groupBy("root").agg(F.count("*").alias("members")).where("members > 1")
-    wanted = low.join(block.join(size, "root"), "c").select("c", "root", "members", "rep.doc", "rep.key")
-    texts = wanted.join(plain, ["doc", "key"]).select("c", "root", "members", "text")
-    parts_of = F.ceil(F.col("members") / block_most).cast("int")
-    mine = F.pmod(F.xxhash64("c"), parts_of).cast("int")
-    placed = texts.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), parts_of - 1)))
-    placed = placed.withColumn("task", F.concat_ws("-", F.least("mine", "other"), F.greatest("mine", "other")))
+    wanted = low.join(block.join(members, "root"), "c").select("c", "root", "members", "rep.doc", "rep.key")
+    return every, low, members, wanted.join(plain, ["doc", "key"]).select("c", "root", "members", "text")
+
+
+def compared(texts: DataFrame, n: int, percent: int, block_most: int, every_pair: bool) -> DataFrame:
+    """a, b, same: links between the classes of each block, with the n-grams that they share; of all pairs, or (same is null) as few as connect what is linked."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, int]] = {}
         current = None
 
-        def done() -> pa.RecordBatch:
+        def done() -> Iterator[pa.RecordBatch]:
             ids = sorted(held)
-            marks = np.array([held[c][1] for c in ids])
+            mine = np.array([held[c][1] for c in ids])
+            marks = mine if len(set(current[1].split("-"))) > 1 else None
             sets = [held[c][0] for c in ids]
-            points = widened([counted(x) for x in sets])
-            root = linked(points, np.array([len(x) for x in sets]), percent, sets, marks if len(set(marks.tolist())) > 1 else None)
-            a = [(ids[r], ids[i]) for i, r in enumerate(root.tolist()) if r != i]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in a], pa.int64()), pa.array([x[1] for x in a], pa.int64())], names=["a", "b"])
+            points, sizes = widened([counted(x) for x in sets]), np.array([len(x) for x in sets])
+            if every_pair:
+                links = ((ids[i], ids[j], same) for i, j, same in all_links(points, sizes, percent, sets, marks))
+            else:
+                links = ((ids[r], ids[i], None) for i, r in enumerate(linked(points, sizes, percent, sets, marks).tolist()) if r != i)
+            while some := list(islice(links, 1 << 16)):
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in some], pa.int64()) for k in range(3)], names=["a", "b", "same"])
 
         for b in batches:
             for root, task, mine, c, text in zip(b["root"].to_pylist(), b["task"].to_pylist(), b["mine"].to_pylist(), b["c"].to_pylist(), b["text"], strict=True):
                 if current != (root, task):
                     if len(held) > 1:
-                        yield done()
+                        yield from done()
                     held, current = {}, (root, task)
                 if c not in held:  # equal rows may repeat
                     held[c] = (shingles(np.frombuffer(text.as_buffer(), np.uint8), n), mine)
         if len(held) > 1:
-            yield done()
+            yield from done()
+
+    placed = in_pairs_of_parts(texts, "members", block_most)
+    sorted_ = placed.repartition(partitions(texts.sparkSession), "root", "task").sortWithinPartitions("root", "task").select("root", "task", "mine", "c", "text")
+    return in_batches(sorted_, compare, "a long, b long, same long")
 
-    sorted_ = placed.repartition(parts, "root", "task").sortWithinPartitions("root", "task").select("root", "task", "mine", "c", "text")
-    pairs = in_batches(sorted_, compare, "a long, b long")
-    found = written(pairs, "found")
+
+def alike(docs: DataFrame, n: int = 4, percent: int = 85, block_most: int = BLOCK_MOST, group_most: int = GROUP_MOST) -> DataFrame:
+    """docs: doc_id and text. doc (see keyed), key, n, component: the smallest doc that links of at least `percent` connect with, for every document."""
+    every, low, members, texts = blocks(docs, n, percent, group_most)
+    found = written(compared(texts, n, percent, block_most, False).select("a", "b"), "found")
     # within one task the links are stars already; across tasks of one block they may not be
-    root = components(found) if size.where(F.col("members") > block_most).limit(1).count() else found.select(F.col("b").alias("c"), F.col("a").alias("root"))
+    root = components(found) if members.where(F.col("members") > block_most).limit(1).count() else found.select(F.col("b").alias("c"), F.col("a").alias("root"))
     # only classes with several rows or links have a component other than themselves
     named = low.join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = named.join(root.select("root").distinct().withColumn("linked", F.lit(True)), "root", "left").where("linked OR rows > 1")
@@ -347,6 +389,22 @@ def alike(docs: DataFrame, n: int = 4, percent: int = 85, block_most: int = BLOC
     return every.join(of_class, "c", "left").select("doc", "key", "n", F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc")).alias("component"))
 
 
+def class_links(docs: DataFrame, n: int = 4, percent: int = 85, block_most: int = BLOCK_MOST, group_most: int = GROUP_MOST) -> tuple[DataFrame, DataFrame]:
+    """Every link, as pairs of classes of documents with equal sets, not of documents; and the membership.
+
+    Pairs: a, b (class ids), same (common n-grams), both ways round. Membership: doc, key, n, c (its class; null without n-grams) and
+    links: with how many other documents it links, those of its own class included. Pairs grow with the square of a group of
+    alike but different sets: use alike() where components are enough.
+    """
+    every, low, _, texts = blocks(docs, n, percent, group_most)
+    one_way = written(compared(texts, n, percent, block_most, True), "links")
+    pairs = one_way.union(one_way.select("b", "a", "same"))
+    others = pairs.join(low.select(F.col("c").alias("b"), "rows"), "b").groupBy(F.col("a").alias("c")).agg(F.sum("rows").alias("others"))
+    count = low.select("c", "rows").join(others, "c", "left").select("c", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    members = every.join(count, "c", "left").select("doc", "key", "n", F.when(F.col("n") > 0, F.col("c")).alias("c"), F.coalesce("links", F.lit(0)).alias("links"))
+    return pairs, members
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     null = 2**63 - 1
     out = alike(table(spark, sf_dir, "documents"))
@@ -355,11 +413,12 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs with the smallest doc_id of their component (of rows with the same doc_id and text, one); documents without n-grams all stay."""
-    stay = alike(docs, n, percent).where("doc = component").select(F.col("doc").alias("__doc"), F.col("key").alias("__key"))
-    ids = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("__key", F.xxhash64("doc_id", "text"))
-    kept = ids.join(stay, ["__doc", "__key"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("__doc", "__key").orderBy(F.lit(0)))
-    return kept.withColumn("__row", first).where("__row = 1").drop("__doc", "__key", "__row")
+    stay = alike(docs, n, percent).where("doc = component").select("doc", "key")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64("doc_id", "text").alias("key"))
+    kept = rows.join(stay, ["doc", "key"], "left_semi")
+    # of rows equal in doc_id and text, but perhaps not in other columns, the same one stays whatever the order of reading
+    first = F.row_number().over(Window.partitionBy("doc", "key").orderBy(F.xxhash64(F.to_json("row"))))
+    return kept.withColumn("nr", first).where("nr = 1").select("row.*")
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], n: int, percent: int) -> list[tuple[int | None, int, int | None]]:

@@ -5,7 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from pointfold.llm.jaccard_join import RTree, alike, brute_force, components, one_of_each, op5_jaccard_join
+from pointfold.llm.jaccard_join import RTree, alike, brute_force, class_links, components, one_of_each, op5_jaccard_join
 
 
 def corpus(seed: int):
@@ -35,6 +35,31 @@ def test_against_brute_force(spark, seed, percent, most):
     assert sorted(map(tuple, got), key=order) == sorted(brute_force(rows, 4, percent), key=order)
 
 
+def test_large_groups_go_in_pairs_of_parts(spark):
+    rows = corpus(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    null = 2**63 - 1
+    got = alike(df, 4, 80, 3, 2).select(*[F.when(F.col(c) != null, F.col(c)) for c in ("doc", "n", "component")]).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_force(rows, 4, 80)))
+
+
+@pytest.mark.parametrize("most", [4096, 3])
+def test_every_link_of_every_class(spark, most):
+    rows = [x for x in corpus(5) if x[0] is not None]
+    pairs, members = class_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 70, most, most)
+    of = {r.doc: r.c for r in members.collect()}
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split() if (t or "").isascii() else (t or "").translate({c: c + 32 for c in range(65, 91)}).split()
+        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} or ({tuple(w)} if w else set())
+    alike_ = {(i, j) for i, a in sets.items() for j, b in sets.items() if i != j and a and b and 100 * len(a & b) >= 70 * len(a | b)}
+    got = pairs.collect()
+    assert len({(r.a, r.b) for r in got}) == len(got)
+    assert {(r.a, r.b) for r in got} == {(of[i], of[j]) for i, j in alike_ if sets[i] != sets[j]}
+    assert {r.doc: r.links for r in members.collect()} == {i: sum(p[0] == i for p in alike_) for i in sets}
+    assert any(r.same > 3 for r in got)
+
+
 def test_query_against_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()]
     assert sorted(map(tuple, op5_jaccard_join(spark, "/root/testdata/sf0.001").collect())) == sorted(brute_force(rows, 4, 85))
@@ -45,6 +70,9 @@ def test_one_of_each_and_no_rows(spark):
     df = spark.createDataFrame([(4, t, "a"), (2, t, "b"), (2, t, "b"), (3, t + " more", "c"), (9, None, "d"), (8, None, "d"), (None, t, "e")], "doc_id long, text string, root string")
     assert sorted(r.doc_id for r in one_of_each(df).collect()) == [2, 8, 9]
     assert one_of_each(df.limit(0)).count() == 0
+    clash = df.selectExpr("*", "1 AS doc", "2 AS key", "3 AS row", "4 AS nr", "5 AS __doc")
+    assert one_of_each(clash).columns == clash.columns
+    assert one_of_each(clash).where("doc = 1 AND key = 2 AND row = 3 AND nr = 4 AND __doc = 5").count() == 3
 
 
 def test_components_of_a_long_path(spark):
