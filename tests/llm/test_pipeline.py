@@ -43,3 +43,32 @@ def test_stages_against_brute_force(spark):
 def test_run(spark):
     n = pq.read_metadata(f"{SF}/documents.parquet").num_rows
     assert 0 < corpus_pipeline.run(spark, SF).count() < 3 * n
+
+
+def test_odd_input(spark, tmp_path):
+    """Null, empty and very long texts, null and repeated ids, rows that repeat, extra columns with clashing names; empty tables."""
+    long = " ".join(f"w{i % 997}" for i in range(60_000))
+    rows = [(1, None, "en", "a"), (2, "", "en", None), (3, " \n\t", None, "a"), (4, long, "en", "b"), (4, long, "en", "b"), (None, "some text of no id at all", None, None), (None, None, None, None), (5, "x", "de", "a"), (5, "y z", "de", "a")]
+    rows += [(10 + i, f"common line\nown words {i} {i * i} {i + 7} and some more", "fr", "c") for i in range(15)]
+    names = ["part", "row", "__doc", "__score", "__lines", "doc", "key", "h", "id", "size", "__ids"]
+    docs = spark.createDataFrame([(*r, len(r[1]) if r[1] is not None else None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"{k} AS {n}" for k, n in enumerate(names)])
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (5, None, None), (None, 1, 1), (12, 1, 0)], "doc_id long, quality int, toxic int")
+    for which, some in (("rows", docs), ("none", docs.limit(0))):
+        folder = str(tmp_path / which)
+        some.write.parquet(f"{folder}/documents.parquet")
+        (labels if which == "rows" else labels.limit(0)).write.parquet(f"{folder}/labels.parquet")
+        now, kept = table(spark, folder, "documents"), {}
+        for name, stage in corpus_pipeline.STAGES:
+            now = written(stage(spark, now, folder), f"odd-{name}")
+            kept[name] = now.collect()
+            if name != "bpe":
+                assert now.columns == docs.columns
+        if which == "none":
+            assert not any(kept.values())
+            continue
+        assert sorted(r.doc_id or 0 for r in kept["line_dedup"]) == sorted(r.doc_id or 0 for r in kept["toxicity"])
+        assert all("common line" not in (r.text or "") for r in kept["line_dedup"])
+        assert [r.doc_id for r in kept["jaccard_join"]].count(4) <= 1
+        assert all(tuple(r[n] for n in names) == tuple(range(len(names))) for r in kept["mixing"])
+        assert len(kept["bpe"]) == len(kept["mixing"]) > 0
+        assert corpus_pipeline.run(spark, folder).count() == len(kept["bpe"])
