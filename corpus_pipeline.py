@@ -5,6 +5,11 @@ line_dedup: lines in ten or more documents go from all of them.
 jaccard_join: of documents alike by five-word shingles (similarity 0.8 or more), linked directly or through others, one stays.
 mixing: documents are repeated or left out so that sources come near their target weights.
 bpe: token ids of what is left.
+
+Odd input: a null text has score, lines, n-grams and tokens of an empty one, and the mix takes no text without words; a
+text that is nothing but blanks stays until then; a null doc_id is the last of its group and of rows equal in doc_id and
+text one stays; without labels of both kinds no text is toxic; empty tables give empty tables; other columns, whatever
+their names, go through all stages but the last.
 """
 
 from __future__ import annotations
@@ -21,11 +26,11 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = F.lit(toxicity.THRESHOLD)
     for lang, at in sorted(cuts.items()):
         cut = F.when(F.col("lang") == lang, at).otherwise(cut)
-    return rows.where(F.col("__score") < cut).drop("__score")
+    return rows.where(F.col("score") < cut).select("row.*")
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_common_lines(docs).drop("__lines", "__dropped")
+    return line_dedup.drop_common_lines(docs, counts=False)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
