@@ -32,10 +32,10 @@ TO_XYZ = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019
 
 
 def lab(r: Column, g: Column, b: Column) -> list[Column]:
-    """L, a, b of colours from 0 to 255, which enter as they are; L is capped at 100."""
+    """L, a, b of colours from 0 to 255, which enter as they are; L is capped at 100, then all are scaled to about one."""
     scaled = [sum(w * c for w, c in zip(row, (r, g, b), strict=True)) / n for row, n in zip(TO_XYZ, WHITE, strict=True)]
     fx, fy, fz = (F.when(v > KNEE, F.pow(v, F.lit(EXPONENT))).otherwise(v * SLOPE + OFFSET) for v in scaled)
-    return [F.least(fy * 116 - 16, F.lit(100.0)), F.least(F.greatest((fx - fy) * 500, F.lit(-300.0)), F.lit(300.0)), F.least((fy - fz) * 200, F.lit(300.0))]
+    return [F.least(fy * 116 - 16, F.lit(100.0)) / 100, F.least(F.greatest((fx - fy) * 500, F.lit(-300.0)), F.lit(300.0)) / 300, F.least((fy - fz) * 200, F.lit(300.0)) / 300]
 
 
 def feature_distance(a: dict[str, Column], b: dict[str, Column], seed: float = SEED, color: float = 0.2, spatial: float = 0.4, normal: float = 1.0) -> Column:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pointfold.functions import columns as c
-from pointfold.jobs.base import COUNTERS, EDGES, KEYS, VOX, box, query, voxels
-from pointfold.operators import comovement, spatial
+from pointfold.jobs.base import COUNTERS, EDGES, KEYS, VOX, box, query, shared, voxels
+from pointfold.operators import comovement, matching, spatial
 from pointfold.sources import tables as t
 
 
@@ -38,7 +36,7 @@ def s6_csv_rows(spark, sf_dir):
 
 
 @query(f"WITH {t.POINTS} SELECT * FROM pts WHERE x BETWEEN -400 AND 400 AND y BETWEEN -350 AND 250 AND z BETWEEN 800 AND 1300")
-def f1_cropbox(spark, sf_dir):
+def f1_crop_box(spark, sf_dir):
     return box(spark, sf_dir)
 
 
@@ -77,7 +75,7 @@ def f9_camera_transform(spark, sf_dir):
 
 
 @query(f"WITH {t.POINTS} SELECT frame, least(min(x),0) min_x, greatest(max(x),0) max_x, least(min(y),0) min_y, greatest(max(y),0) max_y, least(min(z),0) min_z, greatest(max(z),0) max_z FROM pts GROUP BY frame")
-def f12_boundingbox(spark, sf_dir):
+def f12_bounding_box(spark, sf_dir):
     """Of each frame's points and the camera's origin."""
     ends = [f(g(a), F.lit(0)).alias(f"{n}_{a}") for a in "xyz" for n, f, g in (("min", F.least, F.min), ("max", F.greatest, F.max))]
     return t.points(spark, sf_dir).groupBy("frame").agg(*ends)
@@ -86,17 +84,17 @@ def f12_boundingbox(spark, sf_dir):
 @query("""WITH p AS (SELECT p_partkey, (p_partkey*3)%256 r, (p_partkey*7)%256 g, (p_partkey*11)%256 b FROM part),
 q AS (SELECT *, (0.412453::DOUBLE*r+0.357580::DOUBLE*g+0.180423::DOUBLE*b)/95.047::DOUBLE x, (0.212671::DOUBLE*r+0.715160::DOUBLE*g+0.072169::DOUBLE*b)/100.0::DOUBLE y, (0.019334::DOUBLE*r+0.119193::DOUBLE*g+0.950227::DOUBLE*b)/108.883::DOUBLE z FROM p),
 w AS (SELECT *, CASE WHEN x>0.008856 THEN pow(x,0.3333) ELSE 7.787*x+0.138 END fx, CASE WHEN y>0.008856 THEN pow(y,0.3333) ELSE 7.787*y+0.138 END fy, CASE WHEN z>0.008856 THEN pow(z,0.3333) ELSE 7.787*z+0.138 END fz FROM q)
-SELECT p_partkey, round(least(116*fy-16,100),6) l, round(least(greatest(500*(fx-fy),-300),300),6) a, round(least(200*(fy-fz),300),6) b2 FROM w""")
+SELECT p_partkey, round(least(116*fy-16,100)/100,6) l, round(least(greatest(500*(fx-fy),-300),300)/300,6) a, round(least(200*(fy-fz),300)/300,6) b2 FROM w""")
 def f13_colour_to_lab(spark, sf_dir):
     k = F.col("p_partkey")
     p = t.read(spark, sf_dir, "part").select(k, *[c_.cast("double") for c_ in (k * 3 % 256, k * 7 % 256, k * 11 % 256)]).toDF("p_partkey", "r", "g", "b")
     return p.select("p_partkey", *[F.round(x, 6).alias(n) for x, n in zip(c.lab(F.col("r"), F.col("g"), F.col("b")), ("l", "a", "b2"), strict=True)])
 
 
-@query(f"WITH {t.POINTS} SELECT frame, pid, CAST(r*65536+g*256+b AS INTEGER) rgb, CAST(r AS INTEGER) r FROM pts")
+@query(f"WITH {t.POINTS} SELECT frame, pid, CAST(r*65536+g*256+b AS INTEGER) rgb, CAST(r AS INTEGER) r, CAST(g AS INTEGER) g, CAST(b AS INTEGER) b FROM pts")
 def f14_packed_colours(spark, sf_dir):
     p = t.points(spark, sf_dir).withColumn("rgb", c.packed(F.col("r"), F.col("g"), F.col("b")))
-    return p.select("frame", "pid", "rgb", c.unpacked(F.col("rgb"))[0].alias("r"))
+    return p.select("frame", "pid", "rgb", *[x.alias(n) for x, n in zip(c.unpacked(F.col("rgb")), "rgb", strict=True)])
 
 
 @query(f"WITH {EDGES} SELECT e.*, round(sqrt((v.r-w.r)*(v.r-w.r)+(v.g-w.g)*(v.g-w.g)+(v.b-w.b)*(v.b-w.b))/255*0.2+sqrt((v.x-w.x)*(v.x-w.x)+(v.y-w.y)*(v.y-w.y)+(v.z-w.z)*(v.z-w.z))/200*0.4,6) d FROM edges e JOIN vox v ON v.frame=e.frame AND v.kx=e.kx AND v.ky=e.ky AND v.kz=e.kz JOIN vox w ON w.frame=e.frame AND w.kx=e.nx AND w.ky=e.ny AND w.kz=e.nz")
@@ -174,16 +172,14 @@ def j4_full_resolution_labels(spark, sf_dir):
 @query("""WITH d AS (SELECT label, vec_id kp_id, list_transform(embedding[1:36], lambda e: CAST(round(CAST(e AS DOUBLE)*1000000) AS BIGINT)) v FROM embeddings), p AS (SELECT a.label, a.kp_id, b.kp_id near, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1]-z[2]))) AS BIGINT) dist FROM d a JOIN d b ON a.label=b.label AND a.kp_id<>b.kp_id)
 SELECT label, kp_id, near, dist FROM p QUALIFY row_number() OVER (PARTITION BY kp_id ORDER BY dist, near)=1""")
 def j8_descriptor_nearest(spark, sf_dir):
-    """Nearest descriptor of the same label by summed differences; ties to the smaller id. The argmin is combined before rows move."""
+    """Nearest other descriptor of the same label by summed differences; ties to the smaller id. Of two, one is the keypoint itself, unless others are equal to it."""
     d = t.descriptors(spark, sf_dir)
-    o = d.select("label", F.col("kp_id").alias("near"), F.col("desc").alias("other"))
-    dist = F.aggregate(F.zip_with("desc", "other", lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    best = d.join(o, "label").where("kp_id <> near").groupBy("label", "kp_id").agg(F.min(F.struct(dist.alias("dist"), "near")).alias("m"))
-    return best.select("label", "kp_id", "m.near", "m.dist")
+    near = matching.l1_nearest(d, d, 2).where("q <> t")
+    return near.groupBy("label", "q").agg(F.min(F.struct("rank", "t", "dist")).alias("m")).select("label", F.col("q").alias("kp_id"), F.col("m.t").alias("near"), "m.dist")
 
 
 @query(f"WITH {EDGES} SELECT v.frame, v.kx, v.ky, v.kz, count(e.nx) neighbours FROM vox v LEFT JOIN edges e USING (frame, kx, ky, kz) GROUP BY ALL HAVING count(e.nx)<=1")
-def j11_noisevoxels(spark, sf_dir):
+def j11_noise_voxels(spark, sf_dir):
     v = voxels(spark, sf_dir)
     n = spatial.adjacency(v).groupBy(*spatial.KEY).agg(F.count("*").alias("neighbours"))
     return v.select(*spatial.KEY).join(n, spatial.KEY, "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0))).where("neighbours <= 1")
@@ -253,9 +249,7 @@ reach AS (SELECT part, part other FROM parts UNION SELECT part, b FROM reach JOI
 
 @query(OBJECTS)
 def c3_objects(spark, sf_dir):
-    if not spark.sparkContext.getCheckpointDir() and spark.sparkContext.master.startswith("local["):
-        # on a cluster spark.checkpoint.dir must be set
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pointfold-"))
+    shared(spark)
     return comovement.objects(t.moves(spark, sf_dir), t.resets(spark, sf_dir))
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointfold.functions import columns as c
-from pointfold.jobs.base import EDGES, KEYS, VOX, box, query, voxels
+from pointfold.jobs.base import CROSS, EDGES, KEYS, VOX, box, crossing, query, shared, voxels
 from pointfold.operators import growth, matching, spatial, surface
 from pointfold.sources import tables as t
 from pointfold.streaming import voxel_state
@@ -18,13 +16,8 @@ OWN = "CAST(floor(kx/5.0) AS BIGINT)*100+CAST(floor(ky/5.0) AS BIGINT)*10+CAST(f
 WHOLE = "q AS (SELECT frame, kx, ky, kz, n, " + ", ".join(f"CAST(floor({a}) AS BIGINT) {a}" for a in "xyzrgb") + " FROM vox)"
 LABELS = f"{EDGES}, {WHOLE}, l AS (SELECT *, {OWN} label FROM q)"
 D2 = "(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)"
-ROUNDS, LEAST, NEAR = 4, 3, 102
-
-
-def shared(spark: SparkSession) -> None:
-    """A checkpoint folder for local sessions; on a cluster spark.checkpoint.dir must be set."""
-    if not spark.sparkContext.getCheckpointDir() and spark.sparkContext.master.startswith("local["):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pointfold-"))
+NEAR = 102  # a little over half of a seed cell
+ROUNDS, LEAST = growth.rounds_of(c.VOXEL, c.SEED), growth.least_of(c.VOXEL, NEAR)
 
 
 def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +65,9 @@ def f10_negative_depth(spark, sf_dir):
     return t.points(spark, sf_dir).groupBy("frame").agg(F.count("*").alias("n"), (F.min(F.col("z") - 901) >= 0).alias("valid"))
 
 
-@query(f"WITH {t.POINTS} SELECT pid, {KEYS} FROM pts WHERE frame=0")
+@query(f"WITH {t.POINTS} SELECT frame, pid, {KEYS} FROM pts")
 def f11_voxel_keys(spark, sf_dir):
-    return t.points(spark, sf_dir).where("frame = 0").select("pid", *c.cells())
+    return t.points(spark, sf_dir).select("frame", "pid", *c.cells())
 
 
 @query(f"WITH {LABELS} SELECT e.*, CASE WHEN a.label=b.label THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END coherence FROM edges e JOIN l a ON a.frame=e.frame AND a.kx=e.kx AND a.ky=e.ky AND a.kz=e.kz JOIN l b ON b.frame=e.frame AND b.kx=e.nx AND b.ky=e.ny AND b.kz=e.nz")
@@ -123,16 +116,25 @@ def a5_surviving_centroids(spark, sf_dir):
     return v.join(before, KEY, "left_semi").groupBy("frame", "label").agg(F.count("*").alias("n"), *[(F.sum(a) / F.count("*")).alias(a) for a in "xyz"])
 
 
+#: Cells that the rays of rows {of} (with key) enter: the first step in each.
+PATHS = """SELECT frame, kx, ky, kz, ox, oy, oz, 1+0.25::DOUBLE*min(i) distance FROM (SELECT r.frame, r.kx, r.ky, r.kz, i, CAST(round(r.kx+(10-r.kx)/norm*(1+0.25::DOUBLE*(i+1))) AS BIGINT) ox, CAST(round(r.ky+(8-r.ky)/norm*(1+0.25::DOUBLE*(i+1))) AS BIGINT) oy, CAST(round(r.kz+(-20-r.kz)/norm*(1+0.25::DOUBLE*(i+1))) AS BIGINT) oz
+FROM (SELECT *, sqrt(CAST((10-kx)*(10-kx)+(8-ky)*(8-ky)+(-20-kz)*(-20-kz) AS DOUBLE)) norm FROM {of}) r, range(0, 400) w(i) WHERE i<greatest(1, floor(norm/0.25)) AND r.kz+(-20-r.kz)/norm*(1+0.25::DOUBLE*(i+1))>=-13) WHERE ox<>kx OR oy<>ky OR oz<>kz GROUP BY ALL"""
+CROSSED = f"{CROSS}, {WHOLE}, l AS (SELECT *, {OWN} label FROM q)"
 #: Gone voxels with the first occupied voxel on their ray to the camera.
-RAYS = f"""{LABELS}, gone AS (SELECT p.frame+1 frame, p.kx, p.ky, p.kz, p.label FROM l p WHERE p.frame<(SELECT max(frame) FROM q) AND NOT EXISTS (SELECT 1 FROM q WHERE q.frame=p.frame+1 AND q.kx=p.kx AND q.ky=p.ky AND q.kz=p.kz)),
+RAYS = f"""{CROSSED}, gone AS (SELECT p.frame+1 frame, p.kx, p.ky, p.kz, p.label FROM l p WHERE p.frame<(SELECT max(frame) FROM q) AND NOT EXISTS (SELECT 1 FROM q WHERE q.frame=p.frame+1 AND q.kx=p.kx AND q.ky=p.ky AND q.kz=p.kz)),
 occ AS (SELECT frame, kx, ky, kz FROM q UNION SELECT frame+1, kx, ky, kz FROM q), occ2 AS (SELECT o.frame, o.kx, o.ky, o.kz, NOT EXISTS (SELECT 1 FROM q WHERE q.frame=o.frame-1 AND q.kx=o.kx AND q.ky=o.ky AND q.kz=o.kz) is_new FROM occ o),
-pos AS (SELECT *, (kx+0.5::DOUBLE)*40-400 px, (ky+0.5::DOUBLE)*40-350 py, (kz+0.5::DOUBLE)*40+800 pz FROM gone), ray AS (SELECT *, 1+0.25::DOUBLE*i distance, 1-40*(1+0.25::DOUBLE*i)/sqrt(px*px+py*py+pz*pz) s FROM pos, range(1, 400) w(i)),
-cell AS (SELECT *, CAST(floor((px*s+400)/40.0::DOUBLE) AS BIGINT) ox, CAST(floor((py*s+350)/40.0::DOUBLE) AS BIGINT) oy, CAST(floor((pz*s-800)/40.0::DOUBLE) AS BIGINT) oz FROM ray WHERE pz*s>=800),
-hid AS (SELECT c.frame, c.kx, c.ky, c.kz, c.label, distance, ox, oy, oz FROM cell c JOIN occ2 o ON o.frame=c.frame AND o.kx=ox AND o.ky=oy AND o.kz=oz WHERE (ox<>c.kx OR oy<>c.ky OR oz<>c.kz) AND (distance>2.5 OR is_new) QUALIFY row_number() OVER (PARTITION BY c.frame, c.kx, c.ky, c.kz ORDER BY distance)=1)"""
+cell AS ({PATHS.format(of="gone")}),
+hid AS (SELECT c.frame, c.kx, c.ky, c.kz, distance, ox, oy, oz FROM cell c JOIN occ2 o ON o.frame=c.frame AND o.kx=ox AND o.ky=oy AND o.kz=oz WHERE distance>2.5 OR is_new QUALIFY row_number() OVER (PARTITION BY c.frame, c.kx, c.ky, c.kz ORDER BY distance)=1)"""
+
+
+def crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As labelled, of the cloud whose patches hide one another."""
+    label = F.floor(F.col("kx") / 5) * 100 + F.floor(F.col("ky") / 5) * 10 + F.floor(F.col("kz") / 5)
+    return crossing(spark, sf_dir).select(*KEY, "n", *[F.floor(a).alias(a) for a in "xyzrgb"]).withColumn("label", label)
 
 
 def _gone_and_hidden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    v = labelled(spark, sf_dir).select(*KEY, "label")
+    v = crossed(spark, sf_dir).select(*KEY, "label")
     most = v.agg(F.max("frame")).scalar()
     before = v.where(F.col("frame") < most).select((F.col("frame") + 1).alias("frame"), "kx", "ky", "kz", "label")
     gone = before.join(v.select(*KEY), KEY, "left_anti")
@@ -147,19 +149,29 @@ def j9_occluders(spark, sf_dir):
     return _gone_and_hidden(spark, sf_dir)[1]
 
 
-@query(f"WITH {RAYS} SELECT g.frame, g.label, count(*) gone, count(h.kx) hidden FROM gone g LEFT JOIN hid h USING (frame, kx, ky, kz) GROUP BY g.frame, g.label")
+@query(f"WITH {RAYS}, n AS (SELECT frame+1 frame, label, count(*) voxels FROM l WHERE frame<(SELECT max(frame) FROM q) GROUP BY ALL) SELECT n.frame, n.label, voxels, count(g.kx) gone, count(h.kx) hidden, count(h.kx)=voxels tracked FROM n LEFT JOIN gone g ON g.frame=n.frame AND g.label=n.label LEFT JOIN hid h ON h.frame=g.frame AND h.kx=g.kx AND h.ky=g.ky AND h.kz=g.kz GROUP BY n.frame, n.label, voxels")
 def a7_hidden_per_label(spark, sf_dir):
+    """Voxels of each label of the frame before, how many are gone and how many of those are hidden; a label with all hidden is tracked on."""
     gone, hid = _gone_and_hidden(spark, sf_dir)
-    g = gone.join(hid.select(*KEY, "distance"), KEY, "left").groupBy("frame", "label")
-    return g.agg(F.count("*").alias("gone"), F.count("distance").alias("hidden"))
+    v = crossed(spark, sf_dir)
+    n = v.where(F.col("frame") < v.agg(F.max("frame")).scalar()).groupBy((F.col("frame") + 1).alias("frame"), "label").agg(F.count("*").alias("voxels"))
+    g = gone.join(hid.select(*KEY, "distance"), KEY, "left").groupBy("frame", "label").agg(F.count("*").alias("gone"), F.count("distance").alias("hidden"))
+    zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
+    return n.join(g, ["frame", "label"], "left").select("frame", "label", "voxels", zero("gone"), zero("hidden"), (F.coalesce("hidden", F.lit(0)) == F.col("voxels")).alias("tracked"))
 
 
-@query(f"WITH {LABELS} SELECT a.frame, a.kx, a.ky, a.kz, round(sum(b.r)/255, 6) sum_r, round(sum(b.g)/255, 6) sum_g, count(*) n FROM q a JOIN q b ON a.frame=b.frame AND {D2}<=6400 GROUP BY a.frame, a.kx, a.ky, a.kz")
-def a9_colour_sums(spark, sf_dir):
-    """Sums, not means, of colours within two voxel sizes."""
-    v = whole(spark, sf_dir)
-    near = spatial.radius_pairs(v.select(*KEY, "x", "y", "z"), v.select("frame", *"xyzrg"), 80).groupBy(*KEY)
-    return near.agg(*[F.round(F.sum(f"o_{a}") / 255, 6).alias(f"sum_{a}") for a in "rg"], F.count("*").alias("n"))
+HIDDEN = "SELECT w.frame, w.label, avg(CASE WHEN h.kx IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) f FROM {of} w LEFT JOIN (SELECT DISTINCT p.frame, p.kx, p.ky, p.kz FROM p{of} p JOIN {by} o ON o.frame=p.frame AND o.kx=ox AND o.ky=oy AND o.kz=oz) h ON h.frame=w.frame AND h.kx=w.kx AND h.ky=w.ky AND h.kz=w.kz GROUP BY w.frame, w.label"
+
+
+@query(f"""WITH {CROSSED}, was AS (SELECT frame+1 frame, kx, ky, kz, label FROM l), now_ AS (SELECT frame, kx, ky, kz, label FROM l), pwas AS ({PATHS.format(of="was")}), pnow_ AS ({PATHS.format(of="now_")}),
+a AS ({HIDDEN.format(of="was", by="now_")}), b AS ({HIDDEN.format(of="now_", by="was")}) SELECT a.frame, a.label, round(a.f, 9) before, round(b.f, 9) after, a.f<=0.7 OR b.f<=0.7 accepted FROM a JOIN b ON a.frame=b.frame AND a.label=b.label""")
+def a13_occlusion_fractions(spark, sf_dir):
+    """For each label in two frames running: the share of its old voxels that the new frame hides, and of its new ones that the old frame hides; accepted if either is at most 0.7."""
+    v = crossed(spark, sf_dir).select(*KEY, "label")
+    moved = v.withColumn("frame", F.col("frame") + 1)
+    before, after = matching.hidden_shares(moved, v), matching.hidden_shares(v, moved)
+    both = before.withColumnRenamed("share", "before").join(after.withColumnRenamed("share", "after"), ["frame", "label"])
+    return both.select("frame", "label", F.round("before", 9).alias("before"), F.round("after", 9).alias("after"), ((F.col("before") <= 0.7) | (F.col("after") <= 0.7)).alias("accepted"))
 
 
 @query(f"WITH {t.POINTS} SELECT frame, sum(x)/count(*) x, sum(y)/count(*) y, sum(z)/count(*) z FROM pts GROUP BY frame")
@@ -187,7 +199,7 @@ def j6_nearest_voxel(spark, sf_dir):
     """The voxel nearest to each occupied seed cell's centre, wherever it lies."""
     s = _seeds(spark, sf_dir).select("frame", F.struct("sx", "sy", "sz").alias("pid"), *[(F.col(f"s{a}") * c.SEED + c.SEED // 2 + c.ORIGIN[a]).alias(a) for a in "xyz"])
     to = whole(spark, sf_dir).select("frame", F.struct("kx", "ky", "kz").alias("pid"), "x", "y", "z")
-    return surface.nearest(s, to, 1, 100, 1600).select("frame", "pid.*", "o_pid.*", "d2")
+    return surface.nearest(s, to, 1, 100).select("frame", "pid.*", "o_pid.*", "d2")
 
 
 @query(f"WITH {LABELS}, {SEEDS} SELECT a.frame, a.kx, a.ky, a.kz, b.kx ox, b.ky oy, b.kz oz, {D2} d2 FROM s a JOIN q b ON a.frame=b.frame AND {D2}<={NEAR * NEAR}")
@@ -233,20 +245,20 @@ r3 AS (SELECT * FROM near n WHERE rank=3 AND NOT EXISTS (SELECT 1 FROM r1 WHERE
 THRESHOLD = 3_600_000
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _near(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     d = t.descriptors(spark, sf_dir)
-    return matching.l1_pairs(d.where("kp_id % 2 = 0"), d.where("kp_id % 2 = 1"))
+    return matching.l1_nearest(d.where("kp_id % 2 = 0"), d.where("kp_id % 2 = 1"), k)
 
 
 @query(f"WITH {DESC} SELECT label, q, t, dist FROM near WHERE rank=1 AND dist>0 AND dist<{THRESHOLD}")
 def j17_inliers(spark, sf_dir):
     """Even keypoints and their nearest odd one of the same label, where that is near enough."""
-    return matching.k_nearest(_pairs(spark, sf_dir), 1).where(f"dist > 0 AND dist < {THRESHOLD}").select("label", "q", "t", "dist")
+    return _near(spark, sf_dir, 1).where(f"dist > 0 AND dist < {THRESHOLD}").select("label", "q", "t", "dist")
 
 
 @query(f"WITH {RANKS} SELECT label, q, t, dist, rank FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3)")
 def j18_greedy_ranks(spark, sf_dir):
-    return matching.greedy_ranks(matching.k_nearest(_pairs(spark, sf_dir), 3), 3)
+    return matching.greedy_ranks(_near(spark, sf_dir, 3), 3)
 
 
 @query(f"WITH {DESC}, i AS (SELECT * FROM near WHERE rank=1 AND dist>0 AND dist<{THRESHOLD}) SELECT label, kp_id FROM d WHERE kp_id%2=1 AND kp_id NOT IN (SELECT t FROM i)")
@@ -259,7 +271,7 @@ def j19_used_inliers_removed(spark, sf_dir):
 SELECT label, size, inliers, error, inliers//size+3*({THRESHOLD}-error)/{THRESHOLD} score FROM s""")
 def t6_scores(spark, sf_dir):
     """Mean error of inliers and the score made of it, for each label."""
-    return matching.scores(matching.k_nearest(_pairs(spark, sf_dir), 1), THRESHOLD)
+    return matching.scores(_near(spark, sf_dir, 1), THRESHOLD)
 
 
 @query(f"WITH {t.POINTS} SELECT DISTINCT frame, 0.0::DOUBLE r00, -1.0::DOUBLE r01, 1.0::DOUBLE r10, 1.0::DOUBLE r22, 10.0::DOUBLE tx, -20.0::DOUBLE ty, 5.0::DOUBLE tz FROM pts")
@@ -270,19 +282,37 @@ def t4_rigid_transform(spark, sf_dir):
     return matching.rigid(p, "frame").select("frame", *[(F.round(x, 6) + 0.0).alias(x) for x in ("r00", "r01", "r10", "r22", "tx", "ty", "tz")])
 
 
-@query(f"""WITH {LABELS}, b4 AS (SELECT a.frame, a.label, CAST(floor(sum(a.x)/count(*)) AS BIGINT) x, CAST(floor(sum(a.y)/count(*)) AS BIGINT) y, CAST(floor(sum(a.z)/count(*)) AS BIGINT) z FROM (SELECT l.frame+1 frame, l.label, q.x, q.y, q.z FROM l JOIN q ON q.frame=l.frame+1 AND q.kx=l.kx AND q.ky=l.ky AND q.kz=l.kz) a GROUP BY a.frame, a.label)
-SELECT a.frame, a.label, b.kx, b.ky, b.kz FROM b4 a JOIN q b ON a.frame=b.frame QUALIFY row_number() OVER (PARTITION BY a.frame, a.label ORDER BY {D2}, b.kx, b.ky, b.kz)=1""")
+#: Where labels of the frame before (here those that `some` picks) are expected: matched ones moved as a whole, the others at the mean of what is left.
+EXPECTED = """b4 AS (SELECT a.frame, a.label, floor(sum(a.x)/count(*)) x, floor(sum(a.y)/count(*)) y, floor(sum(a.z)/count(*)) z FROM (SELECT l.frame+1 frame, l.label, q.x, q.y, q.z FROM l JOIN q ON q.frame=l.frame+1 AND q.kx=l.kx AND q.ky=l.ky AND q.kz=l.kz WHERE {some}) a GROUP BY a.frame, a.label)"""
+NEAREST = "SELECT a.frame, a.label, b.kx, b.ky, b.kz FROM {at} a JOIN q b ON a.frame=b.frame QUALIFY row_number() OVER (PARTITION BY a.frame, a.label ORDER BY {d2}, b.kx, b.ky, b.kz)=1"
+CARRIED = f"{EXPECTED.format(some='l.label%3=1')}, c1 AS ({NEAREST.format(at='b4', d2=D2)})"
+
+
+def _carried(spark: SparkSession, sf_dir: str, some: str = "true", moved: DataFrame | None = None) -> DataFrame:
+    v = labelled(spark, sf_dir)
+    return growth.carried(v.where(some).select((F.col("frame") + 1).alias("frame"), "kx", "ky", "kz", "label"), v, moved)
+
+
+@query(f"""WITH {LABELS}, {EXPECTED.format(some='true')}, m AS (SELECT l.frame+1 frame, label, -(sum(y)/count(*))+10 x, sum(x)/count(*)-20 y, sum(z)/count(*)+5 z FROM l WHERE label%4=2 AND frame<(SELECT max(frame) FROM l) GROUP BY l.frame, label),
+at_ AS (SELECT frame, label, x, y, z FROM m UNION ALL SELECT frame, label, x, y, z FROM b4 WHERE label%4<>2) {NEAREST.format(at='at_', d2=D2)}""")
 def g1_carried_seeds(spark, sf_dir):
+    """Seeds of the labels of the frame before: every fourth label is taken as matched, with a quarter turn and a shift as its transform; the others stay where what is left of them is."""
     v = labelled(spark, sf_dir)
-    return growth.carried(v.select((F.col("frame") + 1).alias("frame"), "kx", "ky", "kz", "label"), v)
+    centre = v.where(F.col("frame") < v.agg(F.max("frame")).scalar()).where("label % 4 = 2").groupBy((F.col("frame") + 1).alias("frame"), "label").agg(*[(F.sum(a) / F.count("*")).alias(a) for a in "xyz"])
+    place = c.transformed([0, -1, 0, 10, 1, 0, 0, -20, 0, 0, 1, 5], F.col("x"), F.col("y"), F.col("z"))
+    moved = centre.select("frame", "label", *[p.alias(a) for p, a in zip(place, "xyz", strict=True)])
+    return _carried(spark, sf_dir, "true", moved)
 
 
-PRUNED = f"{SEEDS}, g AS (SELECT a.frame, a.sx, a.sy, a.sz, a.kx, a.ky, a.kz, count(*) near FROM s a JOIN q b ON a.frame=b.frame AND {D2}<={NEAR * NEAR} GROUP BY ALL HAVING count(*)>{LEAST})".replace("GROUP BY ALL", "GROUP BY a.frame, a.sx, a.sy, a.sz, a.kx, a.ky, a.kz")
+PRUNED = f"{SEEDS}, g AS (SELECT a.frame, a.sx, a.sy, a.sz, a.kx, a.ky, a.kz, count(*) near FROM s a JOIN q b ON a.frame=b.frame AND {D2}<={NEAR * NEAR} GROUP BY a.frame, a.sx, a.sy, a.sz, a.kx, a.ky, a.kz HAVING count(*)>{LEAST})"
 
 
-@query(f"WITH {LABELS}, {PRUNED} SELECT * FROM g")
+@query(f"WITH {LABELS}, {SEEDS}, {PRUNED.replace(SEEDS + ', ', '')}, {CARRIED}, had AS (SELECT c1.frame, q.x, q.y, q.z FROM c1 JOIN q USING (frame, kx, ky, kz)) SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM had b JOIN q a ON a.frame=b.frame AND {D2}<={NEAR * NEAR} WHERE a.frame=g.frame AND a.kx=g.kx AND a.ky=g.ky AND a.kz=g.kz)")
 def g3_pruned_seeds(spark, sf_dir):
-    return growth.pruned(_seeds(spark, sf_dir), whole(spark, sf_dir), NEAR, LEAST).select("frame", "sx", "sy", "sz", "kx", "ky", "kz", "near")
+    """New seeds with enough voxels around them and no carried seed in reach; here every third label of the frame before is carried."""
+    v = whole(spark, sf_dir)
+    had = _carried(spark, sf_dir, "label % 3 = 1").join(v.select(*KEY, "x", "y", "z"), KEY)
+    return growth.pruned(_seeds(spark, sf_dir), v, NEAR, LEAST, had).select("frame", "sx", "sy", "sz", "kx", "ky", "kz", "near")
 
 
 def _rounds() -> str:
@@ -330,13 +360,36 @@ def g8_cluster_voxels(spark, sf_dir):
     return g.select("frame", "label", F.concat(F.lit("["), F.array_join(F.col("k").cast("array<string>"), ", "), F.lit("]")).alias("voxels"))
 
 
-@query()
+FRAMES, TURNED = 7, 12
+
+
+def _states() -> str:
+    """CTEs s0 to s6, the state after each frame; a voxel counts as changed where its mean red is TURNED away from the last one."""
+    old = "kx, ky, kz, x, y, z, r, g, b, first_frame, seen_frame, occluded_frame, label"
+    out = f"s0 AS MATERIALIZED (SELECT kx, ky, kz, x, y, z, r, g, b, NULL::DOUBLE prev_r, 0 first_frame, 0 seen_frame, NULL::BIGINT occluded_frame, {OWN} label, false changed FROM vox WHERE frame=0)"
+    for f in range(1, FRAMES):
+        now = ", ".join(f"n.{a} now_{a}" for a in "xyzrgb")
+        out += f""", b{f} AS MATERIALIZED (SELECT {f}::BIGINT frame, {old}, n.here IS NOT NULL here, s.first_frame IS NOT NULL old, now_x, now_y, now_z, now_r, now_g, now_b FROM (SELECT {old} FROM s{f - 1}) s FULL JOIN (SELECT kx, ky, kz, {now}, true here FROM vox n WHERE frame={f}) n USING (kx, ky, kz)),
+e{f} AS (SELECT a.kx, a.ky, a.kz, count(*) near, bool_or(NOT o.old) new_near FROM b{f} a JOIN b{f} o ON abs(a.kx-o.kx)<=1 AND abs(a.ky-o.ky)<=1 AND abs(a.kz-o.kz)<=1 AND (a.kx<>o.kx OR a.ky<>o.ky OR a.kz<>o.kz) GROUP BY a.kx, a.ky, a.kz),
+u{f} AS (SELECT frame, kx, ky, kz FROM b{f} WHERE old AND NOT here), c{f} AS ({PATHS.format(of=f"u{f}")}),
+h{f} AS (SELECT c.kx, c.ky, c.kz, distance, CASE WHEN o.here THEN 0 ELSE coalesce(o.occluded_frame, 0) END other FROM c{f} c JOIN b{f} o ON o.kx=ox AND o.ky=oy AND o.kz=oz WHERE distance>2.5 OR NOT o.old QUALIFY row_number() OVER (PARTITION BY c.kx, c.ky, c.kz ORDER BY distance)=1),
+k{f} AS (SELECT kx, ky, kz, {", ".join(f"coalesce(now_{a}, {a}) {a}" for a in "xyzrgb")}, r prev_r, coalesce(first_frame, {f}) first_frame, CASE WHEN here THEN {f} ELSE seen_frame END seen_frame, CASE WHEN here THEN NULL ELSE coalesce(occluded_frame, {f}) END occluded_frame, label, coalesce(here AND old AND abs(now_r-r)>={TURNED}, false) changed
+FROM b{f} LEFT JOIN e{f} USING (kx, ky, kz) LEFT JOIN h{f} USING (kx, ky, kz) WHERE NOT old OR (coalesce(near, 0)>1 AND (here OR coalesce(distance>4 AND NOT (coalesce(new_near, false) AND coalesce(occluded_frame, 0)<>other), false)))),
+v{f} AS (SELECT label, sum(CASE WHEN changed THEN -1 ELSE 1 END) votes FROM k{f} WHERE label IS NOT NULL GROUP BY label),
+s{f} AS MATERIALIZED (SELECT k.* REPLACE (CASE WHEN NOT changed AND votes>=3 THEN k.label END AS label) FROM k{f} k LEFT JOIN v{f} v ON v.label=k.label)"""
+    return out
+
+
+@query(f"WITH {CROSS}, {_states()} SELECT kx, ky, kz, x, r, prev_r, CAST(first_frame AS BIGINT) first_frame, CAST(seen_frame AS BIGINT) seen_frame, CAST(occluded_frame AS BIGINT) occluded_frame, label, changed FROM s{FRAMES - 1}")
 def x2_voxel_state(spark, sf_dir):
-    """Voxels after the last frame, with their means before, and when they were first and last seen or hidden."""
+    """Voxels after the last frame, inserted, updated, kept while hidden or deleted frame by frame, with when they were first and last seen or hidden, and which of the first frame's labels they still have."""
     shared(spark)
-    v = voxels(spark, sf_dir)
-    frames = sorted(r.frame for r in v.select("frame").distinct().collect())  # one number for each frame
-    return voxel_state.fold(spark, v, frames)
+    v = crossing(spark, sf_dir)
+    ends = v.agg(F.min("frame"), F.max("frame")).first()
+    labels = crossed(spark, sf_dir).where(F.col("frame") == ends[0]).select(*voxel_state.AT, "label")
+    turned = lambda: F.abs(F.col("r") - F.col("prev_r")) >= TURNED
+    state = voxel_state.fold(spark, v, range(ends[0] or 0, (ends[1] if ends[1] is not None else -1) + 1), labels, turned)
+    return state.select(*voxel_state.AT, "x", "r", "prev_r", "first_frame", "seen_frame", "occluded_frame", "label", "changed")
 
 
 @query(f"WITH {t.MOVES} SELECT frame, label, true moving FROM moves UNION ALL SELECT frame, label, false FROM resets")

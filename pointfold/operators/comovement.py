@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointfold.operators.components import connected
+
+#: Frames whose moves of one part are ranked together.
+FRAMES = 10_000
+
 
 def since_reset(moves: DataFrame, resets: DataFrame) -> DataFrame:
     """Moves of a part at or after its last reset, with that frame."""
@@ -12,13 +17,21 @@ def since_reset(moves: DataFrame, resets: DataFrame) -> DataFrame:
     return moves.join(last, "label", "left").withColumn("reset", F.coalesce("reset", F.lit(0)))
 
 
+def with_later(moves: DataFrame, frames: int = FRAMES) -> DataFrame:
+    """Adds later: how many of the part's moves are in this frame or after it. Blocks of frames are counted first, so that only a number for each block of a part's history comes together."""
+    block = F.floor(F.col("frame") / frames).alias("block")
+    sizes = moves.groupBy("label", block).agg(F.count("*").alias("n"))
+    after = sizes.select("label", "block", (F.sum("n").over(Window.partitionBy("label").orderBy(F.col("block").desc())) - F.col("n")).alias("after"))
+    own: Column = F.count("*").over(Window.partitionBy("label", "block").orderBy(F.col("frame").desc()))
+    return moves.withColumn("block", block).join(after, ["label", "block"]).withColumn("later", own + F.col("after")).drop("block", "after")
+
+
 def counters(moves: DataFrame, resets: DataFrame) -> DataFrame:
     """a, b, cnt for a < b: from the first frame after both resets in which both move, +1 for each frame in which both do and -1 for each in which one does.
 
     Both counts of one part's later frames are looked up at that first frame, so no pair is joined with all frames.
     """
-    m = since_reset(moves, resets)
-    m = m.withColumn("later", F.count("*").over(Window.partitionBy("label").orderBy(F.col("frame").desc())))
+    m = with_later(since_reset(moves, resets))
     a = m.select("frame", F.col("label").alias("a"), F.col("reset").alias("ra"), F.col("later").alias("la"))
     b = m.select("frame", F.col("label").alias("b"), F.col("reset").alias("rb"), F.col("later").alias("lb"))
     both = a.join(b, "frame").where("a < b AND frame >= greatest(ra, rb)")
@@ -26,16 +39,8 @@ def counters(moves: DataFrame, resets: DataFrame) -> DataFrame:
     return first.select("a", "b", (3 * F.col("n") - F.col("f.la") - F.col("f.lb")).alias("cnt"))
 
 
-def objects(moves: DataFrame, resets: DataFrame, rounds: int = 64) -> DataFrame:
+def objects(moves: DataFrame, resets: DataFrame) -> DataFrame:
     """object_id (its least part) and part, over pairs with a positive counter; parts without one are objects of their own."""
     parts = since_reset(moves, resets).where("frame >= reset").select(F.col("label").alias("part")).distinct()
-    pairs = counters(moves, resets).where("cnt > 0").select("a", "b")
-    edges = pairs.union(pairs.select("b", "a")).checkpoint()
-    label = parts.select("part", F.col("part").alias("object_id"))
-    for _ in range(rounds):
-        near = edges.join(label, edges.b == label.part).groupBy("a").agg(F.min("object_id").alias("near"))
-        new = label.join(near, label.part == near.a, "left").select("part", F.least("object_id", F.coalesce("near", "object_id")).alias("object_id"), F.col("object_id").alias("before")).checkpoint()
-        label = new.select("part", "object_id")
-        if not new.where("object_id <> before").limit(1).count():
-            break
-    return label.select("object_id", "part")
+    root = connected(counters(moves, resets).where("cnt > 0").select("a", "b"))
+    return parts.join(root, parts.part == root.node, "left").select(F.coalesce("root", "part").alias("object_id"), "part")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +15,17 @@ from pointfold.operators.surface import nearest
 FEATURES = ["x", "y", "z", "r", "g", "b", "nx", "ny", "nz"]
 
 
-def pruned(seeds: DataFrame, v: DataFrame, radius: int, least: int, existing: DataFrame | None = None) -> DataFrame:
+def rounds_of(voxel: float, seed: float) -> int:
+    """Rounds of growth for these sizes, by single-precision arithmetic."""
+    return int(np.float32(1.8) * np.float32(seed) / np.float32(voxel)) - 1
+
+
+def least_of(voxel: float, radius: float) -> float:
+    """A seed needs more voxels within radius than this: a twentieth of a disc's."""
+    return 0.05 * math.pi * radius * radius / (voxel * voxel)
+
+
+def pruned(seeds: DataFrame, v: DataFrame, radius: int, least: float, existing: DataFrame | None = None) -> DataFrame:
     """Seeds (key, x, y, z) with more than `least` voxels within radius, themselves included, and none of them an existing seed (frame, x, y, z of its voxel)."""
     if existing is not None:
         seeds = seeds.join(radius_pairs(seeds, existing.select("frame", "x", "y", "z"), radius).select(*KEY).distinct(), KEY, "left_anti")
@@ -20,12 +33,18 @@ def pruned(seeds: DataFrame, v: DataFrame, radius: int, least: int, existing: Da
     return seeds.join(near.where(F.col("near") > least), KEY)
 
 
-def carried(labels: DataFrame, v: DataFrame) -> DataFrame:
-    """frame, label, key: the voxel nearest to the mean of a label's voxels that are still there. labels: key and label of the frame before, by the new frame's number."""
+def carried(labels: DataFrame, v: DataFrame, moved: DataFrame | None = None) -> DataFrame:
+    """frame, label, key: the voxel nearest to where a label is expected. labels: key and label of the frame before, by the new frame's number.
+
+    A label that was matched (moved: frame, label and the place x, y, z where its transform takes its old centre) is expected there, another at the mean of its voxels that are still there; without any, it is dropped.
+    """
     mean = [F.floor(F.sum(a) / F.count("*")).alias(a) for a in "xyz"]
     at = labels.join(v.select(*KEY, "x", "y", "z"), KEY).groupBy("frame", F.col("label").alias("pid")).agg(*mean)
+    if moved is not None:
+        matched = moved.select("frame", F.col("label").alias("pid"), *[F.col(a).cast("double").alias(a) for a in "xyz"])
+        at = matched.unionByName(at.join(matched, ["frame", "pid"], "left_anti").select("frame", "pid", *[F.col(a).cast("double").alias(a) for a in "xyz"]))
     to = v.select("frame", F.struct("kx", "ky", "kz").alias("pid"), "x", "y", "z")
-    return nearest(at, to, 1, 100, 1600).select("frame", F.col("pid").alias("label"), "o_pid.kx", "o_pid.ky", "o_pid.kz")
+    return nearest(at, to, 1, 100).select("frame", F.col("pid").alias("label"), "o_pid.kx", "o_pid.ky", "o_pid.kz")
 
 
 def centroids(owned: DataFrame) -> DataFrame:

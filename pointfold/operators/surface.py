@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointfold.functions.columns import BOX, ORIGIN, VOXEL
+from pointfold.functions.columns import ORIGIN, VOXEL
 from pointfold.operators.spatial import KEY, radius_pairs
 
 
@@ -38,19 +38,23 @@ def _cross(a: list[Column], b: list[Column]) -> list[Column]:
     return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
 
 
-def nearest(a: DataFrame, b: DataFrame, k: int, radius: int, widest: int, others: bool = False) -> DataFrame:
-    """frame, pid, o_pid, d2, rank: the k nearest of b (frame, pid, x, y, z) to each row of a, ties to the smaller o_pid; with `others`, never the row itself.
+def nearest(a: DataFrame, b: DataFrame, k: int, radius: int, others: bool = False) -> DataFrame:
+    """frame, pid, o_pid, d2, rank: the k nearest of b (frame, pid, x, y, z) to each row of a, or all if they are fewer; ties to the smaller o_pid; with `others`, never the row itself.
 
-    Rows that have fewer than k within the radius look four times as far, until `widest`, so a sparse row does not widen the join of all.
+    Rows that have fewer than k within the radius look four times as far, until all of the space is seen, so a sparse row does not widen the join of all.
     """
-    parts, todo = [], a.select("frame", "pid", "x", "y", "z")
+    a, b = (df.select("frame", "pid", "x", "y", "z") for df in (a, b))
+    # one row, whatever the clouds
+    ends = a.select(*"xyz").union(b.select(*"xyz")).agg(*[f(c) for c in "xyz" for f in (F.min, F.max)]).first()
+    span = sum((ends[2 * i + 1] - ends[2 * i]) ** 2 for i in range(3)) ** 0.5 if ends[0] is not None else 0
+    parts, todo = [], a
     mine = Window.partitionBy("frame", "pid")
     while True:
-        near = radius_pairs(todo, b.select("frame", "pid", "x", "y", "z"), radius)
+        near = radius_pairs(todo, b, radius)
         if others:
             near = near.where("pid <> o_pid")
         top = near.select("frame", "pid", "o_pid", "d2", F.row_number().over(mine.orderBy("d2", "o_pid")).alias("rank")).where(F.col("rank") <= k)
-        if radius >= widest:
+        if radius >= span:
             parts.append(top)
             break
         parts.append(top.withColumn("__n", F.count("*").over(mine)).where(F.col("__n") == k).drop("__n"))
@@ -64,23 +68,32 @@ def nearest(a: DataFrame, b: DataFrame, k: int, radius: int, widest: int, others
 
 def statistical_outliers(points: DataFrame, k: int, factor: float, radius: int) -> DataFrame:
     """frame, pid, mean_d, kept: whether the mean distance to the k nearest others is within factor deviations above a frame's mean. One row a frame is joined back."""
-    near = nearest(points, points, k, radius, 1600, others=True)
+    near = nearest(points, points, k, radius, others=True)
     m = near.groupBy("frame", "pid").agg(F.avg(F.sqrt("d2")).alias("mean_d"))
     cut = m.groupBy("frame").agg((F.avg("mean_d") + factor * F.coalesce(F.stddev("mean_d"), F.lit(0.0))).alias("cut"))
     return m.join(cut, "frame").select("frame", "pid", "mean_d", (F.col("mean_d") <= F.col("cut")).alias("kept"))
 
 
-def occluders(gone: DataFrame, occupied: DataFrame) -> DataFrame:
-    """Key, distance (in voxels), ox, oy, oz: the first occupied voxel on the ray from a gone voxel's centre to the camera at the origin.
+#: Steps of a ray in voxels; an occluder nearer than NEAR hides only if it is new; the near plane in front of the camera, in millimetres.
+STEP, NEAR, PLANE = 0.25, 2.5, 300
+CAMERA = {a: math.floor(-ORIGIN[a] / VOXEL) for a in "xyz"}
 
-    Rays start one voxel away, in steps of a quarter, and end at the near plane. Within 2.5 voxels only a new voxel (occupied.is_new) hides another. Steps are exploded, cells joined, and the least step kept: linear in gone voxels.
-    """
-    centre = {a: (F.col(f"k{a}") + 0.5) * VOXEL + ORIGIN[a] for a in "xyz"}
-    g = gone.select(*KEY, *[centre[a].alias(a) for a in "xyz"]).withColumn("len", F.sqrt(sum(F.col(a) * F.col(a) for a in "xyz")))
-    last = F.floor(((1 - BOX["z"][0] / F.col("z")) * F.col("len") / VOXEL - 1) * 4) + 1
-    g = g.where(last >= 1).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), last)))
-    g = g.withColumn("distance", 1 + 0.25 * F.col("i")).withColumn("s", 1 - VOXEL * F.col("distance") / F.col("len")).where(F.col("z") * F.col("s") >= BOX["z"][0])
-    g = g.select(*KEY, "distance", *[F.floor((F.col(a) * F.col("s") - ORIGIN[a]) / float(VOXEL)).alias(f"o{a}") for a in "xyz"])
+
+def rays(voxels: DataFrame) -> DataFrame:
+    """The key of each voxel with distance, ox, oy, oz: the cells that its ray to the camera's cell enters, up to the near plane. Rays start a voxel away, in steps of a quarter; the first step counts as distance 1. A cell counts where the ray enters it."""
+    d = {a: CAMERA[a] - F.col(f"k{a}") for a in "xyz"}
+    g = voxels.select(*KEY).withColumn("norm", F.sqrt(sum(v * v for v in d.values()).cast("double"))).where("norm > 0")
+    steps = F.greatest(F.floor(F.col("norm") / STEP), F.lit(1)).cast("int")
+    at = lambda a, i: F.col(f"k{a}") + d[a] / F.col("norm") * (1 + STEP * (i + 1))
+    path = F.transform(F.sequence(F.lit(0), steps - 1), lambda i: F.struct((1 + STEP * i).alias("distance"), at("z", i).alias("z"), *[F.round(at(a, i)).cast("long").alias(f"o{a}") for a in "xyz"]))
+    g = g.select(*KEY, F.filter(path, lambda s: s["z"] >= math.floor((PLANE - ORIGIN["z"]) / VOXEL)).alias("path"))
+    other = lambda s, i, a: s[a] != F.get("path", i - 1)[a]
+    enters = F.filter("path", lambda s, i: (i == 0) | other(s, i, "ox") | other(s, i, "oy") | other(s, i, "oz"))
+    return g.select(*KEY, F.explode(enters).alias("s")).select(*KEY, "s.distance", "s.ox", "s.oy", "s.oz").where("ox <> kx OR oy <> ky OR oz <> kz")
+
+
+def occluders(gone: DataFrame, occupied: DataFrame) -> DataFrame:
+    """Key, distance (in voxels), ox, oy, oz: the first occupied voxel on the ray from a gone voxel to the camera; up to NEAR voxels away, only one that is new (occupied.is_new) counts. Cells are joined and the least step kept: linear in gone voxels."""
     o = occupied.select("frame", *[F.col(f"k{a}").alias(f"o{a}") for a in "xyz"], "is_new")
-    hit = g.where("ox <> kx OR oy <> ky OR oz <> kz").join(o, ["frame", "ox", "oy", "oz"]).where("distance > 2.5 OR is_new")
+    hit = rays(gone).join(o, ["frame", "ox", "oy", "oz"]).where((F.col("distance") > NEAR) | F.col("is_new"))
     return hit.groupBy(*KEY).agg(F.min(F.struct("distance", "ox", "oy", "oz")).alias("m")).select(*KEY, "m.*")

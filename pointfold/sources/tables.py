@@ -36,6 +36,20 @@ POINTS = """pts AS (SELECT frame, pid, min(x) x, min(y) y, min(z) z, min(r) r, m
   (l_partkey*3)%256 AS r, (l_suppkey*17)%256 AS g, (l_orderkey*5)%256 AS b FROM lineitem) q GROUP BY frame, pid)"""
 
 
+def crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frame, pid, x, y, z, r, g, b: the near patches slide across the far ones, which lie further back here, and hide them: of each ray only points within 100 mm of the nearest are seen."""
+    near = F.col("z") < 1000
+    p = points(spark, sf_dir).select("frame", "pid", "x", (F.col("y") + F.when(near, 45 * F.col("frame")).otherwise(0)).alias("y"), (F.col("z") + F.when(near, 0).otherwise(200)).alias("z"), "r", "g", "b")
+    p = p.withColumns({"u": F.floor(F.col("x") * 15.0 / F.col("z")), "v": F.floor(F.col("y") * 15.0 / F.col("z"))})
+    first = p.groupBy("frame", "u", "v").agg(F.min("z").alias("first"))
+    return p.join(first, ["frame", "u", "v"]).where("z <= first + 100").drop("u", "v", "first")
+
+
+CROSSING = POINTS.replace("pts AS", "raw AS", 1) + """, moved AS (SELECT frame, pid, x, y+CASE WHEN z<1000 THEN 45*frame ELSE 0 END y, z+CASE WHEN z<1000 THEN 0 ELSE 200 END z, r, g, b FROM raw),
+cast_ AS (SELECT *, floor(x*15.0::DOUBLE/z) u, floor(y*15.0::DOUBLE/z) v FROM moved),
+pts AS (SELECT frame, pid, x, y, z, r, g, b FROM cast_ QUALIFY z<=min(z) OVER (PARTITION BY frame, u, v)+100)"""
+
+
 def moves(spark: SparkSession, sf_dir: str, window: int = 20) -> DataFrame:
     """frame, label: parts that move."""
     e = read(spark, sf_dir, "events").where("event_type = 'click'")
