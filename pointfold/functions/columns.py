@@ -45,8 +45,12 @@ def feature_distance(a: dict[str, Column], b: dict[str, Column], seed: float = S
     return (1 - F.abs(dot)) * normal + norm("rgb") / 255 * color + norm("xyz") / seed * spatial
 
 
+def change(n: list[Column], before: list[Column]) -> Column:
+    return 1 - sum(a * b for a, b in zip(n, before, strict=True))
+
+
 def changed(n: list[Column], before: list[Column], threshold: float = 0.2) -> Column:
-    return 1 - sum(a * b for a, b in zip(n, before, strict=True)) >= threshold
+    return change(n, before) >= threshold
 
 
 def transformed(t: list[float], x: Column, y: Column, z: Column) -> list[Column]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pointfold.functions import columns as c
 from pointfold.jobs.base import COUNTERS, EDGES, KEYS, VOX, box, query, shared, voxels
 from pointfold.operators import comovement, matching, spatial
+from pointfold.sources import pcd
 from pointfold.sources import tables as t
 
 
@@ -28,11 +29,25 @@ def s5_back_projection(spark, sf_dir):
     return p.select("u", "v", F.when(ok, x).alias("x"), F.when(ok, y).alias("y"), F.when(ok, F.col("depth") / 1000).alias("z"))
 
 
-@query(f"WITH {t.MOVES} SELECT frame, string_agg(CAST(label AS VARCHAR) || ';', '' ORDER BY label) lost_labels, count(*) total FROM moves GROUP BY frame")
+@query(f"WITH {t.POINTS} SELECT CAST(frame AS VARCHAR) file, CAST(x AS DOUBLE) x, CAST(y AS DOUBLE) y, CASE WHEN z%7<>0 THEN CAST(z AS DOUBLE) END z, CAST(r*65536+g*256+b AS DOUBLE) rgb FROM pts")
+def s4_cloud_text(spark, sf_dir):
+    """The points written as text, a cloud for each frame (some depths as nan, odd frames with their fields in another order), and read back."""
+    p = t.points(spark, sf_dir).withColumn("file", F.col("frame").cast("string"))
+    rgb = F.col("r") * 65536 + F.col("g") * 256 + F.col("b")
+    z = F.when(F.col("z") % 7 == 0, "nan").otherwise(F.col("z").cast("string"))
+    odd = F.col("frame") % 2 == 1
+    data = p.select("file", F.when(odd, F.concat_ws(" ", z, "x", "y", rgb)).otherwise(F.concat_ws(" ", "x", "y", z, rgb)).alias("value"))
+    fields = F.when(odd, "FIELDS z x y rgb").otherwise("FIELDS x y z rgb")
+    head = p.select("file", "frame").distinct().select("file", F.explode(F.array(F.lit("# cloud"), F.lit("VERSION .7"), fields, F.lit("WIDTH 1"), F.lit("DATA ascii"))).alias("value"))
+    return pcd.parsed(head.union(data), ["x", "y", "z", "rgb"])
+
+
+@query(f"WITH {t.MOVES} SELECT frame, string_agg(CAST(label AS VARCHAR) || ';', '' ORDER BY label) || ',' || count(*) || ',' line FROM moves GROUP BY frame UNION ALL SELECT -1, 'lost_labels,total,'")
 def s6_csv_rows(spark, sf_dir):
-    """Labels of each frame, each with a semicolon, and their number."""
+    """Lines of a report: a header, then for each frame its labels, each with a semicolon, and their number."""
     g = t.moves(spark, sf_dir).groupBy("frame").agg(F.sort_array(F.collect_list("label")).alias("l"))
-    return g.select("frame", F.array_join(F.transform("l", lambda x: F.concat(x.cast("string"), F.lit(";"))), "").alias("lost_labels"), F.size("l").cast("long").alias("total"))
+    rows = g.select("frame", F.concat(F.array_join(F.transform("l", lambda x: F.concat(x.cast("string"), F.lit(";"))), ""), F.lit(","), F.size("l"), F.lit(",")).alias("line"))
+    return rows.unionByName(spark.createDataFrame([(-1, "lost_labels,total,")], "frame long, line string"))
 
 
 @query(f"WITH {t.POINTS} SELECT * FROM pts WHERE x BETWEEN -400 AND 400 AND y BETWEEN -350 AND 250 AND z BETWEEN 800 AND 1300")
@@ -224,10 +239,10 @@ def w10_vanished_parts(spark, sf_dir):
     return m.where(F.col("frame") < last).join(nxt, ["frame", "label"], "left_anti")
 
 
-@query(f"WITH {VOX} SELECT frame, kx, ky, kz, x, lag(x) OVER (PARTITION BY kx, ky, kz ORDER BY frame) prev_x FROM vox")
+@query(f"WITH {VOX} SELECT frame, kx, ky, kz, {', '.join(f'{a}, lag({a}) OVER (PARTITION BY kx, ky, kz ORDER BY frame) prev_{a}' for a in 'xyzrgb')} FROM vox")
 def w11_previous_values(spark, sf_dir):
     w = Window.partitionBy("kx", "ky", "kz").orderBy("frame")
-    return voxels(spark, sf_dir).select(*spatial.KEY, "x", F.lag("x").over(w).alias("prev_x"))
+    return voxels(spark, sf_dir).select(*spatial.KEY, *"xyzrgb", *[F.lag(a).over(w).alias(f"prev_{a}") for a in "xyzrgb"])
 
 
 @query(f"""WITH {VOX}, q AS (SELECT frame, kx, ky, kz, CAST(floor(x) AS BIGINT) x, CAST(floor(y) AS BIGINT) y, CAST(floor(z) AS BIGINT) z FROM vox), s AS (SELECT *, CAST(floor((x+400)/200.0) AS BIGINT) sx, CAST(floor((y+350)/200.0) AS BIGINT) sy, CAST(floor((z-800)/200.0) AS BIGINT) sz FROM q),
@@ -253,6 +268,27 @@ def c3_objects(spark, sf_dir):
     return comovement.objects(t.moves(spark, sf_dir), t.resets(spark, sf_dir))
 
 
-@query(f"SELECT object_id, count(*) parts FROM ({OBJECTS}) GROUP BY object_id")
+@query(f"SELECT object_id, count(*) parts FROM ({OBJECTS}) GROUP BY object_id UNION ALL SELECT NULL, count(*) FROM ({OBJECTS})")
 def a14_object_sizes(spark, sf_dir):
-    return c3_objects(spark, sf_dir).groupBy("object_id").agg(F.count("*").alias("parts"))
+    """Parts of each object, and of all (without an object)."""
+    return c3_objects(spark, sf_dir).rollup("object_id").agg(F.count("*").alias("parts"))
+
+
+@query(f"SELECT object_id, list(DISTINCT part ORDER BY part)::VARCHAR parts FROM ({OBJECTS}) GROUP BY object_id")
+def w3_sorted_parts(spark, sf_dir):
+    """Each object's parts, sorted and once each."""
+    g = c3_objects(spark, sf_dir).groupBy("object_id").agg(F.array_sort(F.collect_set("part")).alias("p"))
+    return g.select("object_id", F.concat(F.lit("["), F.array_join(F.col("p").cast("array<string>"), ", "), F.lit("]")).alias("parts"))
+
+
+@query(f"SELECT p.part, coalesce(min(o.object_id), 0) object_id FROM (SELECT DISTINCT user_id%15+1 part FROM events) p LEFT JOIN ({OBJECTS}) o ON o.part=p.part GROUP BY p.part")
+def j15_object_of_part(spark, sf_dir):
+    """The object of each part, 0 for parts without one (here those above 12)."""
+    parts = t.read(spark, sf_dir, "events").select((F.col("user_id") % 15 + 1).alias("part")).distinct()
+    return parts.join(c3_objects(spark, sf_dir), "part", "left").groupBy("part").agg(F.coalesce(F.min("object_id"), F.lit(0)).alias("object_id"))
+
+
+@query(f"WITH {t.MOVES} SELECT frame, label FROM resets UNION ALL SELECT m.frame, label FROM moves m WHERE m.frame<(SELECT max(frame) FROM moves) AND NOT EXISTS (SELECT 1 FROM moves n WHERE n.frame=m.frame+1 AND n.label=m.label)")
+def w9_all_resets(spark, sf_dir):
+    """Parts to reset, with those that moved and vanished."""
+    return t.resets(spark, sf_dir).unionByName(w10_vanished_parts(spark, sf_dir))

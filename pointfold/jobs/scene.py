@@ -186,6 +186,13 @@ def j5_full_resolution_colours(spark, sf_dir):
     return t.points(spark, sf_dir).select("frame", "pid", *c.cells()).join(v, KEY, "left").select("frame", "pid", F.coalesce("colour", F.lit(0)).alias("colour"))
 
 
+@query(f"WITH {LABELS} SELECT frame, kx, ky, kz, x, y, z, CAST(label*2654435%16777216 AS BIGINT) colour FROM l WHERE label%3<>0")
+def v6_coloured_voxels(spark, sf_dir):
+    """Labelled voxels (here without every third label) in the colours of their labels."""
+    v = labelled(spark, sf_dir).where("label % 3 <> 0")
+    return v.select(*KEY, *"xyz", (F.col("label") * 2654435 % 16777216).alias("colour"))
+
+
 SEEDS = "s AS (SELECT frame, sx, sy, sz, kx, ky, kz, x, y, z, r, g, b FROM (SELECT *, CAST(floor((x+400)/200.0) AS BIGINT) sx, CAST(floor((y+350)/200.0) AS BIGINT) sy, CAST(floor((z-800)/200.0) AS BIGINT) sz FROM q) QUALIFY row_number() OVER (PARTITION BY frame, sx, sy, sz ORDER BY (x-(sx*200-300))*(x-(sx*200-300))+(y-(sy*200-250))*(y-(sy*200-250))+(z-(sz*200+900))*(z-(sz*200+900)), kx, ky, kz)=1)"
 
 
@@ -304,6 +311,14 @@ def g1_carried_seeds(spark, sf_dir):
     return _carried(spark, sf_dir, "true", moved)
 
 
+@query(f"WITH {LABELS}, {CARRIED}, was AS (SELECT frame+1 frame, label, sum(x)/count(*) px, sum(y)/count(*) py, sum(z)/count(*) pz FROM l GROUP BY frame, label) SELECT c1.frame, c1.label, px, py, pz, q.x, q.y, q.z FROM c1 JOIN was USING (frame, label) JOIN q USING (frame, kx, ky, kz)")
+def v11_motion_lines(spark, sf_dir):
+    """From the old centre of each carried label (here every third) to its seed in the next frame."""
+    v = labelled(spark, sf_dir)
+    was = v.groupBy((F.col("frame") + 1).alias("frame"), "label").agg(*[(F.sum(a) / F.count("*")).alias(f"p{a}") for a in "xyz"])
+    return _carried(spark, sf_dir, "label % 3 = 1").join(was, ["frame", "label"]).join(v.select(*KEY, *"xyz"), KEY).select("frame", "label", "px", "py", "pz", *"xyz")
+
+
 PRUNED = f"{SEEDS}, g AS (SELECT a.frame, a.sx, a.sy, a.sz, a.kx, a.ky, a.kz, count(*) near FROM s a JOIN q b ON a.frame=b.frame AND {D2}<={NEAR * NEAR} GROUP BY a.frame, a.sx, a.sy, a.sz, a.kx, a.ky, a.kz HAVING count(*)>{LEAST})"
 
 

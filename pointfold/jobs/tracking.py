@@ -95,6 +95,22 @@ def lost_of(now: DataFrame) -> tuple[DataFrame, DataFrame]:
     return n.join(had, ["frame", "label"]).where("2 * n >= had").select("frame", "label"), v
 
 
+@query(f"WITH {RAYS}, had AS (SELECT frame+1 frame, label, count(*) had, sum(x)/count(*) x, sum(y)/count(*) y, sum(z)/count(*) z FROM l GROUP BY frame, label) SELECT frame, label, x, y, z FROM gone JOIN had USING (frame, label) GROUP BY frame, label, had, x, y, z HAVING count(*)*2>=had")
+def v11_lost_centres(spark, sf_dir):
+    """Where the labels were that lost half of their voxels or more."""
+    lost, v = _lost(spark, sf_dir)
+    return v.join(lost, ["frame", "label"], "left_semi").groupBy("frame", "label").agg(*[(F.sum(a) / F.count("*")).alias(a) for a in "xyz"])
+
+
+@query(f"WITH {LABELS}, tone AS (SELECT *, CAST(r-128 AS DOUBLE) dr, CAST(g-128 AS DOUBLE) dg, CAST(b-128 AS DOUBLE) db FROM l), n AS (SELECT *, sqrt(dr*dr+dg*dg+db*db) s FROM tone) SELECT a.frame, a.kx, a.ky, a.kz, round(1-(a.dr*p.dr+a.dg*p.dg+a.db*p.db)/(a.s*p.s), 6) change FROM n a JOIN n p ON p.frame=a.frame-1 AND p.kx=a.kx AND p.ky=a.ky AND p.kz=a.kz WHERE a.s>0 AND p.s>0")
+def f16_change_measure(spark, sf_dir):
+    """One minus the cosine of a voxel's normals now and in the frame before (with colours as normals)."""
+    v = toned(labelled(spark, sf_dir)).where("nx <> 0 OR ny <> 0 OR nz <> 0").select(*KEY, "nx", "ny", "nz")
+    was = v.select((F.col("frame") + 1).alias("frame"), "kx", "ky", "kz", *[F.col(n).alias(f"p{n}") for n in ("nx", "ny", "nz")])
+    change = c.change([F.col(n) for n in ("nx", "ny", "nz")], [F.col(f"p{n}") for n in ("nx", "ny", "nz")])
+    return v.join(was, KEY).select(*KEY, F.round(change, 6).alias("change"))
+
+
 @query(f"WITH {LABELS} {_cells('frame', 'l', 'label%3=0')}")
 def t2_unlabelled_keypoints(spark, sf_dir):
     """Keypoints of the voxels of a frame without a label (here every third label's)."""

@@ -70,3 +70,12 @@ def grow(v: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int) -> DataF
         better = F.col("best.d") < F.coalesce("d", F.lit(float("inf")))
         own = own.join(best, KEY, "left").select(*KEY, *FEATURES, F.when(better, F.col("best.by")).otherwise(F.col("label")).alias("label"), F.when(better, F.col("best.d")).otherwise(F.col("d")).alias("d")).checkpoint()
     return own
+
+
+def refined(own: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
+    """own (as grow gives it) grown anew from the voxels nearest to its clusters' centres."""
+    c = centroids(own).select("frame", F.col("label").alias("pid"), *"xyz")
+    to = own.select("frame", F.struct("kx", "ky", "kz").alias("pid"), *[F.col(a).cast("double").alias(a) for a in "xyz"])
+    seeds = nearest(c, to, 1, 100).select("frame", "o_pid.*", F.col("pid").alias("label"))
+    # clusters with one centre voxel: the smaller label keeps it
+    return grow(own.drop("label", "d"), edges, seeds.groupBy(*KEY).agg(F.min("label").alias("label")), rounds)

@@ -175,3 +175,16 @@ def test_growth_with_real_normals_against_plain_python(spark):
                 best[o], label[o] = d, n
     assert got == {k: (label.get(k), round(best[k], 6) if k in best else None) for k in at}
     assert {n for n, _ in got.values()} == {1, 2, 3}
+
+
+def test_refining_grows_again_from_the_centres(spark):
+    cells = [(0, i, j, 5) for i in range(9) for j in range(3)]
+    rows = [(*k, *(40 * x for x in k[1:]), 1, 2, 3, 0.0, 0.0, -1.0) for k in cells]
+    v = spark.createDataFrame(rows, "frame long, kx long, ky long, kz long, x long, y long, z long, r long, g long, b long, nx double, ny double, nz double")
+    seeds = spark.createDataFrame([(0, 0, 0, 5, 1), (0, 8, 2, 5, 2)], "frame long, kx long, ky long, kz long, label long")
+    edges = spatial.adjacency(v)
+    again = growth.refined(growth.grow(v, edges, seeds, 8), edges, 8)
+    label = {(r.kx, r.ky): r.label for r in again.collect()}
+    assert len(label) == 27
+    assert all(label[i, j] == 1 for i in range(4) for j in range(3))
+    assert all(label[i, j] == 2 for i in range(5, 9) for j in range(3))
