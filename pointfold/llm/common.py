@@ -22,19 +22,30 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where it is unset, as in local tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where it is unset and all run in one process, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":  # not local-cluster
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="pointfold-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The application's own folder within the shared one."""
+    return f"{shared_dir(spark)}/pointfold-{spark.sparkContext.applicationId}"
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Removes the tables that written() has made in this application. Call it when all results are saved."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors. Results read such tables until they are written out themselves; then drop_written removes them all."""
+    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -44,7 +55,7 @@ BATCH_BYTES = 8 << 20
 
 
 def in_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow(f, schema) in batches of bounded size; a task's worker, which later tasks use again, gives back what Arrow holds."""
+    """df.mapInArrow(f, schema) in batches of bounded size; a task's worker, which later tasks use again, gives back what Arrow holds. Where the session sets no bound of bytes for Arrow, BATCH_BYTES becomes the session's bound: Spark reads it when the query starts, so it can't be set back here."""
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
