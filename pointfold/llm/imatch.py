@@ -46,29 +46,28 @@ def in_band(docs: DataFrame, lowest: float = LOWEST, highest: float = HIGHEST) -
     return seen.where((F.col("term") != 0) & (F.col("df") >= least) & (F.col("df") <= most))
 
 
-def places(term: Column, bits: int) -> list[Column]:
-    """The two bits of a term in a bitmap of 2**bits."""
-    return [x.bitwiseAND(2**bits - 1).cast("int") for x in (term, F.shiftrightunsigned(term, 31))]
+def place(term: Column, words: int) -> tuple[Column, Column]:
+    """Of a term: its word in a bitmap of so many (a power of two), and its two bits in it."""
+    bit = lambda shift: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(term, shift).bitwiseAND(63).cast("int"))
+    return term.bitwiseAND(words - 1).cast("int"), bit(31).bitwiseOR(bit(37))
 
 
 def lexicon(docs: DataFrame, lowest: float = LOWEST, highest: float = HIGHEST) -> tuple[DataFrame, int]:
-    """One row, `lex`: the lexicon's bitmap as longs; and the logarithm of its size."""
+    """One row, `lex`: the lexicon's bitmap as longs; and their number."""
     held = written(in_band(docs, lowest, highest).select("term"), "lexicon")
-    bits = max((32 * held.count()).bit_length(), 12)
-    at = held.select(F.explode(F.array(*places(F.col("term"), bits))).alias("b"))
-    words = at.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, b & 63)")).alias("bits"))
-    every = docs.sparkSession.range(0, 2**bits // 64, 1, 1).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("bits"))
-    full = words.union(every).groupBy("w").agg(F.bit_or("bits").alias("bits"))
-    return full.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "bits"))), lambda x: x["bits"]).alias("lex")), bits
+    size = max(1 << (held.count() // 2).bit_length(), 64)
+    word, bits = place(F.col("term"), size)
+    every = docs.sparkSession.range(0, size, 1, 1).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("bits"))
+    full = held.select(word.alias("w"), bits.alias("bits")).union(every).groupBy("w").agg(F.bit_or("bits").alias("bits"))
+    return full.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "bits"))), lambda x: x["bits"]).alias("lex")), size
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str, lex: tuple[DataFrame, int]) -> DataFrame:
     """Adds name: struct of scale, and parts: LEVELS arrays of PARTS hashes (0 for none), thinned by the scale, the next one and so on."""
-    bits = lex[1]
-
     def held(h: Column) -> Column:
-        one, two = (F.getbit(F.get(F.col("__lex"), F.shiftright(b, 6)), b.bitwiseAND(63)) == 1 for b in places(h, bits))
-        return one & two
+        word, bits = place(h, lex[1])
+        # the bitmap is named once, so that Spark keeps it out of the rows
+        return F.get(F.col("__lex"), word).bitwiseAND(bits) == bits
 
     keep = [c for c in df.columns if c != name]
     df = df.withColumn("__lex", lex[0].scalar()).select(*keep, F.array_sort(F.filter(term_hashes(F.col(text)), held)).alias("__terms"))
@@ -76,16 +75,24 @@ def with_fingerprint(df: DataFrame, text: str, name: str, lex: tuple[DataFrame,
     # thinned once for all levels; from here on a text has few terms
     thin = lambda h: F.shiftrightunsigned(h, 18)
     df = df.withColumn("__terms", F.filter("__terms", lambda h: thin(h).bitwiseAND(F.expr("shiftleft(1L, __scale)") - 1) == 0))
-    none = F.xxhash64(F.array().cast("array<bigint>"))
+    part = lambda h: F.shiftrightunsigned(h, 59).cast("int")
+    run = lambda p, h, out: F.struct(p.alias("p"), h.alias("h"), out.alias("out"))
 
     def hashes(terms: Column) -> Column:
-        of = lambda p: F.xxhash64(F.filter(terms, lambda h: F.shiftrightunsigned(h, 59) == p))
-        return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda p: F.when(of(p) == none, 0).otherwise(of(p).bitwiseAND(2**32 - 1)).cast("long"))
+        """The hash of each part. As a part is the first bits of a term, a part's terms follow one another in the sorted array: one pass with a running hash."""
+        start = run(F.lit(-1), F.lit(0).cast("long"), F.array().cast("array<struct<p:int,h:bigint>>"))
+        done = lambda a: F.concat(a["out"], F.array(F.struct(a["p"].alias("p"), a["h"].alias("h"))))
+        runs = F.aggregate(terms, start, lambda a, t: F.when(part(t) == a["p"], run(a["p"], F.xxhash64(a["h"], t), a["out"])).otherwise(run(part(t), F.xxhash64(F.lit(9), t), done(a))), done)
+        return F.map_from_entries(runs)
+
+    def aligned(of: Column) -> Column:
+        # named twice, so that Spark computes it before, and not within, the loop over parts
+        return F.when(of.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda p: F.coalesce(F.try_element_at(of, p).bitwiseAND(2**32 - 1), F.lit(0).cast("long"))))
 
     levels = []
     for level in range(LEVELS):
-        df = df.withColumn(f"__parts{level}", hashes(F.filter("__terms", lambda h: thin(h).bitwiseAND(F.expr(f"shiftleft({1 << level}L, __scale)") - 1) == 0)))
-        levels.append(F.col(f"__parts{level}"))
+        df = df.withColumn(f"__runs{level}", hashes(F.filter("__terms", lambda h: thin(h).bitwiseAND(F.expr(f"shiftleft({1 << level}L, __scale)") - 1) == 0)))
+        levels.append(aligned(F.col(f"__runs{level}")))
     return df.select(*keep, F.struct(F.col("__scale").alias("scale"), F.array(*levels).alias("parts")).alias(name))
 
 
