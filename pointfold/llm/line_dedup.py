@@ -11,7 +11,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,8 +105,8 @@ def kept_lines(text: str | None, keep: bytes) -> str:
     return "\n".join(x for x, k in zip(lines, bits.tolist(), strict=True) if k)
 
 
-def keep_bitmaps(docs: DataFrame, min_docs: int = 10) -> DataFrame:
-    """row (the columns of docs), n_lines, n_dropped, keep (see bitmap). Lines whose key, the line without blanks around and in lower case, is in at least min_docs documents go from all of them."""
+def keep_bitmaps(docs: DataFrame, min_docs: int = 10, cut: bool = False) -> DataFrame:
+    """row (the columns of docs), n_lines, n_dropped, keep (see bitmap), and kept: null, or with cut the lines that stay, where any goes; cut where the bitmap is made, so that texts go to Python once. Lines whose key, the line without blanks around and in lower case, is in at least min_docs documents go from all of them."""
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64("doc_id", "text").alias("key"), "text")
     joined = keyed.join(dropped_lines(keyed.select("doc", "key", "text"), min_docs), ["doc", "key"], "left")
     joined = joined.select("row", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"), "drop")
@@ -117,21 +116,16 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10) -> DataFrame:
             drops = b["drop"].to_pylist()
             keep = [bitmap(n, d) for n, d in zip(b["n_lines"].to_pylist(), drops, strict=True)]
             gone = pa.array([len(d or ()) for d in drops], pa.int64())
-            yield pa.RecordBatch.from_arrays([b["row"], b["n_lines"], gone, pa.array(keep, pa.binary())], names=["row", "n_lines", "n_dropped", "keep"])
+            kept = [kept_lines(t.as_py(), k) if cut and d else None for t, k, d in zip(b["row"].field("text"), keep, drops, strict=True)]
+            yield pa.RecordBatch.from_arrays([b["row"], b["n_lines"], gone, pa.array(keep, pa.binary()), pa.array(kept, pa.string())], names=["row", "n_lines", "n_dropped", "keep", "kept"])
 
     kind = joined.schema["row"].dataType.simpleString()
-    return in_batches(joined, pack, f"row {kind}, n_lines long, n_dropped long, keep binary")
+    return in_batches(joined, pack, f"row {kind}, n_lines long, n_dropped long, keep binary, kept string")
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, counts: bool = True) -> DataFrame:
     """The columns of docs with text as it is after the drop (n_chars, if there, too), and with counts: __lines, __dropped."""
-    maps = keep_bitmaps(docs, min_docs)
-
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, keep: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series([(t or "") if not g else kept_lines(t, k) for t, k, g in zip(text, keep, gone, strict=True)])
-
-    maps = maps.withColumn("kept", cut(F.col("row.text"), F.col("keep"), F.col("n_dropped")))
+    maps = keep_bitmaps(docs, min_docs, cut=True)
     text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("row.text"))
     new = {"text": text, "n_chars": F.when(F.col("n_dropped") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
     return maps.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns], *([F.col("n_lines").alias("__lines"), F.col("n_dropped").alias("__dropped")] if counts else []))
