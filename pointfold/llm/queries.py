@@ -17,7 +17,8 @@ from pointfold.llm.quality import op13_quality
 from pointfold.llm.suffix_dedup import op1_suffix_dedup
 from pointfold.llm.toxicity import op10_toxicity
 from pointfold.llm.vector_graph import op6_vector_graph
+from pointfold.llm.whitening import op11_whitening
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_chat_format, op3_line_dedup, op4_lz_dedup, op5_jaccard_join, op6_vector_graph, op7_bpe, op8_mix_sources, op9_imatch, op10_toxicity, op13_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_chat_format, op3_line_dedup, op4_lz_dedup, op5_jaccard_join, op6_vector_graph, op7_bpe, op8_mix_sources, op9_imatch, op10_toxicity, op11_whitening, op13_quality)}
 
 SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_line_dedup": OP3_SQL}
