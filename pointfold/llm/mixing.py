@@ -2,9 +2,11 @@
 
 A source's share is its target over its size, so a document is taken floor(share) times and once more with the
 probability of the fraction. The fractions are rounded dependently: two documents pass words from one to the other,
-at random and without bias, until one of them is whole, and the one left over goes on. Groups of about `fan` do
-this side by side, their residuals in the next round, and so on up a tree, so a source's words stay as
-they are but for its last document's. Random numbers are hashes, so reruns agree.
+at random and without bias, until one of them is whole, and the one left over goes on. Groups of about `fan` documents of
+one source and one size class (sizes between two powers of two) do this side by side, their residuals in the next round, and so on
+up a tree, so a class's words stay as they are but for its last document's, which is rounded alone. What these last documents
+leave of a source's target is settled by a few documents of each of its classes, drawn by hash: from large to small, each may be taken more or less often, and
+of the ways to do so the BEAM nearest to the target go on. Random numbers are hashes, so reruns agree.
 
 Result for odd input: null text has size 0 and is taken 0 words; null is a source of its own, after all others; rows
 that repeat are documents of their own, which may be taken differently often; other columns pass through unchanged; an
@@ -20,6 +22,8 @@ from pointfold.llm.common import WORD, table, written
 
 #: Documents in a group, on average; a group is one row.
 FAN = 32
+#: Documents of each source and size class that may settle the rest, and ways to settle it that are kept; all of a source's are one row.
+SETTLING, BEAM = 4, 64
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, share: float = 1.0) -> DataFrame:
@@ -69,28 +73,57 @@ aggregate(items, struct(cast(null AS bigint) AS id, cast(0 AS bigint) AS size, c
 """
 
 
+def size_class(size: Column) -> Column:
+    return F.floor(F.log2(size)).cast("int")
+
+
 def rounded(fractions: DataFrame, fan: int = FAN) -> DataFrame:
-    """id and extra (0 or 1) for rows source, id, size and p, a fraction, so that each source's sum of size * extra is that of size * p but for the rest of one document."""
+    """id and extra (0 or 1) for rows source, id, size and p, a fraction, so that for each source and size class the sum of size * extra is that of size * p but for the rest of one document."""
     level, out = 0, None
-    rest = fractions.select("source", "id", "size", "p")
+    rest = fractions.select("source", size_class(F.col("size")).alias("class"), "id", "size", "p")
     while True:
-        count = rest.groupBy("source").agg(F.count("*").alias("n"))
+        count = rest.groupBy("source", "class").agg(F.count("*").alias("n"))
         most = count.agg(F.max("n")).first()[0] or 0
         if most <= 1:
             break
         groups = F.ceil(F.col("n") / fan).cast("long")
-        dealt = rest.join(count.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).withColumn("g", F.pmod(F.xxhash64(F.lit(level), "id"), groups))
+        same = F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("of_class"))
+        dealt = rest.join(count.withColumnsRenamed({"source": "of", "class": "of_class"}), same).withColumn("g", F.pmod(F.xxhash64(F.lit(level), "id"), groups))
         item = F.struct(F.xxhash64(F.lit(-level - 1), "id").alias("by"), "id", "size", "p")
-        packed = dealt.groupBy("source", "g").agg(F.sort_array(F.collect_list(item)).alias("items"))
-        done = written(packed.select("source", F.expr(_PIVOT.format(level=level)).alias("a")), f"round{level}")
+        packed = dealt.groupBy("source", "class", "g").agg(F.sort_array(F.collect_list(item)).alias("items"))
+        done = written(packed.select("source", "class", F.expr(_PIVOT.format(level=level)).alias("a")), f"round{level}")
         settled = done.select(F.explode("a.done").alias("d")).select("d.id", "d.extra")
         out = settled if out is None else out.union(settled)
-        rest = done.select("source", F.col("a.id").alias("id"), F.col("a.size").alias("size"), F.col("a.p").alias("p"))
+        rest = done.select("source", "class", F.col("a.id").alias("id"), F.col("a.size").alias("size"), F.col("a.p").alias("p"))
         level += 1
     last = rest.select("id", (uniform(F.lit(-1), F.col("id")) < F.col("p")).cast("int").alias("extra"))
     return last if out is None else out.union(last)
 
 
+#: Ways to take the items, largest first, each from 0 to `most` times: sorted by how far the source is off its target, then by how much was changed; of ways with the same gap one is kept.
+_SETTLE = """
+aggregate(items, array(struct(abs(gap) AS off, 0L AS moved, gap AS gap, cast(array() AS array<int>) AS picks)),
+  (ways, x) -> slice(transform(
+    array(array_sort(flatten(transform(ways, w -> transform(sequence(0, {most}), n -> struct(
+      abs(w.gap - (n - x.copies) * x.size) AS off,
+      w.moved + abs(n - x.copies) AS moved,
+      w.gap - (n - x.copies) * x.size AS gap,
+      concat(w.picks, array(n)) AS picks)))))),
+    all -> filter(all, (w, i) -> i = 0 OR w.gap <> all[i - 1].gap))[0], 1, {beam}),
+  ways -> ways[0].picks)
+"""
+
+
+def settling(rows: DataFrame, most: int, beam: int = BEAM) -> DataFrame:
+    """id and copies of the documents that settle what rows (source, id, size, copies, target) leave of each source's target."""
+    gaps = rows.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")).withColumnRenamed("source", "of")
+    drawn = Window.partitionBy("source", size_class(F.col("size"))).orderBy(F.xxhash64(F.lit(-2), "id"), "id")
+    some = rows.where("size > 0").select("source", "id", "size", "copies", F.row_number().over(drawn).alias("nth")).where(F.col("nth") <= SETTLING)
+    items = some.groupBy("source").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("by"), "id", "size", "copies"))).alias("items"))
+    picks = items.join(gaps, F.col("source").eqNullSafe(F.col("of"))).select("items", F.expr(_SETTLE.format(most=most, beam=beam)).alias("picks"))
+    return picks.select(F.explode(F.arrays_zip("items.id", "picks")).alias("x")).select(F.col("x.id").alias("id"), F.col("x.picks").alias("copies"))
+
+
 def numbered(rows: DataFrame, *keys: str) -> DataFrame:
     """id: the same for a row in every run, different for rows that repeat."""
     same = Window.partitionBy(*keys).orderBy(F.lit(0))
@@ -105,8 +138,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
     all_ = small.join(goal, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("share", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     all_ = all_.withColumn("whole", F.floor("share").cast("int")).withColumn("p", F.col("share") - F.col("whole"))
     extra = rounded(all_.where("p > 0 AND size > 0"), fan)
-    out = all_.join(extra, "id", "left")
-    return out.select("doc_id", "source", "h", "id", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("whole") + F.coalesce("extra", F.lit(0))).otherwise(0).alias("copies"))
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("extra", F.lit(0))).otherwise(0).alias("copies")
+    out = written(all_.join(extra, "id", "left").select("doc_id", "source", "h", "id", "size", "source_size", "target", copies), "rounded")
+    anew = settling(out, int(cap)).withColumnRenamed("copies", "anew")
+    return out.join(anew, "id", "left").select(*[c for c in out.columns if c != "copies"], F.coalesce("anew", "copies").alias("copies"))
 
 
 def take(docs: DataFrame, **kwargs: object) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from pointfold.llm.mixing import mix, rounded, take, targets
+from pointfold.llm.mixing import mix, op8_mix_sources, rounded, take, targets
 
 
 def filled(sizes: list[int], weights: list[int], total: float, cap: float) -> list[float]:
@@ -45,7 +45,7 @@ def test_mix_comes_near_targets_and_reruns_agree(spark):
         x[2] += r.copies * r["size"]
         assert 0 <= r.copies <= 3
     for size, target, taken in by.values():
-        assert abs(taken - target) <= 90
+        assert abs(taken - target) <= 1
         assert target <= 3 * size
     again = mix(df.repartition(7)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
@@ -65,3 +65,30 @@ def test_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mix(empty).count() == 0
     assert take(empty).count() == 0
+
+
+@pytest.mark.parametrize(("sf", "most"), [("sf0.001", 0.02), ("sf0.01", 0.001), ("sf0.1", 0.0001)])
+def test_every_source_comes_near_its_target(spark, sf, most):
+    by: dict = {}
+    for r in op8_mix_sources(spark, f"/root/testdata/{sf}").collect():
+        # the query has no source; a source's size and target tell which it is
+        x = by.setdefault((r.source_size, r.target), 0)
+        by[r.source_size, r.target] = x + r.taken
+        assert r.taken <= 3 * r["size"] and (not r["size"] or r.taken % r["size"] == 0)
+    assert len(by) == 20
+    for (_, target), taken in by.items():
+        assert abs(taken - target) <= most * target + 1
+
+
+def test_ten_documents_come_as_near_as_any_choice_of_copies(spark):
+    sizes = {"a": [900, 17, 40, 3, 250, 90, 11, 500, 61, 7], "b": [5000, 4, 4, 9, 2, 1, 30, 8, 6, 20], None: [120] * 10}
+    df = spark.createDataFrame([(i, s, "w " * n) for s, all_ in sizes.items() for i, n in enumerate(all_)], "doc_id long, source string, text string")
+    taken: dict = {}
+    for r in mix(df).collect():
+        goal, n = taken.get(r.source, (r.target, 0))
+        taken[r.source] = (goal, n + r.copies * r["size"])
+    for source, (goal, n) in taken.items():
+        reach = {0}
+        for size in sizes[source]:
+            reach = {a + k * size for a in reach for k in range(4)}
+        assert abs(n - goal) <= min(abs(a - goal) for a in reach) + 0.01 * goal
