@@ -62,7 +62,8 @@ def hashed(text: str | None) -> np.ndarray:
 class Classifier:
     def __init__(self, seed: int = 0) -> None:
         r = np.random.default_rng(seed)
-        self.emb = r.normal(0, 0.3, (ROWS, DIM)).astype(np.float32)
+        # small, so that words that fitting never met add little to the largest values
+        self.emb = r.normal(0, 0.03, (ROWS, DIM)).astype(np.float32)
         self.filters = [r.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.bias = np.zeros(len(WIDTHS) * FILTERS, np.float32)
         self.out = r.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32)
@@ -234,13 +235,13 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str], most: int = SAMP
     model = fitted(docs, labels, most)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     rows = docs.select(F.struct(*keep).alias("row"), F.col("doc_id").cast("long").alias("id"), lang.cast("string").alias("lang"), "text")
-    rows = logits(rows, model).select("row", "id", "lang", "__logit")
+    rows = valued(rows, model).select("row.row", "row.id", "row.lang", F.col("logit").alias("__logit"))
     if model is None:
         return rows.select("row", "lang", F.lit(0.0).alias("score")), None, {}
     rows = written(rows, "logits")
     cut, by_lang = thresholds(rows.select(F.col("id").alias("doc_id"), "lang", "__logit"), labels)
     model.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut)
-    cuts = {k: min(max(float(1 / (1 + np.exp(-np.clip(at + model.shift, -LIMIT, LIMIT)))), 0.3), 0.9) for k, at in by_lang.items()}
+    cuts = {k: float(1 / (1 + np.exp(-np.clip(at + model.shift, -LIMIT, LIMIT)))) for k, at in by_lang.items()}
     return rows.select("row", "lang", as_score(F.col("__logit") + model.shift).alias("score")), model, cuts
 
 
@@ -253,23 +254,23 @@ def as_score(logit: Column) -> Column:
     return F.when(logit.isNull(), 0.0).otherwise(1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(LIMIT)), F.lit(-LIMIT)))))
 
 
-def logits(docs: DataFrame, model: Classifier | None) -> DataFrame:
-    """The columns of docs with __logit, from the text alone; null without a model."""
+def valued(docs: DataFrame, model: Classifier | None) -> DataFrame:
+    """row (the columns of docs) and logit, from the text alone; null without a model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: ROWS x DIM, and its table
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             s = [m.logit(hashed(t.as_py())) if m else None for t in b["row"].field("text")]
-            yield pa.RecordBatch.from_arrays([b["row"], pa.array(s, pa.float64())], names=["row", "__logit"])
+            yield pa.RecordBatch.from_arrays([b["row"], pa.array(s, pa.float64())], names=["row", "logit"])
 
     rows = docs.select(F.struct(*docs.columns).alias("row"))
-    return in_batches(rows, scan, f"row {rows.schema['row'].dataType.simpleString()}, __logit double").select("row.*", "__logit")
+    return in_batches(rows, scan, f"row {rows.schema['row'].dataType.simpleString()}, logit double")
 
 
 def scored(docs: DataFrame, model: Classifier | None) -> DataFrame:
-    """The columns of docs with __score, from the text alone."""
-    return logits(docs, model).select(*docs.columns, as_score(F.col("__logit")).alias("__score"))
+    """The columns of docs with __score, from the text alone; a column of docs of that name is replaced."""
+    return valued(docs, model).select(*[F.col(f"row.`{c}`") for c in docs.columns if c != "__score"], as_score(F.col("logit")).alias("__score"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

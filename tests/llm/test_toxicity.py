@@ -9,17 +9,29 @@ from pointfold.llm.toxicity import FILTERS, WIDTHS, Classifier, best_cut, for_th
 def test_held_out_rows_rank_well(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
+    lang = {r["doc_id"]: r["lang"] for r in pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "lang"]).to_pylist()}
     got = op10_toxicity(spark, sf).collect()
     assert len(got) == 10_000
     for r in got:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
         assert 0 <= r.score <= 1
         assert r.predicted == int(r.score >= 0.7)
-    test = [(r.score, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
-    s, y = map(np.array, zip(*test, strict=True))
+    test = [(r.score, labels[r.doc_id], lang[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
+    assert auc([t[:2] for t in test]) > 0.97
+    many = [k for k in set(lang.values()) if sum(y for _, y, x in test if x == k) >= 10]
+    assert {"de", "en", "es", "fr"} == set(many)
+    for k in many:
+        assert auc([(s, y) for s, y, x in test if x == k]) > 0.95, k
+    # clean documents stay and most toxic ones go
+    for label, least in ((0, 0.97), (1, 0.85)):
+        mine = [r.predicted == label for r in got if r.held_out and labels.get(r.doc_id) == label]
+        assert sum(mine) / len(mine) > least, (label, sum(mine) / len(mine))
+
+
+def auc(pairs):
+    s, y = map(np.array, zip(*pairs, strict=True))
     rank = np.argsort(np.argsort(s))
-    auc = (rank[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() - 1) / 2) / ((y == 1).sum() * (y == 0).sum())
-    assert auc > 0.9
+    return (rank[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() - 1) / 2) / ((y == 1).sum() * (y == 0).sum())
 
 
 def test_words_and_odd_texts(spark):
@@ -31,7 +43,7 @@ def test_words_and_odd_texts(spark):
     assert hashed(None).shape == (0, 3)
     model = Classifier()
     model.tabled()
-    df = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (2, "", 0.5), (None, "x " * 50_000, 0.1)], "doc_id long, text string, score double")
+    df = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (2, "", 0.5), (None, "x " * 50_000, 0.1)], "doc_id long, text string, __score double")
     got = scored(df, model).collect()
     assert len(got) == 4
     assert len({r["__score"] for r in got if not r.text}) == 1
