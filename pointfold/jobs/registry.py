@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointfold.jobs import base, clouds, scene, tracking  # noqa: F401
+from pointfold.jobs import base, clouds, labels, scene, tracking  # noqa: F401
 
 
 def queries() -> dict[str, base.Query]:

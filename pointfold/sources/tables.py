@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointfold.operators.spatial import voxels
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,6 +52,28 @@ cast_ AS (SELECT *, floor(x*15.0::DOUBLE/z) u, floor(y*15.0::DOUBLE/z) v FROM mo
 pts AS (SELECT frame, pid, x, y, z, r, g, b FROM cast_ QUALIFY z<=min(z) OVER (PARTITION BY frame, u, v)+100)"""
 
 
+#: What a part moves by from frame to frame, along x, y and z, by its label.
+PART_STEP = ("(label%3-1)*5", "label%2*4", "(label%5-2)*2")
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frame, label, x, y, z, r, g, b: voxels of all points, with the slide undone, in parts of 5 x 5 x 5; each part moves in seven frames by a step of its own."""
+    p = points(spark, sf_dir).withColumn("x", F.col("x") - F.when(F.col("z") < 1000, 6 * F.col("frame")).otherwise(0)).withColumn("frame", F.lit(0))
+    v = voxels(p).select(*cells_of_parts(), *[F.floor(c).alias(c) for c in "xyzrgb"])
+    f = v.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    return f.select("frame", "label", *[(F.col(a) + F.expr(s) * F.col("frame")).alias(a) for a, s in zip("xyz", PART_STEP, strict=True)], *"rgb")
+
+
+def cells_of_parts() -> list[Column]:
+    return [(F.floor(F.col("kx") / 5) * 100 + F.floor(F.col("ky") / 5) * 10 + F.floor(F.col("kz") / 5)).alias("label")]
+
+
+PARTS = POINTS.replace("pts AS", "slid AS", 1) + f""", still AS (SELECT CASE WHEN z<1000 THEN x-6*frame ELSE x END x, y, z, r, g, b FROM slid),
+part_voxels AS (SELECT floor((x+400)/40.0) kx, floor((y+350)/40.0) ky, floor((z-800)/40.0) kz, {", ".join(f"CAST(floor(sum({c})/count(*)) AS BIGINT) {c}" for c in "xyzrgb")} FROM still GROUP BY kx, ky, kz),
+labelled AS (SELECT CAST(floor(kx/5.0)*100+floor(ky/5.0)*10+floor(kz/5.0) AS BIGINT) label, x, y, z, r, g, b FROM part_voxels),
+parts AS (SELECT frame, label, {", ".join(f"{a}+{s}*frame {a}" for a, s in zip("xyz", PART_STEP))}, r, g, b FROM labelled, (SELECT unnest(range(7)) frame))"""
+
+
 def moves(spark: SparkSession, sf_dir: str, window: int = 20) -> DataFrame:
     """frame, label: parts that move."""
     e = read(spark, sf_dir, "events").where("event_type = 'click'")
