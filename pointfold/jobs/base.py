@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pointfold.functions import columns as c
 from pointfold.operators import spatial
+from pointfold.operators.cut import shared  # noqa: F401
 from pointfold.sources import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,12 +36,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def shared(spark: SparkSession) -> None:
-    """A checkpoint folder for sessions of one process; elsewhere spark.checkpoint.dir must be set."""
-    if not spark.sparkContext.getCheckpointDir() and spark.sparkContext.master.split("[")[0] == "local":
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pointfold-"))
-
-
 def box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.crop(t.points(spark, sf_dir))
 

@@ -10,6 +10,7 @@ from pointfold.jobs.base import COUNTERS, EDGES, KEYS, VOX, box, query, shared,
 from pointfold.operators import comovement, matching, spatial
 from pointfold.sources import pcd
 from pointfold.sources import tables as t
+from pointfold.streaming import counters as by_pair
 
 
 @query(f"WITH {t.POINTS} SELECT i, frame, count(*) n FROM pts JOIN range(0, 20) q(i) ON i % 7 = frame GROUP BY i, frame")
@@ -252,6 +253,14 @@ def g2_candidate_seeds(spark, sf_dir):
     return spatial.seeds(voxels(spark, sf_dir))
 
 
+@query(f"WITH {COUNTERS} SELECT a, b, cnt FROM cnt")
+def x7_counters_by_pair(spark, sf_dir):
+    """The same counters as a stream keeps them, after blocks of a sixth of all frames."""
+    moves, resets = t.moves(spark, sf_dir), t.resets(spark, sf_dir)
+    last = moves.agg(F.max("frame")).first()[0] or 0
+    return by_pair.folded(moves, resets, last // 6 + 1)
+
+
 @query(f"WITH {COUNTERS} SELECT a, b, cnt FROM cnt")
 def c1_comovement_counters(spark, sf_dir):
     return comovement.counters(t.moves(spark, sf_dir), t.resets(spark, sf_dir))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointfold.functions import columns as c
-from pointfold.jobs.base import CROSS, EDGES, KEYS, VOX, box, crossing, query, shared, voxels
+from pointfold.jobs.base import CROSS, EDGES, KEYS, VOX, box, crossing, query, voxels
 from pointfold.operators import growth, matching, spatial, surface
+from pointfold.operators.cut import cut
 from pointfold.sources import tables as t
 from pointfold.streaming import voxel_state
 
@@ -127,10 +128,14 @@ cell AS ({PATHS.format(of="gone")}),
 hid AS (SELECT c.frame, c.kx, c.ky, c.kz, distance, ox, oy, oz FROM cell c JOIN occ2 o ON o.frame=c.frame AND o.kx=ox AND o.ky=oy AND o.kz=oz WHERE distance>2.5 OR is_new QUALIFY row_number() OVER (PARTITION BY c.frame, c.kx, c.ky, c.kz ORDER BY distance)=1)"""
 
 
+def of_cells(v: DataFrame) -> DataFrame:
+    """v with the number of the seed cell as label."""
+    return v.withColumn("label", F.floor(F.col("kx") / 5) * 100 + F.floor(F.col("ky") / 5) * 10 + F.floor(F.col("kz") / 5))
+
+
 def crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As labelled, of the cloud whose patches hide one another."""
-    label = F.floor(F.col("kx") / 5) * 100 + F.floor(F.col("ky") / 5) * 10 + F.floor(F.col("kz") / 5)
-    return crossing(spark, sf_dir).select(*KEY, "n", *[F.floor(a).alias(a) for a in "xyzrgb"]).withColumn("label", label)
+    return of_cells(crossing(spark, sf_dir).select(*KEY, "n", *[F.floor(a).alias(a) for a in "xyzrgb"]))
 
 
 def _gone_and_hidden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -348,10 +353,9 @@ GROWN = f"{LABELS}, {PRUNED}, {_rounds()}"
 
 
 def _grown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared(spark)
-    v = whole(spark, sf_dir)
+    v = cut(whole(spark, sf_dir))
     w = Window.partitionBy("frame").orderBy("sx", "sy", "sz")
-    seeds = growth.pruned(_seeds(spark, sf_dir), v, NEAR, LEAST).withColumn("label", F.row_number().over(w).cast("long"))
+    seeds = growth.pruned(spatial.seeds(v).join(v.select(*KEY, "x", "y", "z"), KEY), v, NEAR, LEAST).withColumn("label", F.row_number().over(w).cast("long"))
     flat = v.withColumn("nx", F.lit(0.0)).withColumn("ny", F.lit(0.0)).withColumn("nz", F.lit(1.0)).drop("n")
     return growth.grow(flat, spatial.adjacency(v), seeds, ROUNDS)
 
@@ -398,12 +402,10 @@ s{f} AS MATERIALIZED (SELECT k.* REPLACE (CASE WHEN NOT changed AND votes>=3 THE
 @query(f"WITH {CROSS}, {_states()} SELECT kx, ky, kz, x, r, prev_r, CAST(first_frame AS BIGINT) first_frame, CAST(seen_frame AS BIGINT) seen_frame, CAST(occluded_frame AS BIGINT) occluded_frame, label, changed FROM s{FRAMES - 1}")
 def x2_voxel_state(spark, sf_dir):
     """Voxels after the last frame, inserted, updated, kept while hidden or deleted frame by frame, with when they were first and last seen or hidden, and which of the first frame's labels they still have."""
-    shared(spark)
-    v = crossing(spark, sf_dir)
-    ends = v.agg(F.min("frame"), F.max("frame")).first()
-    labels = crossed(spark, sf_dir).where(F.col("frame") == ends[0]).select(*voxel_state.AT, "label")
+    v = cut(crossing(spark, sf_dir))
+    labels = of_cells(v.where(F.col("frame") == v.agg(F.min("frame")).scalar())).select(*voxel_state.AT, "label")
     turned = lambda: F.abs(F.col("r") - F.col("prev_r")) >= TURNED
-    state = voxel_state.fold(spark, v, range(ends[0] or 0, (ends[1] if ends[1] is not None else -1) + 1), labels, turned)
+    state = voxel_state.fold(spark, v, None, labels, turned)
     return state.select(*voxel_state.AT, "x", "r", "prev_r", "first_frame", "seen_frame", "occluded_frame", "label", "changed")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pointfold.functions.columns import feature_distance
 from pointfold.operators.spatial import KEY, radius_pairs
+from pointfold.operators.cut import cut
 from pointfold.operators.surface import nearest
 
 FEATURES = ["x", "y", "z", "r", "g", "b", "nx", "ny", "nz"]
@@ -57,10 +58,10 @@ def centroids(owned: DataFrame) -> DataFrame:
 def grow(v: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
     """v with label and d (distance when it was taken; null for a seed's own voxel or one never reached).
 
-    In each round every voxel is offered to its neighbours' clusters and goes to the nearest centroid if that is nearer than its d; ties to the smaller label. The first round measures from zero centroids. Each round is written out, so lineage stays one round long. Only (frame, label) centroids and keys are shuffled in a round.
+    In each round every voxel is offered to its neighbours' clusters and goes to the nearest centroid if that is nearer than its d; ties to the smaller label. The first round measures from zero centroids. Voxels, edges and each round are written out, so that no round reads the input again and lineage stays one round long. Only (frame, label) centroids and keys are shuffled in a round.
     """
-    own = v.join(seeds.select(*KEY, "label"), KEY, "left").withColumn("d", F.lit(None).cast("double"))
-    there = edges.select(*KEY, *[F.col(f"n{a}").alias(f"m{a}") for a in "xyz"])
+    own = cut(v.join(seeds.select(*KEY, "label"), KEY, "left").withColumn("d", F.lit(None).cast("double")))
+    there = cut(edges.select(*KEY, *[F.col(f"n{a}").alias(f"m{a}") for a in "xyz"]))
     for i in range(rounds):
         c = centroids(own).select("frame", "label", *[(F.lit(0.0) if i == 0 else F.col(f)).alias(f"c_{f}") for f in FEATURES])
         offers = own.where("label IS NOT NULL").select(*KEY, "label").join(there, KEY).select("frame", *[F.col(f"m{a}").alias(f"k{a}") for a in "xyz"], F.col("label").alias("by")).distinct()
@@ -68,7 +69,7 @@ def grow(v: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int) -> DataF
         d = feature_distance({f: F.col(f) for f in FEATURES}, {f: F.col(f"c_{f}") for f in FEATURES})
         best = asked.groupBy(*KEY).agg(F.min(F.struct(d.alias("d"), "by")).alias("best"))
         better = F.col("best.d") < F.coalesce("d", F.lit(float("inf")))
-        own = own.join(best, KEY, "left").select(*KEY, *FEATURES, F.when(better, F.col("best.by")).otherwise(F.col("label")).alias("label"), F.when(better, F.col("best.d")).otherwise(F.col("d")).alias("d")).checkpoint()
+        own = cut(own.join(best, KEY, "left").select(*KEY, *FEATURES, F.when(better, F.col("best.by")).otherwise(F.col("label")).alias("label"), F.when(better, F.col("best.d")).otherwise(F.col("d")).alias("d")))
     return own
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointfold.functions.columns import ORIGIN, VOXEL
-from pointfold.operators.spatial import KEY, radius_pairs
+from pointfold.operators.cut import cut
+from pointfold.operators.spatial import KEY, offsets
 
 
 def normals(sums: DataFrame, at: DataFrame) -> DataFrame:
@@ -38,32 +39,89 @@ def _cross(a: list[Column], b: list[Column]) -> list[Column]:
     return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
 
 
+#: Rows with more points than this in the cells around them go down from larger cells to smaller ones instead.
+FAR = 4096
+CELL = ["cx", "cy", "cz"]
+UP = ["ux", "uy", "uz"]
+
+
+def _raised(df: DataFrame) -> DataFrame:
+    """Adds ux, uy, uz: the cell of size radius * 2 ** level that holds the cell cx, cy, cz."""
+    return df.withColumns({u: F.expr(f"shiftright(c{u[1]}, level)") for u in UP})
+
+
+def _around(df: DataFrame) -> DataFrame:
+    """A row for each of the 27 cells around ux, uy, uz, itself included."""
+    return df.withColumn("o", F.explode(F.array_append(offsets(), F.struct(*[F.lit(0).alias(a) for a in "xyz"])))).withColumns({u: F.col(u) + F.col(f"o.{u[1]}") for u in UP}).drop("o")
+
+
 def nearest(a: DataFrame, b: DataFrame, k: int, radius: int, others: bool = False) -> DataFrame:
     """frame, pid, o_pid, d2, rank: the k nearest of b (frame, pid, x, y, z) to each row of a, or all if they are fewer; ties to the smaller o_pid; with `others`, never the row itself.
 
-    Rows that have fewer than k within the radius look four times as far, until all of the space is seen, so a sparse row does not widen the join of all.
+    Cells as wide as the radius are counted at all levels, each twice as wide as the one before. A cell's rows climb to the first level whose cell
+    holds k of b: none of the k nearest is then beyond the 27 cells around them a level higher, where they are joined.
+    Rows that would meet more than FAR points there go down again instead, see descended(). The number of joins does not depend on the
+    clouds' span or on how sparse a row's surroundings are.
     """
-    a, b = (df.select("frame", "pid", "x", "y", "z") for df in (a, b))
+    keyed = lambda df: cut(df.select("frame", "pid", "x", "y", "z", *[F.floor(F.col(x) / radius).cast("long").alias(f"c{x}") for x in "xyz"]))
+    a, b = (keyed(a),) * 2 if a is b else (keyed(a), keyed(b))
+    need = k + others
+    base = cut(b.groupBy("frame", *CELL).agg(F.count("*").alias("n")))
+    asking = a.select("frame", *CELL).distinct()
     # one row, whatever the clouds
-    ends = a.select(*"xyz").union(b.select(*"xyz")).agg(*[f(c) for c in "xyz" for f in (F.min, F.max)]).first()
-    span = sum((ends[2 * i + 1] - ends[2 * i]) ** 2 for i in range(3)) ** 0.5 if ends[0] is not None else 0
-    parts, todo = [], a
-    mine = Window.partitionBy("frame", "pid")
-    while True:
-        near = radius_pairs(todo, b, radius)
-        if others:
-            near = near.where("pid <> o_pid")
-        top = near.select("frame", "pid", "o_pid", "d2", F.row_number().over(mine.orderBy("d2", "o_pid")).alias("rank")).where(F.col("rank") <= k)
-        if radius >= span:
-            parts.append(top)
-            break
-        parts.append(top.withColumn("__n", F.count("*").over(mine)).where(F.col("__n") == k).drop("__n"))
-        todo = todo.join(parts[-1].where("rank = 1").select("frame", "pid"), ["frame", "pid"], "left_anti")
-        radius *= 4
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    ends = base.select(*CELL).union(asking.select(*CELL)).agg(*[F.max(c) - F.min(c) for c in CELL]).first()
+    top = max((e or 0).bit_length() for e in ends) + 1
+    levels = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")
+    counts = cut(_raised(base.select("*", levels)).groupBy("frame", "level", *UP).agg(F.sum("n").alias("n")))
+    path = _raised(asking.select("*", levels)).join(counts, ["frame", "level", *UP], "left").groupBy("frame", *CELL)
+    held = path.agg(F.least(F.min(F.when(F.col("n") >= need, F.col("level"))) + 1, F.lit(top)).alias("level"))
+    held = _raised(held.withColumn("level", F.coalesce("level", F.lit(top))))
+    met = _around(held).join(counts, ["frame", "level", *UP]).groupBy("frame", *CELL, "level").agg(F.sum("n").alias("met"))
+    met = cut(_raised(met))
+    used = [r.level for r in met.where(F.col("met") <= FAR).select("level").distinct().collect()]  # a number for each level
+    there = b.select("frame", F.col("pid").alias("o_pid"), *[F.col(x).alias(f"o_{x}") for x in "xyz"], *CELL)
+    near = _around(a.join(met.where(F.col("met") <= FAR), ["frame", *CELL]).drop(*CELL))
+    pairs = near.join(_raised(there.withColumn("level", F.explode(F.array(*map(F.lit, used or [0]))))), ["frame", "level", *UP])
+    out = _ranked(pairs, k, others)
+    if not met.where(F.col("met") > FAR).limit(1).count():
+        return out
+    far = descended(a, met.where(F.col("met") > FAR), counts, radius, need)
+    return out.unionByName(_ranked(far.join(there, ["frame", *CELL]), k, others))
+
+
+def _ranked(pairs: DataFrame, k: int, others: bool) -> DataFrame:
+    d2 = sum((F.col(x) - F.col(f"o_{x}")) * (F.col(x) - F.col(f"o_{x}")) for x in "xyz")
+    near = pairs.select("frame", "pid", "o_pid", d2.alias("d2"))
+    if others:
+        near = near.where("pid <> o_pid")
+    rank = F.row_number().over(Window.partitionBy("frame", "pid").orderBy("d2", "o_pid"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def descended(a: DataFrame, cells: DataFrame, counts: DataFrame, radius: int, need: int) -> DataFrame:
+    """frame, pid, x, y, z of the rows of a in cells (frame, cx, cy, cz, level and ux, uy, uz at that level), each with the smallest cells cx, cy, cz that can hold one of the `need` nearest.
+
+    From the 27 cells around a row, each round goes to the eight within each, a level down, and leaves out those that begin farther off than
+    others end that hold enough. A row far from all others keeps a few cells of each level. Rounds are written out.
+    """
+    row = Window.partitionBy("frame", "pid")
+
+    def kept(open_: DataFrame) -> DataFrame:
+        size = F.lit(float(radius)) * F.pow(F.lit(2.0), "level")
+        lo = {x: F.col(f"u{x}") * size - F.col(x) for x in "xyz"}
+        begins = sum(F.pow(F.greatest(v, -v - size, F.lit(0.0)), 2) for v in lo.values())
+        ends = sum(F.pow(F.greatest(v + size, -v), 2) for v in lo.values())
+        seen = open_.join(counts, ["frame", "level", *UP]).withColumns({"begins": begins, "ends": ends})
+        seen = seen.withColumn("sum", F.sum("n").over(row.orderBy("ends", *UP)))
+        seen = seen.withColumn("reach", F.min(F.when(F.col("sum") >= need, F.col("ends"))).over(row))
+        return cut(seen.where("reach IS NULL OR begins <= reach").drop("n", "begins", "ends", "sum", "reach"))
+
+    open_ = kept(_around(a.join(cells.drop("met"), ["frame", *CELL]).drop(*CELL)))
+    halves = F.array(*[F.struct(*[F.lit(i).alias(x) for i, x in zip((i, j, l), "xyz", strict=True)]) for i in (0, 1) for j in (0, 1) for l in (0, 1)])
+    while open_.where("level > 0").limit(1).count():
+        inner = open_.where("level > 0").withColumn("o", F.explode(halves)).withColumns({u: F.col(u) * 2 + F.col(f"o.{u[1]}") for u in UP}).withColumn("level", F.col("level") - 1).drop("o")
+        open_ = kept(inner.unionByName(open_.where("level = 0")))
+    return open_.select("frame", "pid", "x", "y", "z", *[F.col(u).alias(c) for u, c in zip(UP, CELL, strict=True)])
 
 
 def statistical_outliers(points: DataFrame, k: int, factor: float, radius: int) -> DataFrame:

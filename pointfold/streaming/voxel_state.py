@@ -6,8 +6,11 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from pointfold.operators import spatial, surface
+from pointfold.operators.cut import by_column, cut
+from pointfold.streaming.versions import Versions
 
 AT = ["kx", "ky", "kz"]
 VALUES = list("xyzrgb")
@@ -27,7 +30,7 @@ def step(state: DataFrame, seen: DataFrame, frame: int, changed: Callable[[], Co
     Given changed, labels are lost as in unlabelled(). A frame without voxels leaves the state as it is.
     """
     now = seen.select(*AT, *[F.col(c).cast("double").alias(f"now_{c}") for c in VALUES], F.lit(True).alias("here"))
-    both = state.join(now, AT, "full_outer").withColumns({"here": F.col("here").isNotNull(), "old": F.col("first_frame").isNotNull()}).checkpoint()
+    both = cut(state.join(now, AT, "full_outer").withColumns({"here": F.col("here").isNotNull(), "old": F.col("first_frame").isNotNull()}))
     at = F.lit(frame).cast("long")
     keyed = both.withColumn("frame", at)
     since = F.when(F.col("here"), 0).otherwise(F.coalesce("occluded_frame", F.lit(0)))
@@ -44,7 +47,7 @@ def step(state: DataFrame, seen: DataFrame, frame: int, changed: Callable[[], Co
     frames = [F.coalesce("first_frame", at).alias("first_frame"), F.when(F.col("here"), at).otherwise(F.col("seen_frame")).alias("seen_frame"), F.when(F.col("here"), None).otherwise(F.coalesce("occluded_frame", at)).alias("occluded_frame")]
     new = kept.select(*AT, *values, *frames, "label", (F.col("here") & F.col("old")).alias("updated"))
     flag = F.coalesce(F.col("updated") & changed(), F.lit(False)) if changed else F.lit(False)
-    new = new.withColumn("changed", flag).drop("updated").checkpoint()
+    new = cut(new.withColumn("changed", flag).drop("updated"))
     return unlabelled(new) if changed else new
 
 
@@ -55,25 +58,40 @@ def unlabelled(state: DataFrame) -> DataFrame:
     return both.withColumn("label", F.when(~F.col("changed") & (F.col("votes") >= VOTES), F.col("label"))).select(state.columns)
 
 
-def fold(spark: SparkSession, voxels: DataFrame, frames: Iterable[int], labels: DataFrame | None = None, changed: Callable[[], Column] | None = None) -> DataFrame:
-    """State after the frames, in order; labels (key, label) go to the voxels of the first. Frames depend on each other, so they run one after another; each is a distributed step over all voxels."""
+def fold(spark: SparkSession, voxels: DataFrame, frames: Iterable[int] | None = None, labels: DataFrame | None = None, changed: Callable[[], Column] | None = None) -> DataFrame:
+    """State after the frames, in order (all that there are, if not given); labels (key, label) go to the voxels of the first. Frames depend on each other, so they run one after another; each is a distributed step. Voxels are written once by frame, so that a step reads its own only."""
+    voxels, done = by_column(voxels, "frame")
+    there = {r.frame for r in voxels.select("frame").distinct().collect()}  # a number for each frame
     state = spark.createDataFrame([], SCHEMA)
-    for f in frames:
+    for f in sorted(there if frames is None else there.intersection(frames)):
         state = step(state, voxels.where(F.col("frame") == f), f, changed)
         if labels is not None:
             state = state.drop("label").join(labels.select(*AT, F.col("label").cast("long").alias("label")), AT, "left").select(state.columns)
             labels = None
+    state = cut(state)
+    done()
     return state
 
 
-def start(stream: DataFrame, path: str, checkpoint: str):
-    """A query that folds a stream of points, one frame a batch, and writes the state after each frame to path/frame=N. A batch that runs again reads the state of the frame before it and writes the same rows."""
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The state as of the last commit of a stream that start() runs."""
+    return Versions(path, {"state": SCHEMA}).current(spark, "state")
+
+
+def start(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Folds a stream of points into state under path. Frames are numbers in the data: a batch may hold several, an empty one changes nothing, and rows of frames that were committed before are late and left out. A frame comes whole in one batch."""
+    versions = Versions(path, {"state": SCHEMA})
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = spatial.voxels(spatial.crop(batch)).drop("frame")
-        before = spark.read.schema(SCHEMA).parquet(f"{path}/frame={batch_id - 1}") if batch_id else spark.createDataFrame([], SCHEMA)
-        after = step(before, seen, batch_id) if seen.limit(1).count() else before
-        after.write.mode("overwrite").parquet(f"{path}/frame={batch_id}")
+        version, last = versions.last(spark, batch_id) or (None, None)
+        seen = cut(spatial.voxels(spatial.crop(batch if last is None else batch.where(F.col("frame") > last))))
+        frames = [r.frame for r in seen.select("frame").distinct().orderBy("frame").collect()]  # those of one batch
+        if not frames:
+            return
+        state = versions.read(spark, "state", version)
+        for f in frames:
+            state = step(state, seen.where(F.col("frame") == f).drop("frame"), f)
+        versions.commit(spark, batch_id, frames[-1], {"state": state})
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()

@@ -156,21 +156,37 @@ def test_state_keeps_what_is_hidden_and_drops_what_is_gone(spark):
     assert state[(5, 5, 3)].first_frame == 1 and state[(5, 5, 3)].prev_x is None
 
 
-def test_stream_equals_fold(spark, tmp_path):
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(str(tmp_path / "shared"))
-    points = scene.t.points(spark, SF).where("frame < 3")
-    for f in range(3):
-        points.where(F.col("frame") == f).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = voxel_state.start(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
-    q.processAllAvailable()
-    q.stop()
-    got = spark.read.parquet(str(tmp_path / "out" / "frame=2"))
+def same(got, want):
+    return sorted(map(tuple, got.select(want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_stream_equals_fold_with_empty_late_and_repeated_batches(spark, tmp_path):
+    points = scene.t.points(spark, SF).where("frame < 6").cache()
     v = spatial.voxels(spatial.crop(points))
-    want = voxel_state.fold(spark, v, [0, 1, 2])
-    cols = want.columns
-    assert sorted(map(tuple, got.select(cols).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+    def feed(where):
+        points.where(where).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = voxel_state.start(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
+        q.processAllAvailable()
+        q.stop()
+        return voxel_state.current(spark, str(tmp_path / "out"))
+
+    assert same(voxel_state.current(spark, str(tmp_path / "out")), spark.createDataFrame([], voxel_state.SCHEMA))
+    feed("frame < 2")  # two frames in a batch
+    feed("frame < 0")  # none
+    feed("frame = 3")  # there is no frame 2
+    feed("frame IN (1, 2)")  # late
+    assert same(run(), voxel_state.fold(spark, v, [0, 1, 3]))
+    feed("frame = 4")
+    assert same(run(), voxel_state.fold(spark, v, [0, 1, 3, 4]))
+    for name in ("4", ".4.crc"):  # as if it had stopped before the batch was done
+        (tmp_path / "ck" / "commits" / name).unlink(missing_ok=True)
+    feed("frame = 5")
+    assert same(run(), voxel_state.fold(spark, v, [0, 1, 3, 4, 5]))
+    assert len(list((tmp_path / "out" / "state").iterdir())) <= 3
 
 
 def test_change_flags_need_both_frames(spark):
