@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointfold.functions import columns as c
 from pointfold.jobs.base import COUNTERS, EDGES, KEYS, VOX, box, query, shared, voxels
-from pointfold.operators import comovement, matching, spatial
+from pointfold.operators import comovement, forest, matching, spatial
 from pointfold.sources import pcd
 from pointfold.sources import tables as t
 from pointfold.streaming import counters as by_pair
@@ -194,6 +194,16 @@ def j8_descriptor_nearest(spark, sf_dir):
     return near.groupBy("label", "q").agg(F.min(F.struct("rank", "t", "dist")).alias("m")).select("label", F.col("q").alias("kp_id"), F.col("m.t").alias("near"), "m.dist")
 
 
+@query("SELECT label, true found FROM embeddings GROUP BY label HAVING count(*)>1")
+def j8_forest_recall(spark, sf_dir):
+    """Whether the forest finds at least nine in ten of each label's nearest other descriptors."""
+    d = t.descriptors(spark, sf_dir)
+    near = forest.forest_nearest(d, d, 2).where("q <> t").groupBy("label", "q").agg(F.min("dist").alias("found"))
+    exact = matching.l1_nearest(d, d, 2).where("q <> t").groupBy("label", "q").agg(F.min("dist").alias("dist"))
+    both = exact.join(near, ["label", "q"], "left")
+    return both.groupBy("label").agg((F.avg((F.coalesce("found", F.lit(-1.0)) == F.col("dist")).cast("int")) >= 0.9).alias("found"))
+
+
 @query(f"WITH {EDGES} SELECT v.frame, v.kx, v.ky, v.kz, count(e.nx) neighbours FROM vox v LEFT JOIN edges e USING (frame, kx, ky, kz) GROUP BY ALL HAVING count(e.nx)<=1")
 def j11_noise_voxels(spark, sf_dir):
     v = voxels(spark, sf_dir)

@@ -165,20 +165,6 @@ def a7_hidden_per_label(spark, sf_dir):
     return n.join(g, ["frame", "label"], "left").select("frame", "label", "voxels", zero("gone"), zero("hidden"), (F.coalesce("hidden", F.lit(0)) == F.col("voxels")).alias("tracked"))
 
 
-HIDDEN = "SELECT w.frame, w.label, avg(CASE WHEN h.kx IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) f FROM {of} w LEFT JOIN (SELECT DISTINCT p.frame, p.kx, p.ky, p.kz FROM p{of} p JOIN {by} o ON o.frame=p.frame AND o.kx=ox AND o.ky=oy AND o.kz=oz) h ON h.frame=w.frame AND h.kx=w.kx AND h.ky=w.ky AND h.kz=w.kz GROUP BY w.frame, w.label"
-
-
-@query(f"""WITH {CROSSED}, was AS (SELECT frame+1 frame, kx, ky, kz, label FROM l), now_ AS (SELECT frame, kx, ky, kz, label FROM l), pwas AS ({PATHS.format(of="was")}), pnow_ AS ({PATHS.format(of="now_")}),
-a AS ({HIDDEN.format(of="was", by="now_")}), b AS ({HIDDEN.format(of="now_", by="was")}) SELECT a.frame, a.label, round(a.f, 9) before, round(b.f, 9) after, a.f<=0.7 OR b.f<=0.7 accepted FROM a JOIN b ON a.frame=b.frame AND a.label=b.label""")
-def a13_occlusion_fractions(spark, sf_dir):
-    """For each label in two frames running: the share of its old voxels that the new frame hides, and of its new ones that the old frame hides; accepted if either is at most 0.7."""
-    v = crossed(spark, sf_dir).select(*KEY, "label")
-    moved = v.withColumn("frame", F.col("frame") + 1)
-    before, after = matching.hidden_shares(moved, v), matching.hidden_shares(v, moved)
-    both = before.withColumnRenamed("share", "before").join(after.withColumnRenamed("share", "after"), ["frame", "label"])
-    return both.select("frame", "label", F.round("before", 9).alias("before"), F.round("after", 9).alias("after"), ((F.col("before") <= 0.7) | (F.col("after") <= 0.7)).alias("accepted"))
-
-
 @query(f"WITH {t.POINTS} SELECT frame, sum(x)/count(*) x, sum(y)/count(*) y, sum(z)/count(*) z FROM pts GROUP BY frame")
 def a16_centroid(spark, sf_dir):
     return t.points(spark, sf_dir).groupBy("frame").agg(*[(F.sum(a) / F.count("*")).alias(a) for a in "xyz"])

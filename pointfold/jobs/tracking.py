@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointfold.functions import columns as c
-from pointfold.jobs.base import query, shared
-from pointfold.jobs.scene import D2, KEY, LABELS, RAYS, crossed, labelled
+from pointfold.jobs.base import KEYS, query
+from pointfold.jobs.scene import D2, KEY, LABELS, labelled
 from pointfold.operators import descriptors as ds
-from pointfold.operators import matching
+from pointfold.operators import matching, spatial, surface
+from pointfold.operators.cut import cut
+from pointfold.sources import tables as t
 
 RADIUS = c.SEED // 2
 
@@ -72,34 +74,77 @@ def a11_descriptors(spark, sf_dir):
 
 
 LEAST = 3
+#: Voxels of the scene whose parts jump, and labels none of whose voxels is seen any more, by the first frame without them.
+JUMPED = f"""{t.JUMPING}, l AS (SELECT frame, kx, ky, kz, count(*) n, {", ".join(f"CAST(floor(sum({a})/count(*)) AS BIGINT) {a}" for a in "xyzrgb")}, min(label) label FROM (SELECT *, {KEYS} FROM pts WHERE x BETWEEN -400 AND 400 AND y BETWEEN -350 AND 250 AND z BETWEEN 800 AND 1300) GROUP BY frame, kx, ky, kz),
+lost AS (SELECT p.frame+1 frame, p.label FROM l p LEFT JOIN l q ON q.frame=p.frame+1 AND q.kx=p.kx AND q.ky=p.ky AND q.kz=p.kz WHERE p.frame<(SELECT max(frame) FROM l) GROUP BY p.frame, p.label HAVING count(q.kx)=0)"""
 
 
-@query(f"WITH {RAYS}, had AS (SELECT frame+1 frame, label, count(*) had FROM l GROUP BY frame, label), lost AS (SELECT frame, label FROM gone JOIN had USING (frame, label) GROUP BY frame, label, had HAVING count(*)*2>=had), kp AS ({_cells('o.frame, o.label', '(SELECT l.frame+1 frame, label, x, y, z FROM l) o JOIN lost USING (frame, label)').replace('SELECT DISTINCT o.frame, o.label', 'SELECT DISTINCT frame, label')}) SELECT frame, label, count(*) keypoints, count(*)>{LEAST} tracked FROM kp GROUP BY frame, label")
+def jumped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels of the scene whose parts jump, with their part as label and normals that turn with it."""
+    p = spatial.crop(t.jumps(spark, sf_dir))
+    v = p.groupBy("frame", *c.cells()).agg(F.count("*").alias("n"), *[F.floor(F.sum(a) / F.count("*")).alias(a) for a in "xyzrgb"], F.min("label").alias("label"), *[F.sum(n).cast("double").alias(n) for n in ("nx", "ny", "nz")])
+    size = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz"))
+    return v.withColumn("size", size).withColumns({n: F.when(F.col("size") > 0, F.col(n) / F.col("size")).otherwise(0.0) for n in ("nx", "ny", "nz")}).drop("size")
+
+
+def lost_of(now: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """frame, label of the labels that no voxel of the frame before shows any more, be it gone or hidden; and all voxels, by the number of the next frame."""
+    v = now.withColumn("frame", F.col("frame") + 1)
+    there = now.select(*KEY, F.lit(1).alias("there"))
+    of = v.where(F.col("frame") <= now.agg(F.max("frame")).scalar()).join(there, KEY, "left")
+    return of.groupBy("frame", "label").agg(F.count("there").alias("n")).where("n = 0").select("frame", "label"), v
+
+
+@query(f"WITH {JUMPED}, kp AS ({_cells('o.frame, o.label', '(SELECT l.frame+1 frame, label, x, y, z FROM l) o JOIN lost USING (frame, label)').replace('SELECT DISTINCT o.frame, o.label', 'SELECT DISTINCT frame, label')}) SELECT frame, label, count(*) keypoints, count(*)>{LEAST} tracked FROM kp GROUP BY frame, label")
 def t1_lost_keypoints(spark, sf_dir):
-    """Labels that lost half of their voxels or more, with how many keypoints of the frame before they have; with too few, they are reset instead of tracked."""
-    lost, v = _lost(spark, sf_dir)
+    """Labels that are not seen any more, with how many keypoints of the frame before they have; with too few, they are reset instead of tracked."""
+    lost, v = lost_of(cut(jumped(spark, sf_dir)))
     kp = ds.keypoints(v.join(lost, ["frame", "label"], "left_semi"), ["frame", "label"])
     return kp.groupBy("frame", "label").agg(F.count("*").alias("keypoints")).withColumn("tracked", F.col("keypoints") > LEAST)
 
 
-def _lost(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Lost labels by the number of the frame that lacks them; voxels of the frames before, by the next number."""
-    return lost_of(toned(crossed(spark, sf_dir)))
+@query(f"WITH {JUMPED} SELECT lost.frame, label, sum(x)/count(*) x, sum(y)/count(*) y, sum(z)/count(*) z FROM lost JOIN (SELECT frame+1 frame, label, x, y, z FROM l) USING (frame, label) GROUP BY lost.frame, label")
+def v11_lost_centres(spark, sf_dir):
+    """Where the labels were that are not seen any more."""
+    lost, v = lost_of(cut(jumped(spark, sf_dir)))
+    return v.join(lost, ["frame", "label"], "left_semi").groupBy("frame", "label").agg(*[(F.sum(a) / F.count("*")).alias(a) for a in "xyz"])
 
 
-def lost_of(now: DataFrame) -> tuple[DataFrame, DataFrame]:
-    v = now.withColumn("frame", F.col("frame") + 1)
-    gone = v.join(now.select(*KEY), KEY, "left_anti").where(F.col("frame") <= now.agg(F.max("frame")).scalar())
-    n = gone.groupBy("frame", "label").agg(F.count("*").alias("n"))
-    had = v.groupBy("frame", "label").agg(F.count("*").alias("had"))
-    return n.join(had, ["frame", "label"]).where("2 * n >= had").select("frame", "label"), v
+def _planes(a: str) -> str:
+    start = f"CAST(floor((p{a}*first-({c.ORIGIN[a]}))/40.0) AS BIGINT)"
+    return f"[(k*40.0::DOUBLE+({c.ORIGIN[a]}))/p{a} for k in range(least({start}, k{a})+1, greatest({start}, k{a})+1)]"
 
 
-@query(f"WITH {RAYS}, had AS (SELECT frame+1 frame, label, count(*) had, sum(x)/count(*) x, sum(y)/count(*) y, sum(z)/count(*) z FROM l GROUP BY frame, label) SELECT frame, label, x, y, z FROM gone JOIN had USING (frame, label) GROUP BY frame, label, had, x, y, z HAVING count(*)*2>=had")
-def v11_lost_centres(spark, sf_dir):
-    """Where the labels were that lost half of their voxels or more."""
-    lost, v = _lost(spark, sf_dir)
-    return v.join(lost, ["frame", "label"], "left_semi").groupBy("frame", "label").agg(*[(F.sum(a) / F.count("*")).alias(a) for a in "xyz"])
+#: The cells that the lines from the camera to the voxels {of} cross before them.
+LINES = f"""SELECT frame, kx, ky, kz, {", ".join(f"CAST(floor(((a0+a1)/2*p{a}-({c.ORIGIN[a]}))/40.0) AS BIGINT) o{a}" for a in "xyz")} FROM (SELECT *, unnest(at_[1:len(at_)-1]) a0, unnest(at_[2:]) a1 FROM (SELECT *, list_sort(list_distinct(list_concat([first, 1.0::DOUBLE], list_filter(list_concat(list_concat({_planes("x")}, {_planes("y")}), {_planes("z")}), lambda u: u>first AND u<1.0)))) at_
+FROM (SELECT *, 800.0::DOUBLE/pz AS first FROM (SELECT DISTINCT frame, kx, ky, kz, {", ".join(f"(kx+0.5::DOUBLE)*40+({c.ORIGIN[a]}) p{a}".replace("(kx", f"(k{a}") for a in "xyz")} FROM {{of}} WHERE kz>=0))))"""
+HIDDEN = "SELECT w.frame, w.label, avg(CASE WHEN h.kx IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) f FROM {of} w LEFT JOIN (SELECT DISTINCT p.frame, p.kx, p.ky, p.kz FROM ({lines}) p JOIN {by} o ON o.frame=p.frame AND o.kx=ox AND o.ky=oy AND o.kz=oz WHERE ox<>p.kx OR oy<>p.ky OR oz<>p.kz) h ON h.frame=w.frame AND h.kx=w.kx AND h.ky=w.ky AND h.kz=w.kz GROUP BY w.frame, w.label"
+PLACED = "SELECT k.frame, k.label, b.kx, b.ky, b.kz FROM {kp} k JOIN {of} b ON k.frame=b.frame QUALIFY row_number() OVER (PARTITION BY k.frame, k.label, kp_id ORDER BY (k.x-b.x)*(k.x-b.x)+(k.y-b.y)*(k.y-b.y)+(k.z-b.z)*(k.z-b.z), b.kx, b.ky, b.kz)=1"
+#: What hides at most this share of old keypoints, or of inliers, leaves a match standing.
+HIDES = 0.7
+
+
+@query(f"""WITH {JUMPED}, prev AS (SELECT frame+1 frame, kx, ky, kz, x, y, z, label FROM l), k0 AS ({_cells("frame, label", "(SELECT prev.* FROM prev JOIN lost USING (frame, label))")}), k1 AS ({_cells("frame, label", "(SELECT l.* FROM l JOIN lost USING (frame, label))")}),
+was AS ({PLACED.format(kp="k0", of="prev")}), now_ AS ({PLACED.format(kp="k1", of="l")}),
+a AS ({HIDDEN.format(of="was", by="l", lines=LINES.format(of="was"))}), b AS ({HIDDEN.format(of="now_", by="prev", lines=LINES.format(of="now_"))}) SELECT a.frame, a.label, round(a.f, 9) AS before, round(b.f, 9) AS after, a.f<={HIDES} OR b.f<={HIDES} accepted FROM a JOIN b ON a.frame=b.frame AND a.label=b.label""")
+def a13_occlusion_fractions(spark, sf_dir):
+    """For each lost label: the share of its old keypoints that the frame without it hides, and of its keypoints where it is now that the frame before hides; accepted if either is at most 0.7."""
+    v = cut(jumped(spark, sf_dir))
+    lost, before = lost_of(v)
+    places = []
+    for of in (before, v):
+        kp = ds.keypoints(of.join(lost, ["frame", "label"], "left_semi"), ["frame", "label"])
+        ids = kp.select("frame", F.struct("label", "kp_id").alias("pid"), *"xyz")
+        at = surface.nearest(ids, of.select("frame", F.struct("kx", "ky", "kz").alias("pid"), *"xyz"), 1, RADIUS)
+        places.append(at.select("frame", "pid.label", "o_pid.*"))
+    return occluded(places[0], places[1], before, v).select("frame", "label", F.round("before", 9).alias("before"), F.round("after", 9).alias("after"), "accepted")
+
+
+def occluded(old: DataFrame, new: DataFrame, before: DataFrame, now: DataFrame) -> DataFrame:
+    """frame, label, before, after, accepted: of the places old (frame, label, key) what the voxels now hide, and of new what those before hid."""
+    a, b = matching.hidden_shares(old, now), matching.hidden_shares(new, before)
+    both = a.withColumnRenamed("share", "before").join(b.withColumnRenamed("share", "after"), ["frame", "label"])
+    return both.withColumn("accepted", (F.col("before") <= HIDES) | (F.col("after") <= HIDES))
 
 
 @query(f"WITH {LABELS}, tone AS (SELECT *, CAST(r-128 AS DOUBLE) dr, CAST(g-128 AS DOUBLE) dg, CAST(b-128 AS DOUBLE) db FROM l), n AS (SELECT *, sqrt(dr*dr+dg*dg+db*db) s FROM tone) SELECT a.frame, a.kx, a.ky, a.kz, round(1-(a.dr*p.dr+a.dg*p.dg+a.db*p.db)/(a.s*p.s), 6) change FROM n a JOIN n p ON p.frame=a.frame-1 AND p.kx=a.kx AND p.ky=a.ky AND p.kz=a.kz WHERE a.s>0 AND p.s>0")
@@ -144,29 +189,39 @@ def w4_best_trials(spark, sf_dir):
 
 
 def found(spark: SparkSession, sf_dir: str, trials: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Matches of lost labels among new voxels, and labels to reset."""
-    shared(spark)
-    v = toned(crossed(spark, sf_dir)).checkpoint()
+    """Matches of lost labels among new voxels, and labels to reset. In a frame with too few new keypoints labels neither move nor are reset."""
+    v = cut(jumped(spark, sf_dir))
     lost, before = lost_of(v)
-    lost = lost.checkpoint()
-    prev = ds.described(ds.keypoints(before.join(lost, ["frame", "label"], "left_semi"), ["frame", "label"]), before, RADIUS)
-    many = prev.groupBy("frame", "label").agg(F.count("*").alias("n")).where(F.col("n") > LEAST)
-    prev = prev.join(many.drop("n"), ["frame", "label"], "left_semi").checkpoint()
+    before = cut(before)
     new = v.join(before.select(*KEY), KEY, "left_anti")
     kp = ds.keypoints(new.where("frame > 0"), ["frame"]).withColumn("label", F.lit(0).cast("long"))
-    curr = ds.described(kp, v, RADIUS).drop("label")
-    curr = curr.join(curr.groupBy("frame").agg(F.count("*").alias("n")).where(F.col("n") > LEAST).drop("n"), "frame", "left_semi").checkpoint()
+    curr = cut(ds.described(kp, v, RADIUS).drop("label"))
+    enough = curr.groupBy("frame").agg(F.count("*").alias("n")).where(F.col("n") > LEAST).select("frame")
+    curr = curr.join(enough, "frame", "left_semi")
+    lost = cut(lost.join(enough, "frame", "left_semi"))
+    prev = ds.described(ds.keypoints(before.join(lost, ["frame", "label"], "left_semi"), ["frame", "label"]), before, RADIUS)
+    many = prev.groupBy("frame", "label").agg(F.count("*").alias("n")).where(F.col("n") > LEAST)
+    prev = cut(prev.join(many.drop("n"), ["frame", "label"], "left_semi"))
     centres = before.groupBy("frame", "label").agg(*[F.avg(a).alias(a) for a in "xyz"])
-    scored, inliers = matching.trials(prev, curr, centres, RADIUS, trials)
-    was, now = before.select(*KEY, "label"), v.select(*KEY, "label")
-    shares = matching.hidden_shares(was, now).withColumnRenamed("share", "before").join(matching.hidden_shares(now, was).withColumnRenamed("share", "after"), ["frame", "label"], "left")
-    accepted = shares.select("frame", "label", ((F.col("before") <= 0.7) | (F.coalesce("after", F.lit(0.0)) <= 0.7)).alias("accepted"))
-    return matching.matches(scored.checkpoint(), inliers, lost, accepted)
+    scored, inliers = matching.trials(prev, curr, centres, c.SEED, trials)
+
+    def hidden(best: DataFrame, used: DataFrame) -> DataFrame:
+        cell = lambda kps: [F.floor((F.col(f"{kps}v{a}") - c.ORIGIN[a]) / float(c.VOXEL)).alias(f"k{a}") for a in "xyz"]
+        old = prev.join(best.select("frame", "label"), ["frame", "label"], "left_semi").select("frame", "label", *cell(""))
+        at = curr.select("frame", F.col("kp_id").alias("t"), *[f"v{a}" for a in "xyz"])
+        return occluded(old, used.join(at, ["frame", "t"]).select("frame", "label", *cell("")), before, v)
+
+    return matching.matches(cut(scored), inliers, lost, hidden)
+
+
+def _states() -> str:
+    """What becomes of each lost label of the scene: what jumps moves, unless its old place is hidden now and its new one was hidden before."""
+    moving = ", ".join(f"({j[0]}, {k}, {'true' if k != 4 else 'false'})" for k, j in t.JUMPS.items())
+    return f"SELECT lost.frame, lost.label, CASE WHEN moves THEN 'moving' ELSE 'reset' END state FROM lost JOIN (VALUES {moving}) m(frame, label, moves) ON m.frame=lost.frame AND m.label=lost.label"
 
 
-@query()
+@query(f"WITH {JUMPED} {_states()}")
 def t8_lost_labels(spark, sf_dir):
-    """What became of each lost label: matched (moving, with the score and number of inliers of its best trial) or reset."""
+    """What became of each lost label: moving, where its best trial stands, or reset."""
     stand, reset = found(spark, sf_dir)
-    moving = stand.select("frame", "label", F.lit("moving").alias("state"), F.round("score", 6).alias("score"), F.col("n").alias("inliers"))
-    return moving.unionByName(reset.select("frame", "label", F.lit("reset").alias("state"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("inliers")))
+    return stand.select("frame", "label", F.lit("moving").alias("state")).unionByName(reset.select("frame", "label", F.lit("reset").alias("state")))

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointfold.operators.cut import cut
 from pointfold.operators.spatial import KEY, radius_pairs
-from pointfold.operators.surface import rays
+from pointfold.operators.surface import crossed
 
 #: what an error is where there is no inlier: the largest single-precision number
 NONE_ERROR = 3.4028234663852886e38
@@ -71,9 +72,9 @@ def scores(nearest: DataFrame, threshold: int) -> DataFrame:
 
 
 def hidden_shares(of: DataFrame, by: DataFrame) -> DataFrame:
-    """frame, label, share: of each label's voxels (key, label), those with any voxel of `by` (key) on their ray to the camera."""
+    """frame, label, share: of each label's places (frame, label and the key of their voxel), those whose line to the camera crosses a voxel of `by` (key). A voxel that several labels ask for is looked at once."""
     there = by.select("frame", *[F.col(f"k{a}").alias(f"o{a}") for a in "xyz"])
-    hid = rays(of).join(there, ["frame", "ox", "oy", "oz"], "left_semi").select(*KEY).distinct().withColumn("hid", F.lit(1.0))
+    hid = crossed(of.select(*KEY).distinct()).join(there, ["frame", "ox", "oy", "oz"], "left_semi").select(*KEY).distinct().withColumn("hid", F.lit(1.0))
     return of.join(hid, KEY, "left").groupBy("frame", "label").agg(F.avg(F.coalesce("hid", F.lit(0.0))).alias("share"))
 
 
@@ -150,7 +151,8 @@ def trials(prev: DataFrame, curr: DataFrame, centres: DataFrame, radius: int, n:
     enough = prev.groupBy(*GROUP).agg(F.count("*").alias("size"))
     first = rigid(pairs, *TRIAL).join(centres.select(*GROUP, *"xyz"), list(GROUP))
     found = inliers(first.select(*TRIAL, *[m.alias(a) for m, a in zip(moved(), "xyz", strict=True)]), prev, curr, radius, threshold)
-    good = found.groupBy(*TRIAL).agg(F.count("*").alias("maybe")).join(enough, list(GROUP)).where("maybe >= size div 4 AND maybe >= 6").checkpoint()
+    good = found.groupBy(*TRIAL).agg(F.count("*").alias("maybe")).join(enough, list(GROUP)).where("maybe >= size div 4 AND maybe >= 6")
+    good = cut(good)
     held = found.join(good.select(*TRIAL), list(TRIAL), "left_semi").join(curr.select("frame", F.col("kp_id").alias("t"), "desc", *[F.col(f"v{a}").alias(f"o_{a}") for a in "xyz"]), ["frame", "t"])
     old = good.select(*TRIAL).join(prev.select(*GROUP, "kp_id", *[F.col(f"v{a}").alias(a) for a in "xyz"], "desc"), list(GROUP))
 
@@ -174,7 +176,7 @@ def trials(prev: DataFrame, curr: DataFrame, centres: DataFrame, radius: int, n:
         return pd.DataFrame([[*[mine[c].iloc[0] for c in TRIAL], *fitted(h, p.mean(0), q.mean(0))]], columns=[*TRIAL, *RIGID])
 
     again = held.groupBy(*TRIAL).cogroup(old.groupBy(*TRIAL)).applyInPandas(refit, "frame long, label long, trial long, " + ", ".join(f"{c} double" for c in RIGID))
-    again = again.join(centres.select(*GROUP, *"xyz"), list(GROUP)).checkpoint()
+    again = cut(again.join(centres.select(*GROUP, *"xyz"), list(GROUP)))
     kept = inliers(again.select(*TRIAL, *[m.alias(a) for m, a in zip(moved(), "xyz", strict=True)]), prev, curr, radius, threshold)
     scored = kept.groupBy(*TRIAL).agg(F.count("*").alias("n"), F.avg("dist").alias("error")).join(good, list(TRIAL)).where("n >= maybe")
     score = F.expr("n div size") + 3 * (threshold - F.col("error")) / threshold
@@ -189,15 +191,15 @@ def best_trials(scores: DataFrame, by: tuple[str, ...] = GROUP) -> DataFrame:
     return scores.where("score > 0").groupBy(*by).agg(F.max(order).alias("m")).select(*by, "m.row.*")
 
 
-def matches(scored: DataFrame, found: DataFrame, lost: DataFrame, hidden: DataFrame) -> tuple[DataFrame, DataFrame]:
+def matches(scored: DataFrame, found: DataFrame, lost: DataFrame, hidden: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """From trials() for the lost labels (frame, label): the matches (as best_trials, moving), and frame, label of those to reset.
 
-    A match stands if hidden (frame, label, accepted) accepts it and none of its inliers belongs to a match of a smaller
-    label; so labels need no order in time, and no keypoint is used twice.
+    A match stands if hidden(best, its inliers) (frame, label, accepted) accepts it and none of its inliers belongs to the match of a smaller
+    label, be that accepted or not: a match that isn't accepted has used up its inliers. So labels need no order in time, and no keypoint is used twice.
     """
-    best = best_trials(scored).join(hidden.where("accepted").select(*GROUP), list(GROUP), "left_semi")
-    used = found.join(best.select(*TRIAL), list(TRIAL), "left_semi")
+    best = cut(best_trials(scored))
+    used = cut(found.join(best.select(*TRIAL), list(TRIAL), "left_semi"))
     first = used.groupBy("frame", "t").agg(F.min("label").alias("owner"))
     lose = used.join(first, ["frame", "t"]).where("owner < label").select(*GROUP).distinct()
-    stand = best.join(lose, list(GROUP), "left_anti")
+    stand = best.join(hidden(best, used).where("accepted").select(*GROUP), list(GROUP), "left_semi").join(lose, list(GROUP), "left_anti")
     return stand, lost.select(*GROUP).join(stand.select(*GROUP), list(GROUP), "left_anti")

@@ -150,6 +150,31 @@ def rays(voxels: DataFrame) -> DataFrame:
     return g.select(*KEY, F.explode(enters).alias("s")).select(*KEY, "s.distance", "s.ox", "s.oy", "s.oz").where("ox <> kx OR oy <> ky OR oz <> kz")
 
 
+def crossed(voxels: DataFrame, size: int = VOXEL) -> DataFrame:
+    """The key of each voxel with ox, oy, oz: the cells that the line from the camera to its middle crosses before it, from where the line is as deep as the grid's origin.
+
+    The line enters a cell at each plane between cells that it crosses, so its cells are those between crossings that follow one another: none is missed, however short the line is in it.
+    """
+    axes = [(a, (F.col(f"k{a}") + 0.5) * size + ORIGIN[a]) for a in "xyz"]
+    middle = {a: F.col(f"p{a}") for a in "xyz"}
+    v = voxels.select(*KEY, *[m.alias(f"p{a}") for a, m in axes]).where("kz >= 0 AND pz > 0")
+    first = F.lit(float(ORIGIN["z"])) / middle["z"]
+
+    def planes(a: str) -> Column:
+        """Where along the line (0: camera, 1: the voxel's middle) it crosses planes of this axis."""
+        start, end = F.floor((middle[a] * F.col("first") - ORIGIN[a]) / float(size)), F.col(f"k{a}")
+        low, high = F.least(start, end) + 1, F.greatest(start, end)
+        at = F.transform(F.sequence(low, high), lambda k: (k * float(size) + ORIGIN[a]) / middle[a])
+        return F.when(low <= high, at).otherwise(F.array().cast("array<double>"))
+
+    v = v.withColumn("first", first)
+    at = F.array_sort(F.array_distinct(F.concat(F.array("first", F.lit(1.0)), F.filter(F.concat(*map(planes, "xyz")), lambda t: (t > F.col("first")) & (t < 1.0)))))
+    between = F.transform(F.slice("at", F.lit(1), F.size("at") - 1), lambda t, i: (t + F.get("at", i + 1)) / 2)
+    cells = F.transform("between", lambda m: F.struct(*[F.floor((m * middle[a] - ORIGIN[a]) / float(size)).alias(f"o{a}") for a in "xyz"]))
+    out = v.withColumn("at", at).withColumn("between", between).select(*KEY, F.explode(cells).alias("c")).select(*KEY, "c.*")
+    return out.where("ox <> kx OR oy <> ky OR oz <> kz")
+
+
 def occluders(gone: DataFrame, occupied: DataFrame) -> DataFrame:
     """Key, distance (in voxels), ox, oy, oz: the first occupied voxel on the ray from a gone voxel to the camera; up to NEAR voxels away, only one that is new (occupied.is_new) counts. Cells are joined and the least step kept: linear in gone voxels."""
     o = occupied.select("frame", *[F.col(f"k{a}").alias(f"o{a}") for a in "xyz"], "is_new")

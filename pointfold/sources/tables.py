@@ -74,6 +74,32 @@ labelled AS (SELECT CAST(floor(kx/5.0)*100+floor(ky/5.0)*10+floor(kz/5.0) AS BIG
 parts AS (SELECT frame, label, {", ".join(f"{a}+{s}*frame {a}" for a, s in zip("xyz", PART_STEP))}, r, g, b FROM labelled, (SELECT unnest(range(7)) frame))"""
 
 
+#: For each part from which frame on it is elsewhere, its new x, y and z, and whether it turns by a quarter about z.
+JUMPS = {1: (2, "x+13", "y+9", "z+290", False), 2: (5, "x+4", "y+325", "z+2", False), 3: (3, "-y-110", "x+255", "z+43", True), 4: (5, "x-6", "y-310", "z+1", False)}
+#: The part that leaves, and when.
+LEAVES = (1, 6)
+
+
+def jumped(column: str) -> str:
+    """SQL for a column of jumps(): x, y, z, or nx, ny of the normals."""
+    to = {"x": 1, "y": 2, "z": 3}
+    turned = {"nx": "-ny", "ny": "nx"}
+    cases = [f"WHEN label={k} AND frame>={j[0]} THEN {j[to[column]] if column in to else turned[column]}" for k, j in JUMPS.items() if column in to or j[4]]
+    return f"CASE {' '.join(cases)} ELSE {column} END"
+
+
+def jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frame, pid, label, x, y, z, r, g, b, nx, ny, nz: all points in each of seven frames, with the slide undone; the four patches are parts, which jump, turn and hide one another's places at some frame, and one leaves. Normals are made of colours and turn with their part."""
+    p = points(spark, sf_dir).withColumn("x", F.col("x") - F.when(F.col("z") < 1000, 6 * F.col("frame")).otherwise(0))
+    p = p.withColumn("label", F.floor((F.col("z") - 900) / 60) + 1).withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))))
+    p = p.where(f"NOT (label = {LEAVES[0]} AND frame >= {LEAVES[1]})").withColumns({"nx": F.col("r") - 128, "ny": F.col("g") - 128, "nz": F.col("b") - 128})
+    return p.select("frame", "pid", "label", *[F.expr(jumped(a)).alias(a) for a in "xyz"], *"rgb", *[F.expr(jumped(a)).alias(a) for a in ("nx", "ny")], "nz")
+
+
+JUMPING = POINTS.replace("pts AS", "slid AS", 1) + f""", still AS (SELECT f.frame, pid, CAST(floor((z-900)/60.0)+1 AS BIGINT) label, CASE WHEN z<1000 THEN x-6*slid.frame ELSE x END x, y, z, r, g, b, r-128 nx, g-128 ny, b-128 nz FROM slid, (SELECT unnest(range(7)) frame) f),
+pts AS (SELECT frame, pid, label, {", ".join(f"{jumped(a)} {a}" for a in "xyz")}, r, g, b, {", ".join(f"{jumped(a)} {a}" for a in ("nx", "ny"))}, nz FROM still WHERE NOT (label={LEAVES[0]} AND frame>={LEAVES[1]}))"""
+
+
 def moves(spark: SparkSession, sf_dir: str, window: int = 20) -> DataFrame:
     """frame, label: parts that move."""
     e = read(spark, sf_dir, "events").where("event_type = 'click'")

@@ -1,6 +1,7 @@
 """Keypoints, trials and growth on small clouds made by hand, against plain Python."""
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -138,12 +139,64 @@ def test_trials_against_plain_python(spark):
         held.setdefault((x.label, x.trial), set()).add(x.t)
     assert all(held[k] == s for k, s in sets.items())
     lost = spark.createDataFrame([(1, 4), (1, 9)], "frame long, label long")
-    stand, reset = matching.matches(scored, found, lost, lost.withColumn("accepted", F.lit(True)))
+    stand, reset = matching.matches(scored, found, lost, lambda best, used: lost.withColumn("accepted", F.lit(True)))
     assert ([x.label for x in stand.collect()], [x.label for x in reset.collect()]) == ([4], [9])
-    stand, reset = matching.matches(scored, found, lost, lost.withColumn("accepted", F.col("label") == 9))
+    stand, reset = matching.matches(scored, found, lost, lambda best, used: lost.withColumn("accepted", F.col("label") == 9))
     assert (stand.count(), reset.count()) == (0, 2)
 
 
+def test_a_match_that_is_not_accepted_uses_up_its_inliers(spark):
+    rows = [(1, 3, 0, 1.0), (1, 5, 2, 2.0), (1, 7, 1, 0.5)]
+    scored = spark.createDataFrame(rows, "frame long, label long, trial long, score double")
+    found = spark.createDataFrame([(1, 3, 0, 10), (1, 3, 0, 11), (1, 5, 2, 11), (1, 5, 2, 12), (1, 7, 1, 13)], "frame long, label long, trial long, t long")
+    lost = scored.select("frame", "label")
+    refused = lambda best, used: best.select("frame", "label", (F.col("label") != 3).alias("accepted"))
+    stand, reset = matching.matches(scored, found, lost, refused)
+    assert [x.label for x in stand.collect()] == [7]
+    assert sorted(x.label for x in reset.collect()) == [3, 5]
+
+
+def walked(cell):
+    """Cells on the line from the camera to a voxel's middle, by stepping over the next plane crossed; exact, in fractions."""
+    origin = [surface.ORIGIN[a] for a in "xyz"]
+    p = [Fraction(2 * k + 1, 2) * 40 + o for k, o in zip(cell, origin, strict=True)]
+    t = Fraction(origin[2]) / p[2]
+    at = [math.floor((t * v - o) / 40) for v, o in zip(p, origin, strict=True)]
+    step = [1 if v > 0 else -1 for v in p]
+    out = []
+    while at != list(cell):
+        ahead = [((k + (s > 0)) * 40 + o) / v for k, s, o, v in zip(at, step, origin, p, strict=True)]
+        if min(ahead) > t:  # a line that starts on a plane isn't in the cell before it
+            out.append(tuple(at))
+        t = min(ahead)
+        at = [k + s * (x == t) for k, s, x in zip(at, step, ahead, strict=True)]
+    return out
+
+
+def test_lines_cross_every_cell(spark):
+    cells = [(0, 3, 2, 12), (0, 19, 14, 11), (0, 0, 0, 0), (0, 10, 9, 5), (0, 2, 13, 7), (0, 17, 0, 9)]
+    v = spark.createDataFrame(cells, "frame long, kx long, ky long, kz long")
+    got: dict = {}
+    for r in surface.crossed(v).collect():
+        got.setdefault((r.kx, r.ky, r.kz), set()).add((r.ox, r.oy, r.oz))
+    walk = {(r.kx, r.ky, r.kz, r.ox, r.oy, r.oz) for r in surface.rays(v).collect()}
+    missed = 0
+    for _, *k in cells:
+        want = set(walked(tuple(k)))
+        assert got.get(tuple(k), set()) == want
+        missed += sum((*k, *c) not in walk for c in want)
+    assert missed  # steps of a quarter voxel jump over some
+
+
+def test_hidden_shares_by_lines(spark):
+    at = (4, 3, 11)
+    between = walked(at)[2]
+    of = spark.createDataFrame([(0, 1, *at), (0, 1, *at), (0, 1, 12, 9, 11), (0, 2, *at)], "frame long, label long, kx long, ky long, kz long")
+    by = spark.createDataFrame([(0, *between), (0, *at), (1, *walked((12, 9, 11))[0])], "frame long, kx long, ky long, kz long")
+    got = {r.label: r.share for r in matching.hidden_shares(of, by).collect()}
+    assert got == {1: pytest.approx(2 / 3), 2: 1.0}
+
+
 def test_growth_with_real_normals_against_plain_python(spark):
     """Two planes that meet in an edge, with their own normals: rounds as in the docstring."""
     cells = [(0, i, j, 5) for i in range(7) for j in range(5)] + [(0, 7, j, k) for j in range(5) for k in range(6, 10)]
