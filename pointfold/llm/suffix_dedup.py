@@ -1,9 +1,9 @@
 """Operator 1: exact repeats of byte strings, by suffix arrays of shards of candidate text.
 
 Candidates are the stretches around winnowed anchors that occur more than once (repeats.py), one of each distinct
-stretch, with the number of its places as its weight. Suffix arrays of shards of them, by Larsson-Sadakane
-refinement, with Kasai's common prefixes, give the classes of equal windows; a group of stretches that needs several
-shards has their classes merged by binary search. A window is repeated where its class weighs more than one.
+stretch, and twice if it has several places, so that the arrays find its windows equal like any others. Suffix arrays of
+shards of them, by Larsson-Sadakane refinement, with Kasai's common prefixes, give the classes of equal windows; a group of stretches
+that needs several shards has their classes merged by binary search. A window is repeated where its class has more than one.
 
 Result for odd input: null text counts as empty; texts shorter than the window keep everything; rows that
 repeat (same doc_id and text) are documents of their own, so their texts repeat each other; rows that share only
@@ -38,28 +38,27 @@ def byte_symbols(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Pieces:
-    """Distinct stretches of one anchor: text, weight (places that hold it) and the (row, largest d) of its first window."""
+    """Stretches of one anchor: text, and the row and largest d of its first window (no row for a second copy)."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[int, int]] = []
+        self.rows: list[tuple[int | None, int]] = []
         self.text: list[bytes] = []
-        self.weight: list[int] = []
 
 
 def by_anchor(rows: list[dict]) -> list[Pieces]:
     out: dict[int, Pieces] = {}
     for i, r in enumerate(rows):
         p = out.setdefault(r["h"], Pieces())
-        p.rows.append((i, r["d1"]))
-        p.text.append(r["bytes"])
-        p.weight.append(r["n"])
+        for copy in range(min(r["n"], 2)):
+            p.rows.append((None if copy else i, r["d1"]))
+            p.text.append(r["bytes"])
     return list(out.values())
 
 
 class Shard:
     """A suffix array over pieces; classes of equal windows by Kasai's common prefixes."""
 
-    def __init__(self, texts: list[bytes], weights: list[int], length: int) -> None:
+    def __init__(self, texts: list[bytes], length: int) -> None:
         self.text = np.frombuffer(b"".join(texts), np.uint8)
         sizes = np.array([len(x) for x in texts])
         self.base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -75,10 +74,10 @@ class Shard:
         new[1:] = np.diff(self.cls) != 0
         self.cls = np.cumsum(new) - 1
         self.heads = self.starts[new]  # sorted: one suffix of each class, for the binary search
-        self.weight = np.bincount(self.cls, np.array(weights)[self.piece]).astype(np.int64)
+        self.weight = np.bincount(self.cls)
 
     def meet(self, other: Shard, length: int) -> None:
-        """Weights of the windows that both shards hold, added up in both."""
+        """Numbers of the windows that both shards hold, added up in both."""
         slot = suffix.find(self.text, self.heads, other.text, other.heads, length)
         here, there = slot[slot >= 0], np.flatnonzero(slot >= 0)
         a, b = self.own[here], other.own[there]
@@ -92,33 +91,33 @@ class Shard:
 def repeated_windows(pieces: list[Pieces], length: int, shard_bytes: int) -> Iterator[tuple[int, int, int]]:
     """(row, d low, d high) of windows that recur. Groups of one anchor are never compared with others; small ones share a shard."""
 
-    def parts() -> Iterator[list[tuple[list, list, list]]]:
-        room: tuple[list, list, list] = ([], [], [])
+    def parts() -> Iterator[list[tuple[list, list]]]:
+        room: tuple[list, list] = ([], [])
         size = 0
         for p in pieces:
             total = sum(map(len, p.text))
             if total > shard_bytes:
                 cuts = np.cumsum([len(x) for x in p.text]) // shard_bytes
                 ends = [*np.flatnonzero(np.diff(cuts)) + 1, len(cuts)]
-                yield [(p.rows[a:b], p.text[a:b], p.weight[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                yield [(p.rows[a:b], p.text[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                 continue
             if size + total > shard_bytes:
                 yield [room]
-                room, size = ([], [], []), 0
-            for to, x in zip(room, (p.rows, p.text, p.weight), strict=True):
+                room, size = ([], []), 0
+            for to, x in zip(room, (p.rows, p.text), strict=True):
                 to += x
             size += total
         if room[0]:
             yield [room]
 
     for group in parts():
-        shards = [Shard(t, w, length) for _, t, w in group]
+        shards = [Shard(t, length) for _, t in group]
         for s in shards:
             s.seal()
         for j, s in enumerate(shards):
             for earlier in shards[:j]:
                 earlier.meet(s, length)
-        for s, (rows, _, _) in zip(shards, group, strict=True):
+        for s, (rows, _) in zip(shards, group, strict=True):
             hit = s.weight[s.cls] > 1
             at = np.sort(s.starts[hit])
             piece = np.searchsorted(s.base, at, side="right") - 1
@@ -130,6 +129,8 @@ def repeated_windows(pieces: list[Pieces], length: int, shard_bytes: int) -> Ite
             last = np.append(first[1:], len(at)) - 1
             for a, b, p in zip(at[first].tolist(), at[last].tolist(), piece[first].tolist(), strict=True):
                 i, hi = rows[p]
+                if i is None:
+                    continue
                 base = int(s.base[p])
                 yield i, hi - (b - base), hi - (a - base)
 

@@ -66,10 +66,42 @@ def test_nothing_is_removed_without_the_arrays(spark, monkeypatch):
 
     docs = suffix_dedup.keyed(spark.createDataFrame(list(enumerate(corpus(1))), "doc_id long, text string"))
     assert suffix_dedup.repeated_spans(docs, 100).count() > 0
-    monkeypatch.setattr(suffix_dedup, "by_anchor", lambda rows: [])
+
+    def blind(pieces, length, shard_bytes):
+        """In a task: the same stretches through the same code; but no suffix is found equal to another."""
+        from pointfold.llm import suffix_dedup as m
+
+        class Blind(m.Shard):
+            def __init__(self, texts, length):
+                super().__init__(texts, length)
+                self.cls, self.heads = np.arange(len(self.starts)), self.starts
+                self.weight = np.ones(len(self.starts), np.int64)
+
+            def meet(self, other, length):
+                pass
+
+        seeing, m.Shard = m.Shard, Blind
+        try:
+            yield from m.repeated_windows(pieces, length, shard_bytes)
+        finally:
+            m.Shard = seeing
+
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", blind)
     assert suffix_dedup.repeated_spans(docs, 100).count() == 0
 
 
+def test_copies_in_different_shards_meet_by_binary_search():
+    from pointfold.llm import suffix_dedup
+
+    r = np.random.default_rng(5)
+    texts = [bytes(r.integers(97, 101, 300).astype(np.uint8)) for _ in range(40)]
+    rows = [{"h": 7, "d1": 250, "bytes": t, "n": 1 + i % 3} for i, t in enumerate(texts)] + [{"h": 7, "d1": 9, "bytes": texts[0][:150] + texts[3][150:], "n": 1}]
+    whole = sorted(suffix_dedup.repeated_windows(suffix_dedup.by_anchor(rows), 60, 10**9))
+    assert {i for i, *_ in whole} == {i for i in range(40) if i % 3} | {0, 3, 40}
+    for size in (700, 1500):  # pieces of two or five, so copies and prefixes lie in different shards
+        assert sorted(suffix_dedup.repeated_windows(suffix_dedup.by_anchor(rows), 60, size)) == whole
+
+
 def test_query_against_brute_force(spark, tmp_path):
     import pyarrow.parquet as pq
 
