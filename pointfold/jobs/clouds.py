@@ -287,6 +287,21 @@ def c3_objects(spark, sf_dir):
     return comovement.objects(t.moves(spark, sf_dir), t.resets(spark, sf_dir))
 
 
+#: Part after part: stars of the smallest free part and its partners, then one pass that merges into each star what shares a part with it.
+GREEDY = f"""WITH RECURSIVE {COUNTERS}, e AS (SELECT a, b FROM cnt WHERE cnt>0 UNION SELECT b, a FROM cnt WHERE cnt>0),
+parts AS (SELECT part, list(b) FILTER (WHERE b IS NOT NULL) partners, row_number() OVER (ORDER BY part) i FROM (SELECT DISTINCT m.label part FROM moves m LEFT JOIN lr USING (label) WHERE m.frame>=coalesce(f,0)) LEFT JOIN e ON a=part GROUP BY part),
+pick AS (SELECT CAST(0 AS BIGINT) i, CAST([] AS BIGINT[]) gone, CAST([] AS BIGINT[]) centres UNION ALL SELECT p.i, CASE WHEN list_contains(gone, part) THEN gone ELSE list_concat(list_append(gone, part), coalesce(partners, [])) END, CASE WHEN list_contains(gone, part) THEN centres ELSE list_append(centres, part) END FROM pick JOIN parts p ON p.i=pick.i+1),
+star AS (SELECT part c, list_append(coalesce(partners, []), part) m, row_number() OVER (ORDER BY part) i FROM parts WHERE list_contains((SELECT centres FROM pick ORDER BY i DESC LIMIT 1), part)),
+pass AS (SELECT CAST(0 AS BIGINT) i, (SELECT list({{'c': c, 'm': m}} ORDER BY c) FROM star) segs UNION ALL SELECT s.i, CASE WHEN len(list_filter(segs, lambda x: x.c=s.c))=0 THEN segs ELSE list_append(list_filter(segs, lambda x: x.c<>s.c AND NOT list_has_any(x.m, s.m)), {{'c': s.c, 'm': flatten(list_transform(list_filter(segs, lambda x: x.c=s.c OR list_has_any(x.m, s.m)), lambda x: x.m))}}) END FROM pass JOIN star s ON s.i=pass.i+1)
+SELECT DISTINCT seg.c object_id, unnest(seg.m) part FROM (SELECT unnest(segs) seg FROM (SELECT segs FROM pass ORDER BY i DESC LIMIT 1))"""
+
+
+@query(GREEDY)
+def c4_greedy_objects(spark, sf_dir):
+    """Objects as one part after another finds them, with one pass of merging."""
+    return comovement.greedy_objects(t.moves(spark, sf_dir), t.resets(spark, sf_dir))
+
+
 @query(f"SELECT object_id, count(*) parts FROM ({OBJECTS}) GROUP BY object_id UNION ALL SELECT NULL, count(*) FROM ({OBJECTS})")
 def a14_object_sizes(spark, sf_dir):
     """Parts of each object, and of all (without an object)."""

@@ -73,6 +73,27 @@ def a11_descriptors(spark, sf_dir):
     return d.select("frame", "label", "kp_id", F.array_join(F.transform("desc", lambda x: F.round(x * 1000).cast("long").cast("string")), " ").alias("descriptor"))
 
 
+#: Gradients of the voxels' intensity, the sum of their colours, in the plane of the camera; and the histograms of them.
+SUMS = ("xx", "xy", "xz", "yy", "yz", "zz", "xi", "yi", "zi")
+GRADIENT = f"""tone AS (SELECT *, r+g+b intensity FROM l), pr AS (SELECT a.frame, a.kx, a.ky, a.kz, b.x-a.x x, b.y-a.y y, b.z-a.z z, b.intensity i FROM tone a JOIN tone b ON a.frame=b.frame AND {D2}<={RADIUS * RADIUS}),
+sm AS (SELECT frame, kx, ky, kz, {", ".join(f"CAST(count(*)*sum({a}*{b})-sum({a})*sum({b}) AS DOUBLE) m{a}{b}" for a, b in SUMS)} FROM pr GROUP BY frame, kx, ky, kz),
+co AS (SELECT *, myy*mzz-myz*myz a0, mxz*myz-mxy*mzz a1, mxy*myz-mxz*myy a2, mxx*mzz-mxz*mxz b1, mxy*mxz-mxx*myz b2, mxx*myy-mxy*mxy c2 FROM sm), dt AS (SELECT *, mxx*a0+mxy*a1+mxz*a2 det FROM co),
+gr AS (SELECT frame, kx, ky, kz, (a0*mxi+a1*myi+a2*mzi)/det gx, (a1*mxi+b1*myi+b2*mzi)/det gy FROM dt WHERE det<>0),
+nb AS (SELECT a.frame, a.kx, a.ky, a.kz, sqrt(CAST({D2} AS DOUBLE)) far, (b.x-a.x)*g.gx+(b.y-a.y)*g.gy along, sqrt(g.gx*g.gx+g.gy*g.gy) size FROM l a JOIN l b ON a.frame=b.frame AND {D2}<={RADIUS * RADIUS} AND {D2}>0 JOIN gr g ON g.frame=b.frame AND g.kx=b.kx AND g.ky=b.ky AND g.kz=b.kz),
+bn AS (SELECT *, far/{RADIUS}*4 ring, acos(greatest(least(along/(far*size), 1.0), -1.0))/pi()*8 turn FROM nb WHERE size>0),
+hs AS (SELECT frame, kx, ky, kz, {", ".join(f"sum(greatest(1-abs(ring-{i}), 0.0)*greatest(1-abs(turn-{j}), 0.0)*size) g{i}{j}" for i in range(4) for j in range(8))} FROM bn GROUP BY frame, kx, ky, kz), hl AS (SELECT *, sqrt({"+".join(f"g{i}{j}*g{i}{j}" for i in range(4) for j in range(8))}) length FROM hs)"""
+
+
+@query(f"WITH {LABELS}, {GRADIENT} SELECT frame, kx, ky, kz, {', '.join(f'round(CASE WHEN length>0 THEN g{i}{j}/length ELSE 0 END, 6) g{i}{j}' for i in range(4) for j in range(8))} FROM hl")
+def a18_gradient_histograms(spark, sf_dir):
+    """Rotation-invariant histograms, 4 distances by 8 angles, of how intensity (the sum of colours) grows around voxels; normals point to the camera."""
+    v = labelled(spark, sf_dir).withColumn("intensity", F.col("r") + F.col("g") + F.col("b")).withColumns({"nx": F.lit(0.0), "ny": F.lit(0.0), "nz": F.lit(1.0)})
+    v = cut(v)
+    g = ds.gradients(v, RADIUS).join(v.select(*KEY, *"xyz"), KEY)
+    h = ds.gradient_histograms(v, g, RADIUS)
+    return h.select(*KEY, *[F.round(n, 6).alias(n) for n in ds.GRADIENTS])
+
+
 LEAST = 3
 #: Voxels of the scene whose parts jump, and labels none of whose voxels is seen any more, by the first frame without them.
 JUMPED = f"""{t.JUMPING}, l AS (SELECT frame, kx, ky, kz, count(*) n, {", ".join(f"CAST(floor(sum({a})/count(*)) AS BIGINT) {a}" for a in "xyzrgb")}, min(label) label FROM (SELECT *, {KEYS} FROM pts WHERE x BETWEEN -400 AND 400 AND y BETWEEN -350 AND 250 AND z BETWEEN 800 AND 1300) GROUP BY frame, kx, ky, kz),

@@ -1,6 +1,7 @@
 import random
 
-from pointfold.operators.comovement import counters, objects
+from pointfold.operators.components import connected
+from pointfold.operators.comovement import counters, greedy_groups, objects
 from pointfold.streaming import counters as by_pair
 
 
@@ -80,3 +81,38 @@ def test_blocks_of_frames_equal_the_closed_form(spark):
     want = {(x.a, x.b): x.cnt for x in counters(m, z).collect()}
     assert {(x.a, x.b): x.cnt for x in by_pair.folded(m, z, 7).collect()} == want == stateful(moves, resets, 29)
     assert by_pair.folded(m.limit(0), z.limit(0), 7).count() == 0
+
+
+def plain_groups(pairs, parts):
+    """Stars in order, then one pass over them."""
+    near = {p: {b for a, b in pairs if a == p} | {a for a, b in pairs if b == p} for p in parts}
+    free, stars = sorted(parts), []
+    while free:
+        p = free[0]
+        stars.append((p, {p} | near[p]))
+        free = [x for x in free if x not in stars[-1][1]]
+    held = dict(stars)
+    for c, first in stars:
+        if c in held:
+            for other in [o for o in held if o != c and held[o] & first]:
+                held[c] = held[c] | held.pop(other)
+    return {(c, p) for c, s in held.items() for p in s}
+
+
+def test_greedy_groups_against_plain_python(spark):
+    differ = 0
+    for seed, n, m in ((0, 6, 0), (1, 25, 25), (2, 30, 24), (3, 14, 40), (4, 40, 30)):
+        r = random.Random(seed)
+        pairs = sorted({tuple(sorted(r.sample(range(1, n + 1), 2))) for _ in range(m)}) or [(i, i + 1) for i in range(1, n)]
+        parts = list(range(1, n + 1))
+        p = spark.createDataFrame(pairs, "a long, b long")
+        got = {(x.object_id, x.part) for x in greedy_groups(p, spark.createDataFrame([(x,) for x in parts], "node long")).collect()}
+        assert got == plain_groups(pairs, parts)
+        groups = {frozenset(q for c, q in got if c == o) for o, _ in got}
+        whole: dict = {}
+        for x in connected(p).collect():
+            whole.setdefault(x.root, {x.root}).add(x.node)
+        differ += groups != {frozenset(s) for s in whole.values()} | {frozenset({q}) for q in parts if not any(q in s for s in whole.values())}
+    assert differ  # one pass isn't the same as components
+    none = spark.createDataFrame([], "a long, b long")
+    assert greedy_groups(none, none.selectExpr("a AS node")).count() == 0
