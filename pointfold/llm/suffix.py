@@ -21,8 +21,11 @@ def words8(text: np.ndarray) -> np.ndarray:
     return v
 
 
-def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of text (uint8) by their first `depth` bytes (at least 8), and which slots are tied with the one before. Starts from 8 bytes and doubles; only groups that are still tied are sorted again."""
+def suffix_array(text: np.ndarray, depth: int, past: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of text (uint8) by their first `depth` bytes (at least 8), and which slots are tied with the one before. Starts from 8 bytes and doubles; only groups that are still tied are sorted again.
+
+    past: how far each position lies beyond the last one, at or before it, whose order is wanted. It is then ordered by that much less only, as no wanted one looks further; it may lie anywhere in its group, and so parts nothing that is tied.
+    """
     n = len(text)
     v = words8(text)
     sa = np.argsort(v)
@@ -37,6 +40,8 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(slots):
             break
         step = min(h, depth - h)
+        if past is not None:
+            slots = slots[past[sa[slots]] + h + step <= depth]
         pos = sa[slots]
         key = rank[pos] * (n + 1) + np.where(pos + step < n, rank[np.minimum(pos + step, n - 1)] + 1, 0)
         order = np.argsort(key)
@@ -65,8 +70,8 @@ def common_prefix(text8: np.ndarray, other8: np.ndarray, a: np.ndarray, b: np.nd
     return np.minimum(got, most)
 
 
-def kasai(text: np.ndarray, sa: np.ndarray, tied: np.ndarray, most: int, lane: int = 32) -> np.ndarray:
-    """Common prefix, up to `most`, of each suffix with the one before it in sa. In text order the value falls by one at most, so each comparison starts where the last one ended; `lane` long stretches of the text go side by side. Tied suffixes share `most` bytes, and nothing follows from their order."""
+def kasai(text: np.ndarray, sa: np.ndarray, tied: np.ndarray, most: int, wanted: np.ndarray | None = None, lane: int = 32) -> np.ndarray:
+    """Common prefix, up to `most`, of each suffix with the one before it in sa. In text order the value falls by one at most, so each comparison starts where the last one ended; `lane` long stretches of the text go side by side. Tied suffixes share `most` bytes, and nothing follows from their order; those that aren't wanted, if given, have 0."""
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
@@ -84,6 +89,9 @@ def kasai(text: np.ndarray, sa: np.ndarray, tied: np.ndarray, most: int, lane: i
         got = np.where(j >= 0, got, 0)
         got = np.where(whole[i], most, got)
         ok = (j >= 0) & ~whole[i]
+        if wanted is not None:
+            ok &= wanted[i]
+            got = np.where(ok | whole[i], got, 0)
         if ok.any():
             got[ok] = common_prefix(v, v, i[ok], j[ok], got[ok], most)
         out[i] = got

@@ -26,7 +26,7 @@ from pointfold.llm.common import TABLE, in_batches, table, written
 from pointfold.llm.repeats import at_places, contexts, decided, fetched, keyed, merged, places, spans_by_document
 
 #: Bytes of one suffix array's text; a larger group has several and is merged by binary search.
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 1_000_000
 #: Contexts of one anchor that go to one task; more are grouped anew by what fewer windows share.
 GROUP_MOST = 16_384
 WIDTHS = (32, 1)
@@ -62,12 +62,12 @@ class Shard:
         self.text = np.frombuffer(b"".join(texts), np.uint8)
         sizes = np.array([len(x) for x in texts])
         self.base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        valid = np.zeros(len(self.text), bool)
         piece = np.repeat(np.arange(len(texts)), sizes)
-        valid[np.arange(len(self.text)) <= (self.base + sizes - length)[piece]] = True
-        sa, tied = suffix.suffix_array(self.text, length)
-        lcp = suffix.kasai(self.text, sa, tied, length)
-        cls = np.cumsum(lcp < length)
+        past = np.maximum(np.arange(len(self.text)) - (self.base + sizes - length)[piece], 0)
+        valid = past == 0
+        sa, tied = suffix.suffix_array(self.text, length, past)
+        lcp = suffix.kasai(self.text, sa, tied, length, valid)
+        cls = np.cumsum((lcp < length) | ~tied)
         keep = valid[sa]
         self.starts, self.cls, self.piece = sa[keep], cls[keep], piece[sa[keep]]
         new = np.ones(len(self.starts), bool)
