@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pointfold.functions import columns as c
 from pointfold.jobs.base import COUNTERS, EDGES, KEYS, VOX, box, query, shared, voxels
 from pointfold.operators import comovement, forest, matching, spatial
-from pointfold.sources import pcd
+from pointfold.operators.cut import cut, folder
+from pointfold.sources import pcd, pcd_source
 from pointfold.sources import tables as t
 from pointfold.streaming import counters as by_pair
 
@@ -43,6 +44,19 @@ def s4_cloud_text(spark, sf_dir):
     return pcd.parsed(head.union(data), ["x", "y", "z", "rgb"])
 
 
+@query(f"WITH {t.POINTS} SELECT frame, pid, CAST(x AS DOUBLE) x, CAST(y AS FLOAT) y, z, CAST(r AS INTEGER) r, g, b, CAST(nz AS VARCHAR) pair FROM (SELECT *, x*1000+y nz FROM pts)")
+def s4_cloud_files(spark, sf_dir):
+    """The points written to files, frame by frame as text, as records or as compressed columns, and read back from all of them; x, y and a field of two numbers among their columns."""
+    p = t.points(spark, sf_dir).select("frame", "pid", F.col("x").cast("double").alias("x"), F.col("y").cast("float").alias("y"), "z", F.col("r").cast("int").alias("r"), "g", "b", F.array("x", "y").alias("at"))
+    spark.dataSource.register(pcd_source.PointClouds)
+    path = folder(spark, "clouds")
+    p = cut(p)
+    for i, encoding in enumerate(("ascii", "binary", "binary_compressed")):
+        p.where(F.col("frame") % 3 == i).write.format("pointcloud").option("encoding", encoding).mode("append").save(path)
+    back = spark.read.format("pointcloud").load(path)
+    return back.select("frame", "pid", "x", "y", "z", "r", "g", "b", (F.col("at")[0] * 1000 + F.col("at")[1]).cast("string").alias("pair"))
+
+
 @query(f"WITH {t.MOVES} SELECT frame, string_agg(CAST(label AS VARCHAR) || ';', '' ORDER BY label) || ',' || count(*) || ',' line FROM moves GROUP BY frame UNION ALL SELECT -1, 'lost_labels,total,'")
 def s6_csv_rows(spark, sf_dir):
     """Lines of a report: a header, then for each frame its labels, each with a semicolon, and their number."""

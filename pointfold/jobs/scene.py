@@ -93,17 +93,36 @@ def a2_input_normals(spark, sf_dir):
     return g.where("a <> 0 OR b <> 0 OR c <> 0").select(*KEY, *[F.round(F.col(s) / length, 9).alias(n) for s, n in zip("abc", ("nx", "ny", "nz"), strict=True)], "curvature")
 
 
-@query()
+#: Normals (nrm) of the voxels (vox) and their neighbours (edges): sums over two rings, the least eigenvalue of their covariance by its closed form, and the longest cross product of two rows.
+NORMALS = """ring AS (SELECT frame, kx, ky, kz, kx nx, ky ny, kz nz FROM vox UNION ALL SELECT * FROM edges UNION ALL SELECT e.frame, e.kx, e.ky, e.kz, f.nx, f.ny, f.nz FROM edges e JOIN edges f ON f.frame=e.frame AND f.kx=e.nx AND f.ky=e.ny AND f.kz=e.nz),
+flr AS (SELECT frame, kx, ky, kz, CAST(floor(x) AS BIGINT) x, CAST(floor(y) AS BIGINT) y, CAST(floor(z) AS BIGINT) z FROM vox),
+mom AS (SELECT r.frame, r.kx, r.ky, r.kz, count(*) n, sum(x) sx, sum(y) sy, sum(z) sz, sum(x*x) xx, sum(x*y) xy, sum(x*z) xz, sum(y*y) yy, sum(y*z) yz, sum(z*z) zz FROM ring r JOIN flr w ON w.frame=r.frame AND w.kx=r.nx AND w.ky=r.ny AND w.kz=r.nz GROUP BY r.frame, r.kx, r.ky, r.kz),
+cov AS (SELECT frame, kx, ky, kz, CAST(n*xx-sx*sx AS DOUBLE)/(n::DOUBLE*n) xx, CAST(n*xy-sx*sy AS DOUBLE)/(n::DOUBLE*n) xy, CAST(n*xz-sx*sz AS DOUBLE)/(n::DOUBLE*n) xz, CAST(n*yy-sy*sy AS DOUBLE)/(n::DOUBLE*n) yy, CAST(n*yz-sy*sz AS DOUBLE)/(n::DOUBLE*n) yz, CAST(n*zz-sz*sz AS DOUBLE)/(n::DOUBLE*n) zz FROM mom),
+mid AS (SELECT *, (xx+yy+zz)/3 q FROM cov), par AS (SELECT *, xx-q a, yy-q b, zz-q c, sqrt(((xx-q)*(xx-q)+(yy-q)*(yy-q)+(zz-q)*(zz-q)+2*(xy*xy+xz*xz+yz*yz))/6) p FROM mid),
+eig AS (SELECT *, q+2*p*cos(acos(CASE WHEN p>0 THEN greatest(least((a*(b*c-yz*yz)-xy*(xy*c-yz*xz)+xz*(xy*yz-b*xz))/(2*p*p*p), 1.0), -1.0) ELSE 1.0 END)/3+2*pi()/3) e FROM par),
+crs AS (SELECT frame, kx, ky, kz, q, e, unnest([{'x': xy*yz-xz*(yy-e), 'y': xz*xy-(xx-e)*yz, 'z': (xx-e)*(yy-e)-xy*xy}, {'x': xy*(zz-e)-xz*yz, 'y': xz*xz-(xx-e)*(zz-e), 'z': (xx-e)*yz-xy*xz}, {'x': (yy-e)*(zz-e)-yz*yz, 'y': yz*xz-xy*(zz-e), 'z': xy*yz-(yy-e)*xz}]) v FROM eig),
+lng AS (SELECT frame, kx, ky, kz, q, e, v.x vx, v.y vy, v.z vz, v.x*v.x+v.y*v.y+v.z*v.z len FROM crs QUALIFY row_number() OVER (PARTITION BY frame, kx, ky, kz ORDER BY v.x*v.x+v.y*v.y+v.z*v.z DESC, v.x DESC, v.y DESC, v.z DESC)=1),
+twd AS (SELECT l.*, CASE WHEN vx*x+vy*y+vz*z>0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END s FROM lng l JOIN flr USING (frame, kx, ky, kz)),
+nrm AS (SELECT frame, kx, ky, kz, CASE WHEN len>0 THEN vx*s/sqrt(len) ELSE 0.0 END nx, CASE WHEN len>0 THEN vy*s/sqrt(len) ELSE 0.0 END ny, CASE WHEN len>0 THEN vz*s/sqrt(len) ELSE 0.0 END nz, CASE WHEN q>0 THEN greatest(e, 0.0)/(3*q) ELSE 0.0 END curvature FROM twd)"""
+
+
+@query(f"WITH {EDGES}, {NORMALS} SELECT frame, kx, ky, kz, round(nx, 6)+0.0 nx, round(ny, 6)+0.0 ny, round(nz, 6)+0.0 nz, round(curvature, 6)+0.0 curvature FROM nrm")
 def a3_normals(spark, sf_dir):
     """Normals and curvature over two rings of neighbours."""
     n = _normals(spark, sf_dir)
-    return n.select(*KEY, *[F.round(x, 9).alias(x) for x in ("nx", "ny", "nz", "curvature")])
+    return n.select(*KEY, *[(F.round(x, 6) + 0.0).alias(x) for x in ("nx", "ny", "nz", "curvature")])
 
 
-@query()
+TILTED = EDGES.replace("pts AS", "flat AS", 1).replace("box AS (", "pts AS (SELECT * REPLACE (CASE WHEN z BETWEEN 1020 AND 1079 THEN z+(frame%2*2-1)*CAST(floor((x+205)/2.0) AS BIGINT) ELSE z END AS z) FROM flat), box AS (", 1)
+
+
+@query(f"WITH {TILTED}, {NORMALS} SELECT a.frame, a.kx, a.ky, a.kz, 1-(a.nx*p.nx+a.ny*p.ny+a.nz*p.nz)>=0.2 AS changed FROM nrm a JOIN nrm p ON p.frame=a.frame-1 AND p.kx=a.kx AND p.ky=a.ky AND p.kz=a.kz")
 def x5_change_flags(spark, sf_dir):
-    """Voxels seen in a frame and the one before, whose normal turned by 0.2 or more of its cosine."""
-    n = _normals(spark, sf_dir).drop("curvature")
+    """Voxels seen in a frame and the one before, whose normal turned by 0.2 or more of its cosine; one of the patches tilts to and fro."""
+    tilt = (F.col("frame") % 2 * 2 - 1) * F.floor((F.col("x") + 205) / 2)
+    p = spatial.crop(t.points(spark, sf_dir).withColumn("z", F.col("z") + F.when(F.col("z").between(1020, 1079), tilt).otherwise(0)))
+    v = cut(spatial.voxels(p).select(*KEY, *[F.floor(a).alias(a) for a in "xyz"]))
+    n = cut(surface.normals(spatial.two_ring_sums(v, spatial.adjacency(v)), v).drop("curvature"))
     before = n.select((F.col("frame") + 1).alias("frame"), "kx", "ky", "kz", *[F.col(x).alias(f"prev_{x}") for x in ("nx", "ny", "nz")])
     flag = c.changed([F.col(x) for x in ("nx", "ny", "nz")], [F.col(f"prev_{x}") for x in ("nx", "ny", "nz")])
     return n.join(before, KEY).select(*KEY, flag.alias("changed"))

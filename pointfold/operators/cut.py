@@ -21,12 +21,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    shared(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def by_column(df: DataFrame, column: str) -> tuple[DataFrame, Callable[[], None]]:
     """df, written to the shared folder in a part for each value of the column, so that a filter on it reads that part only; and what removes it."""
     spark = df.sparkSession
-    shared(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{column}-{uuid.uuid4().hex}"
+    path = folder(spark, column)
     df.repartition(column).write.partitionBy(column).parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    drop = lambda: folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    drop = lambda: there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
     return spark.read.schema(df.schema).parquet(path), drop

@@ -19,7 +19,7 @@ def parsed(rows: DataFrame, fields: list[str]) -> DataFrame:
     rows = rows.withColumn("value", F.trim("value")).where("value <> ''")
     first = F.split("value", r"\s+")
     order = rows.where(first[0] == "FIELDS").groupBy("file").agg(F.min(F.slice(first, 2, F.size(first) - 1)).alias("fields"))
-    data = rows.where(~first[0].isin(*HEADER)).select("file", first.alias("cells")).join(F.broadcast(order), "file")
+    data = rows.where(~first[0].isin(*HEADER) & ~first[0].startswith("#")).select("file", first.alias("cells")).join(F.broadcast(order), "file")
     at = lambda f: F.try_element_at("cells", F.array_position("fields", f).cast("int"))
     number = lambda f: F.when(F.array_position("fields", f) > 0, F.nanvl(at(f).try_cast("double"), F.lit(None)))
     return data.select("file", *[number(f).alias(f) for f in fields])

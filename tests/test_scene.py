@@ -189,8 +189,6 @@ def test_stream_equals_fold_with_empty_late_and_repeated_batches(spark, tmp_path
     assert len(list((tmp_path / "out" / "state").iterdir())) <= 3
 
 
-def test_change_flags_need_both_frames(spark):
-    flags = scene.x5_change_flags(spark, SF)
-    v = scene.whole(spark, SF).select(*spatial.KEY)
-    before = v.select((F.col("frame") + 1).alias("frame"), "kx", "ky", "kz")
-    assert flags.count() == v.join(before, spatial.KEY, "left_semi").count()
+def test_change_flags_where_a_patch_tilts(spark):
+    flags = [r.changed for r in scene.x5_change_flags(spark, SF).collect()]
+    assert 0 < sum(flags) < len(flags)
