@@ -22,34 +22,42 @@ def words8(text: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(text: np.ndarray, depth: int, past: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of text (uint8) by their first `depth` bytes (at least 8), and which slots are tied with the one before. Starts from 8 bytes and doubles; only groups that are still tied are sorted again.
+    """Positions of text (uint8) by their first `depth` bytes (at least 8), and which slots are tied with the one before. Starts from 8 bytes and doubles, or trebles; only groups that are still tied are sorted again.
 
     past: how far each position lies beyond the last one, at or before it, whose order is wanted. It is then ordered by that much less only, as no wanted one looks further; it may lie anywhere in its group, and so parts nothing that is tied.
     """
     n = len(text)
     v = words8(text)
-    sa = np.argsort(v)
+    sa = np.argsort(v).astype(np.int32)
     head = np.ones(n, bool)
     head[1:] = np.diff(v[sa]) != 0
-    at = np.arange(n)
-    rank = np.empty(n, np.int64)
+    at = np.arange(n, dtype=np.int32)
+    rank = np.empty(n, np.int32)
     rank[sa] = np.maximum.accumulate(np.where(head, at, 0))
-    h = 8
+    base, h = n + 1, 8
     while h < depth:
         slots = np.flatnonzero(~(head & np.append(head[1:], True)))
-        if not len(slots):
-            break
-        step = min(h, depth - h)
+        # one further rank doubles what is known of a suffix; two, where three fit a number, treble it
+        steps = [min(h, depth - h)]
+        if base**3 < 1 << 63 and steps[0] == h:
+            steps.append(min(2 * h, depth - h))
         if past is not None:
-            slots = slots[past[sa[slots]] + h + step <= depth]
+            slots = slots[past[sa[slots]] + h + steps[-1] <= depth]
+        if not len(slots):
+            if past is None:
+                break
+            h += steps[-1]
+            continue
         pos = sa[slots]
-        key = rank[pos] * (n + 1) + np.where(pos + step < n, rank[np.minimum(pos + step, n - 1)] + 1, 0)
+        key = rank[pos].astype(np.int64)
+        for step in steps:
+            key = key * base + np.where(pos < n - step, rank[np.minimum(pos + step, n - 1)] + 1, 0)
         order = np.argsort(key)
         pos, key = pos[order], key[order]
         sa[slots] = pos
         head[slots[1:]] |= key[1:] != key[:-1]
         rank[pos] = np.maximum.accumulate(np.where(head[slots], slots, 0))
-        h += step
+        h += steps[-1]
     return sa, ~head
 
 
