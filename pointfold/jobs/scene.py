@@ -340,17 +340,17 @@ def g3_pruned_seeds(spark, sf_dir):
     return growth.pruned(_seeds(spark, sf_dir), v, NEAR, LEAST, had).select("frame", "sx", "sy", "sz", "kx", "ky", "kz", "near")
 
 
-def _rounds() -> str:
+def _rounds(own: str = "own", label: str = "g.label", seeds: str = "(SELECT *, row_number() OVER (PARTITION BY frame ORDER BY sx, sy, sz) label FROM g)") -> str:
     """CTEs own0 to ownN, one for each round of growth; normals are all (0, 0, 1) here, so only sums of whole numbers enter."""
     f = "xyzrgb"
-    out = "own0 AS MATERIALIZED (SELECT q.*, g.label, CAST(NULL AS DOUBLE) d FROM q LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY sx, sy, sz) label FROM g) g USING (frame, kx, ky, kz))"
+    out = f"{own}0 AS MATERIALIZED (SELECT q.*, {label}, CAST(NULL AS DOUBLE) d FROM q LEFT JOIN {seeds} g USING (frame, kx, ky, kz))"
     for i in range(ROUNDS):
         mean = ", ".join(f"0.0::DOUBLE {a}" if i == 0 else f"sum({a})/count(*) {a}" for a in f)
         rgb, xyz = ("+".join(f"(a.{x}-m.{x})*(a.{x}-m.{x})" for x in n) for n in ("rgb", "xyz"))
-        out += f""", m{i} AS (SELECT frame, label, {mean} FROM own{i} WHERE label IS NOT NULL GROUP BY frame, label),
-ask{i} AS (SELECT DISTINCT e.frame, e.nx kx, e.ny ky, e.nz kz, o.label FROM own{i} o JOIN edges e USING (frame, kx, ky, kz) WHERE o.label IS NOT NULL),
-best{i} AS (SELECT a.frame, a.kx, a.ky, a.kz, m.label, {1.0 if i == 0 else 0.0}::DOUBLE+sqrt({rgb})/255*0.2::DOUBLE+sqrt({xyz})/200*0.4::DOUBLE dist FROM ask{i} k JOIN own{i} a USING (frame, kx, ky, kz) JOIN m{i} m ON m.frame=k.frame AND m.label=k.label WHERE a.label IS NULL OR a.label<>k.label QUALIFY row_number() OVER (PARTITION BY a.frame, a.kx, a.ky, a.kz ORDER BY dist, m.label)=1),
-own{i + 1} AS MATERIALIZED (SELECT o.* REPLACE (CASE WHEN b.dist<coalesce(o.d, 'inf'::DOUBLE) THEN b.label ELSE o.label END AS label, CASE WHEN b.dist<coalesce(o.d, 'inf'::DOUBLE) THEN b.dist ELSE o.d END AS d) FROM own{i} o LEFT JOIN best{i} b USING (frame, kx, ky, kz))"""
+        out += f""", {own}_m{i} AS (SELECT frame, label, {mean} FROM {own}{i} WHERE label IS NOT NULL GROUP BY frame, label),
+{own}_ask{i} AS (SELECT DISTINCT e.frame, e.nx kx, e.ny ky, e.nz kz, o.label FROM {own}{i} o JOIN edges e USING (frame, kx, ky, kz) WHERE o.label IS NOT NULL),
+{own}_best{i} AS (SELECT a.frame, a.kx, a.ky, a.kz, m.label, {1.0 if i == 0 else 0.0}::DOUBLE+sqrt({rgb})/255*0.2::DOUBLE+sqrt({xyz})/200*0.4::DOUBLE dist FROM {own}_ask{i} k JOIN {own}{i} a USING (frame, kx, ky, kz) JOIN {own}_m{i} m ON m.frame=k.frame AND m.label=k.label WHERE a.label IS NULL OR a.label<>k.label QUALIFY row_number() OVER (PARTITION BY a.frame, a.kx, a.ky, a.kz ORDER BY dist, m.label)=1),
+{own}{i + 1} AS MATERIALIZED (SELECT o.* REPLACE (CASE WHEN b.dist<coalesce(o.d, 'inf'::DOUBLE) THEN b.label ELSE o.label END AS label, CASE WHEN b.dist<coalesce(o.d, 'inf'::DOUBLE) THEN b.dist ELSE o.d END AS d) FROM {own}{i} o LEFT JOIN {own}_best{i} b USING (frame, kx, ky, kz))"""
     return out
 
 
@@ -384,6 +384,20 @@ def g8_cluster_voxels(spark, sf_dir):
     return g.select("frame", "label", F.concat(F.lit("["), F.array_join(F.col("k").cast("array<string>"), ", "), F.lit("]")).alias("voxels"))
 
 
+#: Grown anew from the voxels nearest to the clusters' centres.
+REFINED = f"""{GROWN}, mid AS (SELECT frame, label, sum(x)/count(*) x, sum(y)/count(*) y, sum(z)/count(*) z FROM own{ROUNDS} WHERE label IS NOT NULL GROUP BY frame, label),
+core AS (SELECT a.frame, a.label, b.kx, b.ky, b.kz FROM mid a JOIN q b ON a.frame=b.frame QUALIFY row_number() OVER (PARTITION BY a.frame, a.label ORDER BY {D2}, b.kx, b.ky, b.kz)=1),
+{_rounds("ref", "g.label", "(SELECT frame, kx, ky, kz, min(label) label FROM core GROUP BY frame, kx, ky, kz)")}"""
+
+
+@query(f"WITH {REFINED} SELECT frame, kx, ky, kz, label, round(d, 6) d FROM ref{ROUNDS} WHERE label IS NOT NULL")
+def g9_refined_clusters(spark, sf_dir):
+    """Clusters grown anew from the middles of those of g6."""
+    v = cut(whole(spark, sf_dir))
+    own = cut(_grown(spark, sf_dir))
+    return growth.refined(own, spatial.adjacency(v), ROUNDS).where("label IS NOT NULL").select(*KEY, "label", F.round("d", 6).alias("d"))
+
+
 FRAMES, TURNED = 7, 12
 
 
