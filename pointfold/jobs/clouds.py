@@ -9,7 +9,7 @@ from pointfold.functions import columns as c
 from pointfold.jobs.base import COUNTERS, EDGES, KEYS, VOX, box, query, shared, voxels
 from pointfold.operators import comovement, forest, matching, spatial
 from pointfold.operators.cut import cut, folder
-from pointfold.sources import pcd, pcd_source
+from pointfold.sources import pcd, pcd_source, report
 from pointfold.sources import tables as t
 from pointfold.streaming import counters as by_pair
 
@@ -60,9 +60,7 @@ def s4_cloud_files(spark, sf_dir):
 @query(f"WITH {t.MOVES} SELECT frame, string_agg(CAST(label AS VARCHAR) || ';', '' ORDER BY label) || ',' || count(*) || ',' line FROM moves GROUP BY frame UNION ALL SELECT -1, 'lost_labels,total,'")
 def s6_csv_rows(spark, sf_dir):
     """Lines of a report: a header, then for each frame its labels, each with a semicolon, and their number."""
-    g = t.moves(spark, sf_dir).groupBy("frame").agg(F.sort_array(F.collect_list("label")).alias("l"))
-    rows = g.select("frame", F.concat(F.array_join(F.transform("l", lambda x: F.concat(x.cast("string"), F.lit(";"))), ""), F.lit(","), F.size("l"), F.lit(",")).alias("line"))
-    return rows.unionByName(spark.createDataFrame([(-1, "lost_labels,total,")], "frame long, line string"))
+    return report.lines(t.moves(spark, sf_dir))
 
 
 @query(f"WITH {t.POINTS} SELECT * FROM pts WHERE x BETWEEN -400 AND 400 AND y BETWEEN -350 AND 250 AND z BETWEEN 800 AND 1300")

@@ -38,10 +38,11 @@ def l1_nearest(queries: DataFrame, targets: DataFrame, k: int, by: tuple[str, ..
         if len(ask) and len(to):
             to = to.sort_values("kp_id")
             d, ids = np.stack(to["desc"]), to["kp_id"].to_numpy()
-            for q, row in zip(ask["kp_id"], ask["desc"], strict=True):
-                dist = np.abs(d - row).sum(1)
-                for i in np.argsort(dist, kind="stable")[:k]:
-                    out.append((*[ask[c].iloc[0] for c in by], q, ids[i], dist[i]))
+            asks, rows, group = ask["kp_id"].tolist(), np.stack(ask["desc"]), tuple(ask[c].iloc[0] for c in by)
+            for lo in range(0, len(rows), 32):
+                dist = np.abs(rows[lo : lo + 32, None] - d).sum(2)
+                for q, row, at in zip(asks[lo : lo + 32], dist, np.argsort(dist, 1, kind="stable")[:, :k], strict=True):
+                    out += [(*group, q, t, v) for t, v in zip(ids[at].tolist(), row[at].tolist(), strict=True)]
         return pd.DataFrame(out, columns=[*by, "q", "t", "dist"])
 
     kinds = dict(queries.dtypes)
