@@ -16,7 +16,9 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -74,27 +76,38 @@ class Sizes:
         return (100 - self.percent) * 2 * (self.first[r + 1] - 1) // (100 + self.percent)
 
 
-#: Groups beyond the most that can differ, so that few sets have so many empty groups that an empty one might be the only equal one.
-SPARE = 3
+#: Least number of groups beyond the most that can differ; and how likely a set of chance hashes may at most be to have empty groups that count.
+SPARE, CHANCE = 3, 1e-5
+
+
+@cache
+def spare(k: int, percent: int) -> int:
+    """Groups beyond k: as many as it takes, within a quarter of k, until a set that may differ in k of its n-grams hardly ever falls into k groups or fewer. Otherwise empty groups count for so many sets by chance that those that share one grow with the table."""
+    n = k * percent // (100 - percent)
+    most = SPARE + k // 4
+    chance = lambda s: math.lgamma(k + s + 1) - math.lgamma(k + 1) - math.lgamma(s + 1) + n * math.log(k / (k + s))
+    return next((s for s in range(SPARE, most) if chance(s) <= math.log(CHANCE)), most)
 
 
 def signatures(h: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """Hashes of the set's groups, for its own size range and the next. Empty groups count only if there are so many that the equal groups might all be empty."""
+    """Hashes of the set's groups, for its own size range and the next. Empty groups count only if there are so many that the equal groups might all be empty; then two sets have that many empty groups in common, and so one of the first ones that are left without as many less one."""
     out = []
     r = sizes.of(len(h))
     for at in (r, r + 1):
         k = sizes.differ(at)
         if not k:
             continue
-        groups = k + SPARE
+        groups = k + spare(k, sizes.percent)
         at_range = np.array([at, at], np.uint64) * np.stack([ODD[32], ODD[34]])
         g = ((h >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         sums = np.add.reduceat(mixed(h ^ ODD[30]), first)
         sig = sums + g[first] * ODD[31] + at_range[0]
         empty = groups - len(first)
-        if empty >= groups - k:
-            none = np.setdiff1d(np.arange(groups, dtype=np.uint64), g[first])
+        # whatever the other's size, it is alike only if it differs in no more than this
+        equal = groups - min(k, (100 - sizes.percent) * len(h) // sizes.percent)
+        if empty >= equal:
+            none = np.setdiff1d(np.arange(groups, dtype=np.uint64), g[first])[: empty - equal + 1]
             sig = np.concatenate([sig, none * ODD[33] + at_range[1]])
         out.append(mixed(sig))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -148,7 +161,7 @@ def classes(docs: DataFrame, n: int, parts: int, percent: int) -> DataFrame:
 
 
 def equal_groups(packed: DataFrame, parts: int) -> DataFrame:
-    """g, c, m: the classes of each group that several have, and how many they are. One bucket of signatures is in memory at a time: twelve bytes for each class of each group in it."""
+    """g, c, m: the classes of each group that several have, and how many they are; g is a hash of these classes, so that groups of the same ones, which near copies share by the dozen, are one. One bucket of signatures is in memory at a time: twelve bytes for each class of each group in it."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blobs = None, []
@@ -161,11 +174,15 @@ def equal_groups(packed: DataFrame, parts: int) -> DataFrame:
             keep = np.concatenate([[True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
             s, c = s[keep], c[keep]
             first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            m = np.repeat(np.diff(np.append(first, len(s))), np.diff(np.append(first, len(s))))
-            at = np.flatnonzero(m > 1)
+            size = np.diff(np.append(first, len(s)))
+            g = mixed(np.add.reduceat(mixed(c.view(np.uint64) ^ ODD[35]), first) + size.astype(np.uint64) * ODD[36])
+            once = np.zeros(len(g), bool)
+            once[np.unique(g, return_index=True)[1]] = True
+            g, m = np.repeat(g.view(np.int64), size), np.repeat(size, size)
+            at = np.flatnonzero((m > 1) & np.repeat(once, size))
             for lo in range(0, len(at), 1 << 18):
                 k = at[lo : lo + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array((np.int64(part) << 32) | s[k].astype(np.int64)), pa.array(c[k]), pa.array(m[k])], names=["g", "c", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array(g[k]), pa.array(c[k]), pa.array(m[k])], names=["g", "c", "m"])
 
         for b in batches:
             for p, s, c in zip(b["part"].to_pylist(), b["sig"].to_pylist(), b["of"].to_pylist(), strict=True):
@@ -177,7 +194,8 @@ def equal_groups(packed: DataFrame, parts: int) -> DataFrame:
         if blobs:
             yield from done()
 
-    return in_batches(packed.repartition(parts, "part").sortWithinPartitions("part"), match, "g long, c long, m long")
+    found = in_batches(packed.repartition(parts, "part").sortWithinPartitions("part"), match, "g long, c long, m long")
+    return found.repartition(parts, "c").distinct()
 
 
 def in_pairs_of_parts(df: DataFrame, members: str, most: int) -> DataFrame:

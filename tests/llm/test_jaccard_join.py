@@ -1,11 +1,12 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from pointfold.llm.jaccard_join import RTree, alike, brute_force, class_links, components, one_of_each, op5_jaccard_join
+from pointfold.llm.jaccard_join import RTree, Sizes, alike, brute_force, class_links, classes, components, equal_groups, one_of_each, op5_jaccard_join, signatures
 
 
 def corpus(seed: int):
@@ -90,3 +91,43 @@ def test_tree_misses_nothing():
         bound = np.minimum(points, points[i]).sum(1)
         want = np.flatnonzero(160 * bound >= 60 * (sizes + sizes[i]))
         assert sorted(tree.near(points[i], int(sizes[i]), 60)) == want.tolist()
+
+
+def test_sets_of_chance_share_no_group():
+    """Empty groups did: of 2,000 sets of 400 n-grams over 100 had an equal one, a share of them whatever their number."""
+    r = np.random.default_rng(0)
+    for n in (40, 400, 2000):
+        sizes, seen = Sizes(80), Counter()
+        for _ in range(2000):
+            seen.update(set(signatures(np.unique(r.integers(0, 2**64, n, dtype=np.uint64)), sizes).tolist()))
+        assert max(seen.values()) <= 3
+
+
+@pytest.mark.parametrize("percent", [60, 80, 85])
+def test_alike_sets_share_a_group_however_their_hashes_lie(percent):
+    """N-grams packed into few groups, each of which has a difference, so that only empty groups are equal; and differences dealt by chance."""
+    r = np.random.default_rng(percent)
+    sizes = Sizes(percent)
+    only_empty = 0
+    for n in (4, 9, 30, 90, 400, 1500):
+        for trial in range(60):
+            slots = r.choice(2**32, max((100 - percent) * n // percent // (trial % 4 + 1), 1), replace=False).astype(np.uint64)
+            a = (np.concatenate([slots, r.choice(slots, max(n - len(slots), 0))])[:n] << np.uint64(32)) + np.arange(1, n + 1, dtype=np.uint64)
+            more = r.integers(0, (100 - percent) * n // percent + 1)
+            b = np.concatenate([a, (np.resize(slots, more) << np.uint64(32)) + np.arange(n + 1, n + 1 + more, dtype=np.uint64)])
+            b = b[r.permutation(len(b))[: max(len(b) - int(r.integers(0, 3)), 1)]]
+            same = len(np.intersect1d(a, b))
+            if 100 * same < percent * (len(a) + len(b) - same) or (len(a) == len(b) == same):
+                continue
+            assert np.intersect1d(signatures(np.sort(a), sizes), signatures(np.sort(b), sizes)).size
+            only_empty += more >= len(slots)
+    assert only_empty > 50
+
+
+def test_groups_of_the_same_classes_are_one(spark):
+    """Two near copies have dozens of equal groups; the links of one are those of all."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:399], "other"])), (3, " ".join(words[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("key"), "text")
+    packed = classes(docs, 4, 4, 85).where("part IS NOT NULL").select("part", "sig", "of")
+    assert [r.m for r in equal_groups(packed, 4).collect()] == [2, 2]
