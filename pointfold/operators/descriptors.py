@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointfold.functions.columns import ORIGIN, VOXEL, cell, lab
@@ -23,6 +23,12 @@ def keypoints(v: DataFrame, by: list[str], size: int = 2 * VOXEL) -> DataFrame:
     return cells.select(*by, kp.alias("kp_id"), *[(F.col(f"c{a}") * size + size // 2 + ORIGIN[a]).alias(a) for a in "xyz"])
 
 
+def angle(y: Column, x: Column) -> Column:
+    """atan2 with signed zeros, as the floating-point standard has it and SQL engines do: Spark's own takes -0.0 for 0.0, which turns half a turn into none or round to the other end."""
+    minus = lambda v: (v == 0) & v.cast("string").startswith("-")
+    return F.when((y == 0) & ((x < 0) | minus(x)), F.when(minus(y), -math.pi).otherwise(math.pi)).otherwise(F.atan2(y, x))
+
+
 def with_bins(pairs: DataFrame) -> DataFrame:
     """Adds b0, b1, b2 to pairs of points (x, nx, ..., o_x, o_nx, ...): the bins of the three angles between their normals and the line between them, seen from the point whose normal is closer to the line. Null where normal and line agree. Step by step, so that what several columns use is computed once."""
     dot = lambda a, b: sum((F.col(x) * F.col(y) for x, y in zip(a[1:], b[1:], strict=True)), F.col(a[0]) * F.col(b[0]))
@@ -39,7 +45,8 @@ def with_bins(pairs: DataFrame) -> DataFrame:
     p = p.withColumns(cross(line, first, c)).withColumn("__size", F.sqrt(dot(c, c)))
     p = p.withColumns({n: F.when(F.col("__size") > 0, F.col(x) / F.col("__size")) for n, x in zip(v, c, strict=True)}).withColumns(cross(first, v, w))
     third = F.when(F.col("__size") > 0, either(F.col("__one"), -F.col("__two")))
-    p = p.withColumns({"__a0": (F.atan2(dot(w, second), dot(first, second)) + math.pi) / (2 * math.pi), "__a1": (dot(v, second) + 1) / 2, "__a2": (third + 1) / 2})
+    p = p.withColumns({"__y": dot(w, second), "__x": dot(first, second)})
+    p = p.withColumns({"__a0": (angle(F.col("__y"), F.col("__x")) + math.pi) / (2 * math.pi), "__a1": (dot(v, second) + 1) / 2, "__a2": (third + 1) / 2})
     return p.withColumns({f"b{i}": F.when(F.col(f"__a{i}").isNotNull(), F.least(F.greatest(F.floor(F.col(f"__a{i}") * BINS), F.lit(0)), F.lit(BINS - 1))) for i in range(3)})
 
 
