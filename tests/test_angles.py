@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from pointfold.operators.descriptors import angle
+from pointfold.operators.descriptors import angle, with_bins
 
 
 def test_zeros_keep_their_sign(spark):
@@ -17,3 +17,12 @@ def test_zeros_keep_their_sign(spark):
         want = math.atan2(r.y, r.x)
         assert math.copysign(1, r.a) == math.copysign(1, want) or want == 0
         assert r.a == pytest.approx(want)
+
+
+def test_bins_of_normals_that_meet_at_zero(spark):
+    """A missing normal, and one at right angles to another with a negative part: the first angle is half a turn."""
+    names = ["x", "y", "z", "nx", "ny", "nz"]
+    pairs = [((0, 0, 0, -0.6, -0.8, 0.0), (0, 2, 0, 0.0, 0.0, -1.0)), ((0, 0, 0, -0.7, -0.7, -0.1), (1, 0, 0, 0.0, 0.0, 0.0)), ((0, 0, 0, 0.6, 0.8, 0.0), (0, 2, 0, 0.0, 0.0, 0.0))]
+    kinds = ", ".join(f"{o}{n} {'long' if n in 'xyz' else 'double'}" for o in ("", "o_") for n in names)
+    got = with_bins(spark.createDataFrame([(*a, *b) for a, b in pairs], kinds)).select("nx", "b0").collect()
+    assert {r.nx: r.b0 for r in got} == {-0.6: 10, -0.7: 10, 0.6: 5}
