@@ -2,7 +2,9 @@
 
 Each group's descriptors are one forest, or several of at most SHARD of them. A node splits them at their mean along one of the
 dimensions that vary most, drawn at random for each tree. A query goes down all trees at once: what it passes by waits in one queue,
-nearest border first, until CHECKS descriptors are compared. So a query's cost doesn't grow with its group.
+nearest border first, until enough descriptors are compared: CHECKS, or for a group in which these find too few of the nearest,
+as many as it takes for RECALL of a sample of its queries. So a query's cost doesn't grow with its group where descriptors lie near
+shapes; where they lie anyhow, in many dimensions, any bounded number of checks misses most of the nearest once a group is large.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 TREES, CHECKS, LEAF, WIDEST, LOOK = 4, 256, 8, 5, 128
 #: Descriptors in a forest, and queries that meet it at a time.
 SHARD, BLOCK = 65_536, 4_096
+#: Share of the sampled queries, SAMPLE at most for each forest and block, that must find all they look for.
+RECALL, SAMPLE = 0.95, 256
 
 
 class Forest:
@@ -81,8 +85,23 @@ class Forest:
         return np.array([i for _, i in met], int), np.array([d for d, _ in met])
 
 
+def enough(forest: Forest, queries: np.ndarray, k: int, checks: int) -> int:
+    """checks, doubled until RECALL of a sample of the queries find their k nearest of the forest; at most all of its descriptors, which is exact."""
+    some = queries[np.linspace(0, len(queries) - 1, min(SAMPLE, len(queries))).astype(int)]
+    k = min(k, len(forest.points))
+    exact = [float(np.partition(np.abs(forest.points - q).sum(1), k - 1)[:k].sum()) for q in some]
+    missed = list(zip(some, exact, strict=True))
+    while checks < len(forest.points):
+        # what fewer checks found, more find too
+        missed = [(q, e) for q, e in missed if forest.search(q, k, checks)[1].sum() > e * (1 + 1e-9)]
+        if len(missed) <= (1 - RECALL) * len(some):
+            break
+        checks = min(checks * 2, len(forest.points))
+    return checks
+
+
 def forest_nearest(queries: DataFrame, targets: DataFrame, k: int, by: tuple[str, ...] = ("label",), checks: int = CHECKS, trees: int = TREES, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """by, q, rank, t, dist: about the k nearest targets by, kp_id, desc of each query by the summed differences of their descriptors; ties to the smaller t."""
+    """by, q, rank, t, dist: about the k nearest targets by, kp_id, desc of each query by the summed differences of their descriptors, after at least `checks` of them (see enough()); ties to the smaller t."""
     sizes = targets.groupBy(*by).agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
     asks = queries.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     counts = sizes.join(asks, list(by))
@@ -98,8 +117,11 @@ def forest_nearest(queries: DataFrame, targets: DataFrame, k: int, by: tuple[str
             to = to.sort_values("kp_id")
             ids, forest = to["kp_id"].to_numpy(), Forest(np.stack(to["desc"]).astype(float), trees)
             group = tuple(ask[c].iloc[0] for c in by)
-            for q, row in zip(ask["kp_id"], ask["desc"], strict=True):
-                at, dist = forest.search(np.asarray(row, float), k, checks)
+            ask = ask.sort_values("kp_id")
+            rows = np.stack(ask["desc"]).astype(float)
+            most = enough(forest, rows, k, checks)
+            for q, row in zip(ask["kp_id"], rows, strict=True):
+                at, dist = forest.search(row, k, most)
                 out += [(*group, q, t, d) for t, d in zip(ids[at].tolist(), dist.tolist(), strict=True)]
         return pd.DataFrame(out, columns=[*by, "q", "t", "dist"])
 

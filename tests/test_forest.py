@@ -65,3 +65,22 @@ def test_no_rows_and_small_groups(spark):
     got = sorted((x.label, x.q, x["rank"], x.t, x.dist) for x in forest.forest_nearest(df, df, 3).collect())
     assert got == [(1, 1, 1, 1, 0.0), (1, 1, 2, 2, 2.0), (1, 2, 1, 2, 0.0), (1, 2, 2, 1, 2.0), (2, 3, 1, 3, 0.0)]
     assert forest.forest_nearest(df.limit(0), df, 3).count() == forest.forest_nearest(df, df.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("shard", [65_536, 1_000])
+def test_recall_where_descriptors_lie_anyhow(spark, shard):
+    """2,000 descriptors a label without shapes: 256 checks find too few of the nearest."""
+    r = np.random.default_rng(3)
+    rows = [(label, i * 2 + label, r.integers(-1000, 1000, 36).tolist()) for label in range(2) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "label long, kp_id long, desc array<long>")
+    asks = df.where("kp_id % 20 < 2")
+    got = {(x.label, x.q): x.dist for x in forest.forest_nearest(asks, df, 2, shard=shard).where("rank = 2").collect()}
+    want = {(x.label, x.q): x.dist for x in matching.l1_nearest(asks, df, 2).where("rank = 2").collect()}
+    assert sum(got[k] == want[k] for k in want) / len(want) >= 0.9
+
+
+def test_checks_grow_only_where_they_must():
+    r = np.random.default_rng(4)
+    loose, close = r.normal(size=(2_000, 36)), np.repeat(r.normal(size=(500, 36)), 4, 0) + r.normal(0, 1e-4, (2_000, 36))
+    assert 256 < forest.enough(forest.Forest(loose), loose, 2, 256) <= 2_000
+    assert forest.enough(forest.Forest(close), close, 2, 256) == 256
