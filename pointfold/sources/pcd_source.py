@@ -17,6 +17,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import ArrayType, ByteType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField, StructType
 
-#: Bytes of a body that one task reads.
-SPLIT = 64 << 20
+#: Bytes of a body that one task reads; points of a file that a task writes, and of a batch that it reads, at most.
+SPLIT, POINTS = 64 << 20, 50_000
 #: Type letter and size of a field, by Spark's types; unsigned ones need the next larger type.
 KINDS = {("F", 4): FloatType(), ("F", 8): DoubleType(), ("I", 1): ByteType(), ("I", 2): ShortType(), ("I", 4): IntegerType(), ("I", 8): LongType(), ("U", 1): ShortType(), ("U", 2): IntegerType(), ("U", 4): LongType(), ("U", 8): LongType()}
 WRITTEN = {FloatType: ("F", 4), DoubleType: ("F", 8), ByteType: ("I", 1), ShortType: ("I", 2), IntegerType: ("I", 4), LongType: ("I", 8)}
@@ -173,7 +174,9 @@ class Reader(DataSourceReader):
             else:
                 records = [(0, columns(f, part.head))]
             for row, r in records:
-                yield self.batch(part, row, r)
+                for lo in range(0, len(r), POINTS):
+                    at = row + lo if isinstance(row, int) else row[lo : lo + POINTS]
+                    yield self.batch(part, at, r[lo : lo + POINTS])
 
     def batch(self, part: Part, row: int | np.ndarray, r: np.ndarray) -> pa.RecordBatch:
         kinds = {"float": pa.float32(), "double": pa.float64(), "tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}
@@ -269,23 +272,31 @@ def listed(path: str) -> tuple[fs.FileSystem, list[tuple[str, int]]]:
 
 @dataclass
 class Saved(WriterCommitMessage):
-    file: str | None
+    files: list[str]
 
 
 class Writer(DataSourceWriter):
-    """A file for each task. A task's file gets its name when all are done, so one that failed leaves none behind."""
+    """Files of at most `most` points, one after another, so that a task holds no more than those. A task's files get their names when all are done, so one that failed leaves none behind."""
 
-    def __init__(self, path: str, schema: StructType, encoding: str, overwrite: bool) -> None:
-        self.path, self.given, self.encoding, self.overwrite = path, schema, encoding, overwrite
+    def __init__(self, path: str, schema: StructType, encoding: str, overwrite: bool, most: int) -> None:
+        self.path, self.given, self.encoding, self.overwrite, self.most = path, schema, encoding, overwrite, most
         if encoding not in ("ascii", "binary", "binary_compressed"):
             raise ValueError(f"unknown encoding {encoding}")
 
     def write(self, rows: Iterator) -> Saved:
+        files = []
+        try:
+            while some := [tuple(r) for r in islice(rows, self.most)]:
+                files.append(self.saved(some))
+        except BaseException:
+            self.abort([Saved(files)])
+            raise
+        return Saved(files)
+
+    def saved(self, rows: list[tuple]) -> str:
+        """The file that it writes these rows to."""
         system, at = opened(self.path)
         names = [f.name for f in self.given.fields]
-        rows = [tuple(r) for r in rows]
-        if not rows:
-            return Saved(None)
         of = [f.dataType.elementType if isinstance(f.dataType, ArrayType) else f.dataType for f in self.given.fields]
         counts = [len(next((r[i] for r in rows if r[i] is not None), [0])) if isinstance(f.dataType, ArrayType) else 1 for i, f in enumerate(self.given.fields)]
         kinds = [WRITTEN[type(k)] for k in of]
@@ -308,7 +319,7 @@ class Writer(DataSourceWriter):
         system.create_dir(at, recursive=True)
         with system.open_output_stream(name) as f:
             f.write(out)
-        return Saved(name)
+        return name
 
     def commit(self, messages: list[Saved | None]) -> None:
         system, at = opened(self.path)
@@ -316,19 +327,19 @@ class Writer(DataSourceWriter):
             for name, _ in listed(self.path)[1] if system.get_file_info(at).type == fs.FileType.Directory else []:
                 system.delete_file(name)
         for m in messages:
-            if m and m.file:
-                head, _, name = m.file.rpartition("/")
-                system.move(m.file, f"{head}/{name[1:]}")
+            for file in m.files if m else []:
+                head, _, name = file.rpartition("/")
+                system.move(file, f"{head}/{name[1:]}")
 
     def abort(self, messages: list[Saved | None]) -> None:
         system, _ = opened(self.path)
         for m in messages:
-            if m and m.file:
-                system.delete_file(m.file)
+            for file in m.files if m else []:
+                system.delete_file(file)
 
 
 class PointClouds(DataSource):
-    """Options: path; split, bytes of a body for a task; encoding, when writing: ascii, binary or binary_compressed."""
+    """Options: path; split, bytes of a body for a task; when writing, encoding: ascii, binary or binary_compressed; and points, of a file at most."""
 
     @classmethod
     def name(cls) -> str:
@@ -346,4 +357,4 @@ class PointClouds(DataSource):
         return Reader(self.options["path"], schema, int(self.options.get("split", SPLIT)))
 
     def writer(self, schema: StructType, overwrite: bool) -> Writer:
-        return Writer(self.options["path"], schema, self.options.get("encoding", "binary"), overwrite)
+        return Writer(self.options["path"], schema, self.options.get("encoding", "binary"), overwrite, int(self.options.get("points", POINTS)))

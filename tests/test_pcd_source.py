@@ -64,3 +64,23 @@ def test_compression():
     assert P.expanded(bytes([1, 65, 66, 224, 5, 1]), 16) == b"AB" * 8
     with pytest.raises(ValueError):
         P.expanded(bytes([0, 65]), 2)
+
+
+@pytest.mark.parametrize("encoding", ["ascii", "binary", "binary_compressed"])
+def test_a_task_holds_one_bounded_file_at_a_time(spark, tmp_path, encoding):
+    want = rows()
+    path = str(tmp_path / "clouds")
+    spark.createDataFrame(want, SCHEMA).coalesce(1).write.format("pointcloud").option("encoding", encoding).option("points", 90).mode("append").save(path)
+    got = spark.read.format("pointcloud").load(path)
+    assert sorted(tuple(r)[2:] for r in got.collect()) == want
+    assert sorted(r["count"] for r in got.groupBy("file").count().collect()) == [50, 90, 90, 90, 90, 90]
+
+
+def test_batches_are_bounded(tmp_path):
+    body = np.arange(2 * P.POINTS + 7, dtype="<f8")
+    (tmp_path / "c.pcd").write_bytes(f"FIELDS y\nSIZE 8\nTYPE F\nCOUNT 1\nWIDTH {len(body)}\nHEIGHT 1\nPOINTS {len(body)}\nDATA binary\n".encode() + body.tobytes())
+    source = P.PointClouds({"path": str(tmp_path / "c.pcd")})
+    reader = source.reader(source.schema())
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert [b.num_rows for b in batches] == [P.POINTS, P.POINTS, 7]
+    assert [v for b in batches for v in b["row"].to_pylist()] == list(range(len(body)))
