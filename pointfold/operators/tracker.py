@@ -2,8 +2,9 @@
 
 A part's reference points are kept about their centre. A particle is a pose (x, y, z, roll, pitch, yaw). For each frame particles are
 drawn anew by weight and moved at random, as many as bound the error of their spread over cells of poses; each is weighed by how well the
-reference points, placed at the pose, meet points of the frame; the weighted mean is the label's pose. Random numbers are hashes
-of label, frame and place, so reruns and restarts agree. Points go to the labels in whose reach they are by an equi-join on cells; a
+reference points, placed at the pose, meet points of the frame. Where the frame has points like those of the part beside it, the weighted
+mean lies between them; so the mean, the last pose and the heaviest particles are each laid onto the points they meet, and the best of them,
+by fit and by how far a step goes, is the label's pose. Random numbers are hashes of label, frame and place, so reruns and restarts agree. Points go to the labels in whose reach they are by an equi-join on cells; a
 label and frame are one group, thinned to a point for each cell of GRID, so its size is bounded by the reach.
 """
 
@@ -25,6 +26,8 @@ LEAST, MOST, EPSILON, DELTA, BIN = 600, 1000, 0.2, 0.99, (100.0, 100.0, 100.0, 0
 STEP, START, MOTION, SHARP = (15.0, 15.0, 15.0, 0.095, 0.095, 0.095), (3.2, 3.2, 3.2, 0.0032, 0.0032, 0.0032), 0.25, 15.0
 #: Points match up to DISTANCE apart; one point of a frame for each cell of GRID; a label may move by REACH beyond its reference.
 DISTANCE, GRID, REACH = 10.0, 10, 100
+#: Heaviest particles that are laid onto points, and the cells, half as wide as points may be off, in which each round finds them.
+HEAVIEST, SIDES = 16, (10.0, 10.0, 10.0, 5.0, 5.0, 5.0)
 #: Coherence of points of unlike labels.
 UNLIKE = 0.1
 POSE = ["x", "y", "z", "roll", "pitch", "yaw"]
@@ -125,6 +128,17 @@ class Tracker:
         pose = (particles * weights[:, None]).sum(0)
         return Tracker(self.label, self.reference, pose, pose - self.pose, particles, weights, frame)
 
+    def follow(self, cloud: np.ndarray, frame: int) -> Tracker:
+        """A step whose pose is not the mean, which may lie between places that look alike, but the likeliest place: weighed as particles are, and by the distance that a step, with the last motion or without, goes."""
+        t = self.step(cloud, frame)
+        if not len(cloud):
+            return t
+        starts = np.concatenate([np.stack([t.pose, self.pose, self.pose + self.motion]), t.particles[np.argsort(-t.weights, kind="stable")[:HEAVIEST]]])
+        poses = np.concatenate([starts, laid(self.reference, starts, cloud)])
+        apart = np.min([(((poses - at) / STEP) ** 2).sum(1) for at in (self.pose, self.pose + self.motion)], 0)
+        pose = poses[(SHARP * matched(self.reference, poses, cloud) / len(self.reference) - apart / 2).argmax()]
+        return Tracker(t.label, t.reference, pose, pose - self.pose, t.particles, t.weights, frame)
+
 
 def thinned(points: np.ndarray, grid: float) -> np.ndarray:
     """Means over cells, in the order of the cells."""
@@ -143,28 +157,44 @@ def rotations(angles: np.ndarray) -> np.ndarray:
     return np.stack([np.stack(r, -1) for r in rows], -2)
 
 
+class Cells:
+    """For each cell near a cloud's points, the point nearest to its middle; up to two cells away."""
+
+    def __init__(self, cloud: np.ndarray, side: float) -> None:
+        self.side = side
+        self.low = np.floor(cloud[:, :3].min(0) / side) - 3
+        self.size = (np.floor(cloud[:, :3].max(0) / side) - self.low + 4).astype(np.int64)
+        # each point in the cells around it, and for each cell the point nearest to its middle
+        around = np.stack(np.meshgrid(*[np.arange(-2, 3)] * 3, indexing="ij"), -1).reshape(-1, 3)
+        cells = (np.floor(cloud[:, :3] / side) - self.low).astype(np.int64)[:, None] + around
+        away = (((cells + self.low + 0.5) * side - cloud[:, None, :3]) ** 2).sum(-1).ravel()
+        codes, point = self._code(cells).ravel(), np.repeat(np.arange(len(cloud)), len(around))
+        order = np.lexsort((point, away, codes))
+        codes, point = codes[order], point[order]
+        head = np.concatenate([[True], codes[1:] != codes[:-1]])
+        self.codes, self.point = codes[head], point[head]
+
+    def _code(self, c: np.ndarray) -> np.ndarray:
+        return ((c[..., 0] * self.size[1]) + c[..., 1]) * self.size[2] + c[..., 2]
+
+    def near(self, placed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether there is a point near each place, and its number."""
+        at = np.floor(placed / self.side) - self.low
+        inside = ((at >= 0) & (at < self.size)).all(-1)
+        wanted = self._code(np.where(inside[..., None], at, 0).astype(np.int64))
+        found = np.minimum(np.searchsorted(self.codes, wanted), len(self.codes) - 1)
+        return inside & (self.codes[found] == wanted), self.point[found]
+
+
+def placed_at(reference: np.ndarray, poses: np.ndarray) -> np.ndarray:
+    return np.einsum("pij,rj->pri", rotations(poses[:, 3:]), reference[:, :3]) + poses[:, None, :3]
+
+
 def matched(reference: np.ndarray, poses: np.ndarray, cloud: np.ndarray) -> np.ndarray:
     """For each pose the sum of the reference points' coherence with the cloud's points nearest to the middle of their cell; none beyond DISTANCE counts."""
-    cloud, side = thinned(cloud, GRID), DISTANCE / 2
-    low = np.floor(cloud[:, :3].min(0) / side) - 3
-    size = (np.floor(cloud[:, :3].max(0) / side) - low + 4).astype(np.int64)
-    code = lambda c: ((c[..., 0] * size[1]) + c[..., 1]) * size[2] + c[..., 2]
-    # each point in the cells around it, and for each cell the point nearest to its middle
-    around = np.stack(np.meshgrid(*[np.arange(-2, 3)] * 3, indexing="ij"), -1).reshape(-1, 3)
-    cells = (np.floor(cloud[:, :3] / side) - low).astype(np.int64)[:, None] + around
-    away = (((cells + low + 0.5) * side - cloud[:, None, :3]) ** 2).sum(-1).ravel()
-    codes, point = code(cells).ravel(), np.repeat(np.arange(len(cloud)), len(around))
-    order = np.lexsort((point, away, codes))
-    codes, point = codes[order], point[order]
-    head = np.concatenate([[True], codes[1:] != codes[:-1]])
-    codes, point = codes[head], point[head]
-    placed = np.einsum("pij,rj->pri", rotations(poses[:, 3:]), reference[:, :3]) + poses[:, None, :3]
-    at = np.floor(placed / side) - low
-    inside = ((at >= 0) & (at < size)).all(-1)
-    wanted = code(np.where(inside[..., None], at, 0).astype(np.int64))
-    found = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
-    hit = inside & (codes[found] == wanted)
-    near = point[found]
+    cloud = thinned(cloud, GRID)
+    placed = placed_at(reference, poses)
+    hit, near = Cells(cloud, DISTANCE / 2).near(placed)
     d2 = ((cloud[near, :3] - placed) ** 2).sum(-1)
     color = hue(cloud[:, 3:])[near] - reference[None, :, 3:]
     turn = np.minimum(np.abs(color[..., 0]), 1 - np.abs(color[..., 0]))
@@ -172,6 +202,26 @@ def matched(reference: np.ndarray, poses: np.ndarray, cloud: np.ndarray) -> np.n
     return np.where(hit & (d2 <= DISTANCE**2), value, 0.0).sum(1)
 
 
+def laid(reference: np.ndarray, poses: np.ndarray, cloud: np.ndarray) -> np.ndarray:
+    """Each pose after rounds that find the cloud's points near the placed reference points and move the reference onto them, with least squares. Where these points fix no rotation it stays; a pose without points stays."""
+    cloud, poses, ref = thinned(cloud, GRID), poses.copy(), reference[:, :3]
+    cells = {side: Cells(cloud, side) for side in set(SIDES)}
+    for side in SIDES:
+        hit, near = cells[side].near(placed_at(reference, poses))
+        w = hit / np.maximum(hit.sum(1), 1)[:, None]
+        own, to = w @ ref, (w[..., None] * cloud[near, :3]).sum(1)
+        spread = np.einsum("pr,pri,prj->pij", w, ref[None] - own[:, None], cloud[near, :3] - to[:, None])
+        u, s, vt = np.linalg.svd(spread)
+        sign = np.where(np.linalg.det(u @ vt) < 0, -1.0, 1.0)
+        vt[:, 2] *= sign[:, None]
+        r = np.einsum("pki,pjk->pij", vt, u)
+        angles = np.stack([np.arctan2(r[:, 2, 1], r[:, 2, 2]), np.arcsin(np.clip(-r[:, 2, 0], -1, 1)), np.arctan2(r[:, 1, 0], r[:, 0, 0])], 1)
+        angles = np.where((s[:, 1] > 1e-6 * np.maximum(s[:, 0], 1))[:, None], angles, poses[:, 3:])
+        moved = np.concatenate([to - np.einsum("pij,pj->pi", rotations(angles), own), angles], 1)
+        poses = np.where(hit.any(1)[:, None], moved, poses)
+    return poses
+
+
 def regions(references: DataFrame, reach: int = REACH) -> DataFrame:
     """label, the ends of its box, reach wider on each side, and cx, cy, cz: the cells, as wide as the reach, that it meets."""
     ends = [e for a in "xyz" for e in ((F.min(a) - reach).alias(f"lo_{a}"), (F.max(a) + reach).alias(f"hi_{a}"))]
@@ -218,7 +268,7 @@ def tracked(points: DataFrame, references: DataFrame, reach: int = REACH) -> Dat
             if not kind:
                 tracker = Tracker.begin(label, values, at)
             elif tracker is not None and tracker.label == label:
-                tracker = tracker.step(values, at)
+                tracker = tracker.follow(values, at)
                 yield result(tracker)
 
         for f in frames:

@@ -42,7 +42,7 @@ class Trackers(StatefulProcessor):
             elif order == KINDS["reference"]:
                 tracker, changed = Tracker.begin(key[0], values, int(frame)), True
             elif tracker is not None and frame > tracker.frame:
-                tracker, changed = tracker.step(values, int(frame)), True
+                tracker, changed = tracker.follow(values, int(frame)), True
                 yield result(tracker)
         if tracker is None:
             self.state.clear()

@@ -145,3 +145,19 @@ def test_stream_restarts_deletes_and_late_frames(spark, tmp_path):
     for at, r in got.items():  # batches thin points before they come together, streams after
         assert max(abs(r[p] - want[at][p]) for p in "xyz") < 20
         assert max(abs(v - w) for v, w in zip((r.x, r.y, r.z), known[at], strict=True)) <= 20
+
+
+def test_parts_among_points_like_theirs_are_found(spark):
+    """Parts of one plane of grey points in rows, each with its own step: a shift by a row meets as many points, of the part beside it."""
+    r = np.random.default_rng(8)
+    rows, known = [], {}
+    for k in range(4):
+        p = np.array([[40 * i + 200 * k, 40 * j, 900] for i in range(5) for j in range(5)]) + r.uniform(-1, 1, (25, 3))
+        rgb, step = r.integers(125, 129, (25, 3)), np.array([(k % 3 - 1) * 5, k % 2 * 4, (k % 5 - 2) * 2])
+        for f in range(7):
+            known[k, f] = p.mean(0) + step * f
+            rows += [(k, f, *map(float, x), *map(float, y)) for x, y in zip(p + step * f, rgb, strict=True)]
+    got = {(x.label, x.frame): x for x in T.tracked(*tables(spark, rows, [])).collect()}
+    assert set(got) == {(k, f) for k, f in known if f}
+    for at, x in got.items():
+        assert max(abs(v - w) for v, w in zip((x.x, x.y, x.z), known[at], strict=True)) <= 2
