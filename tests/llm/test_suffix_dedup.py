@@ -132,3 +132,25 @@ def test_suffix_array_prefixes_and_search():
             w = other[q : q + 20].tobytes()
             assert (slot >= 0) == (w in b)
             assert slot < 0 or b[sa[slot] : sa[slot] + 20] == w
+
+
+def test_classes_need_no_common_prefixes(monkeypatch):
+    """The order itself says which windows are equal; counting their common prefixes took a third of the arrays' time."""
+    from pointfold.llm import suffix, suffix_dedup
+
+    def never(*args, **kwargs):
+        raise AssertionError("common prefixes")
+
+    monkeypatch.setattr(suffix, "kasai", never)
+    r = np.random.default_rng(11)
+    texts = [bytes(r.integers(97, 99, int(n)).astype(np.uint8)) for n in r.integers(12, 90, 30)]
+    texts += texts[:9] + [b"a" * 70, b"ab" * 40]
+    s = suffix_dedup.Shard(texts, 12)
+    want = {}
+    for base, t in zip(s.base.tolist(), texts, strict=True):
+        for i in range(len(t) - 11):
+            want.setdefault(t[i : i + 12], set()).add(base + i)
+    got = {}
+    for at, c in zip(s.starts.tolist(), s.cls.tolist(), strict=True):
+        got.setdefault(c, set()).add(at)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
