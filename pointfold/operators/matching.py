@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointfold.operators import l1
 from pointfold.operators.cut import cut
 from pointfold.operators.spatial import KEY, radius_pairs
 from pointfold.operators.surface import crossed
@@ -17,11 +18,11 @@ from pointfold.operators.surface import crossed
 NONE_ERROR = 3.4028234663852886e38
 
 
-def l1_nearest(queries: DataFrame, targets: DataFrame, k: int, by: tuple[str, ...] = ("label",), block: int = 1024) -> DataFrame:
+def l1_nearest(queries: DataFrame, targets: DataFrame, k: int, by: tuple[str, ...] = ("label",), block: int = 16_384) -> DataFrame:
     """by, q, rank, t, dist: the k nearest targets by, kp_id, desc of each query, by the summed differences of their descriptors; ties to the smaller t.
 
     Exact, so every query meets every target of its group; but a task holds one block of either, however large a group is,
-    and gives k rows for each query, not pairs. Blocks of a group follow from its size.
+    and gives k rows for each query, not pairs. Blocks of a group follow from its size. Within a block see l1.nearest().
     """
     sizes = targets.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     asks = queries.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
@@ -34,19 +35,18 @@ def l1_nearest(queries: DataFrame, targets: DataFrame, k: int, by: tuple[str, ..
     whole = dict(queries.dtypes)["desc"] == "array<bigint>"
 
     def best(ask: pd.DataFrame, to: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(ask) and len(to):
-            to = to.sort_values("kp_id")
-            d, ids = np.stack(to["desc"]), to["kp_id"].to_numpy()
-            asks, rows, group = ask["kp_id"].tolist(), np.stack(ask["desc"]), tuple(ask[c].iloc[0] for c in by)
-            for lo in range(0, len(rows), 32):
-                dist = np.abs(rows[lo : lo + 32, None] - d).sum(2)
-                for q, row, at in zip(asks[lo : lo + 32], dist, np.argsort(dist, 1, kind="stable")[:, :k], strict=True):
-                    out += [(*group, q, t, v) for t, v in zip(ids[at].tolist(), row[at].tolist(), strict=True)]
-        return pd.DataFrame(out, columns=[*by, "q", "t", "dist"])
+        if not len(ask) or not len(to):
+            return pd.DataFrame([], columns=[*by, "q", "t", "dist"])
+        to = to.sort_values("kp_id")
+        at, dist = l1.nearest(np.stack(ask["desc"]), np.stack(to["desc"]), k)
+        out = {"q": np.repeat(ask["kp_id"].to_numpy(), at.shape[1]), "t": to["kp_id"].to_numpy()[at.ravel()], "dist": dist.ravel()}
+        return pd.DataFrame({c: ask[c].iloc[0] for c in by} | out)
 
     kinds = dict(queries.dtypes)
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = ", ".join(f"{c} {kinds[c]}" for c in by) + f", q long, t long, dist {'long' if whole else 'double'}"
+    # dealt by what is to do, not by bytes
+    left, right = (x.repartition(parts, *by, "a", "b") for x in (left, right))
     found = left.groupBy(*by, "a", "b").cogroup(right.groupBy(*by, "a", "b")).applyInPandas(best, schema)
     first = Window.partitionBy(*by, "q").orderBy("dist", "t")
     return found.withColumn("rank", F.row_number().over(first).cast("long")).where(F.col("rank") <= k)
