@@ -129,8 +129,14 @@ class Forest:
         def settled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             q, t, sums = (np.concatenate(x) for x in zip(*met, strict=True))
             near = sums <= limits(best, slack)[q]
-            q, t = np.divmod(np.unique(q[near] * len(self.points) + t[near]), len(self.points))
+            q, t = q[near], t[near]
             dist = l1.exact(queries, self.points, q, t)
+            least = np.full(best.shape, np.inf)
+            np.minimum.at(least, (t % k, q), dist)
+            near = np.flatnonzero(dist <= least.max(0)[q])
+            # several trees may have met the same
+            near = near[np.unique(q[near] * len(self.points) + t[near], return_index=True)[1]]
+            q, t, dist = q[near], t[near], dist[near]
             at, count = l1.first(q, len(queries), k, t, dist)
             at = at[np.arange(k) < count[:, None]]
             return q[at], t[at], dist[at]

@@ -69,6 +69,19 @@ def test_together_meets_a_share_and_finds_the_nearest():
     assert np.mean(dist[1::2] == want) >= 0.9
 
 
+def test_near_copies_wait_in_bounded_memory(monkeypatch):
+    """Half of a group within a step of the grid: candidates are settled often, and the nearest stay right."""
+    r = np.random.default_rng(11)
+    points = np.rint(np.concatenate([r.normal(0, 30, (700, 36)), r.normal(0, 125_000, (700, 36))]))
+    monkeypatch.setattr(forest, "HELD", 20_000)
+    sizes, whole = [], l1.exact
+    monkeypatch.setattr(l1, "exact", lambda a, b, p, q: sizes.append(len(p)) or whole(a, b, p, q))
+    q, t, dist = forest.Forest(points).within(points, 2, np.inf)
+    assert len(sizes) > 5 and max(sizes) <= 20_000 + l1.TILE + 2 * len(points)
+    at, want = plain(points, points, 2)
+    assert np.array_equal(t, at.ravel()) and np.array_equal(dist, want.ravel())
+
+
 def test_each_query_has_its_number_of_neighbours(monkeypatch):
     points = np.random.default_rng(9).normal(size=(900, 12))
     f = forest.Forest(points)
